@@ -8,10 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.crosssection import top_k
 from pitline.operators.scoring import tilt_weights
+from pitline.session import materialize
 
 BOOK = ["strategy", "as_of"]
 
@@ -186,47 +188,54 @@ def apply_risk_limits(
 ) -> DataFrame:
     """Clip names, scale gross, scale sectors, trim the dominant side to the net cap; drop zeros.
 
-    Nothing is redistributed after a cut. Totals are grouped sums joined back, so a large book is
-    never in one task.
+    Nothing is redistributed after a cut, and a large book is never in one task.
     """
     cap = limits.max_position_weight
-    w = weights.withColumn(
+    clipped = weights.withColumn(
         "weight", F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("weight")))
     )
-    totals = w.groupBy(*BOOK).agg(F.sum(F.abs("weight")).alias("_g"))
-    over = F.col("_g") > limits.max_gross_exposure
-    w = w.join(totals, BOOK).withColumn(
-        "weight",
-        F.when(over, F.col("weight") * limits.max_gross_exposure / F.col("_g")).otherwise(
-            F.col("weight")
-        ),
-    ).drop("_g")
     if sectors is not None:
-        w = w.join(sectors.select("entity_id", "sector"), "entity_id", "left")
-        per = w.where(F.col("sector").isNotNull()).groupBy(*BOOK, "sector").agg(
-            F.sum(F.abs("weight")).alias("_s")
+        clipped = clipped.join(sectors.select("entity_id", "sector"), "entity_id", "left")
+    else:
+        clipped = clipped.withColumn("sector", F.lit(None).cast("string"))
+    # Every cut scales a whole sector or side, so all factors follow from the long and short sums
+    # per (book, sector): one aggregation of the book and one join back.
+    no_sector = F.coalesce("sector", F.lit("\0"))
+    clipped = clipped.withColumn("sector", no_sector)
+    sums = clipped.groupBy(*BOOK, "sector").agg(
+        F.sum(F.greatest(F.col("weight"), F.lit(0.0))).alias("_l"),
+        F.sum(F.greatest(-F.col("weight"), F.lit(0.0))).alias("_s"),
+    )
+    book = W.partitionBy(*BOOK)  # one row per sector
+    gross = F.sum(F.col("_l") + F.col("_s")).over(book)
+    sums = sums.withColumn(
+        "_f",
+        F.when(gross > limits.max_gross_exposure, limits.max_gross_exposure / gross).otherwise(1.0),
+    )
+    exposure = F.col("_f") * (F.col("_l") + F.col("_s"))
+    over = (F.col("sector") != "\0") & (exposure > limits.max_sector_weight)
+    sums = sums.withColumn(
+        "_f", F.when(over, F.col("_f") * limits.max_sector_weight / exposure).otherwise(F.col("_f"))
+    )
+    longs = F.sum(F.col("_f") * F.col("_l")).over(book)
+    shorts = F.sum(F.col("_f") * F.col("_s")).over(book)
+    excess = F.abs(longs - shorts) - limits.max_net_exposure
+
+    def trimmed(dominant: Column, side: Column) -> Column:
+        return F.when(dominant & (excess > 1e-12), F.col("_f") * (1.0 - excess / side)).otherwise(
+            F.col("_f")
         )
-        over = F.col("_s") > limits.max_sector_weight
-        w = w.join(per, [*BOOK, "sector"], "left").withColumn(
-            "weight",
-            F.when(over, F.col("weight") * limits.max_sector_weight / F.col("_s")).otherwise(
-                F.col("weight")
-            ),
-        ).drop("_s", "sector")
-    sides = w.groupBy(*BOOK).agg(
-        F.sum("weight").alias("_net"),
-        F.sum(F.greatest(F.col("weight"), F.lit(0.0))).alias("_long"),
-        F.sum(F.greatest(-F.col("weight"), F.lit(0.0))).alias("_short"),
+
+    factors = sums.select(
+        *BOOK, "sector",
+        trimmed(longs > shorts, longs).alias("_fl"), trimmed(shorts > longs, shorts).alias("_fs"),
     )
-    net = F.col("_net")
-    dominant = F.when(net > 0, F.col("weight") > 0).otherwise(F.col("weight") < 0)
-    side = F.when(net > 0, F.col("_long")).otherwise(F.col("_short"))
-    trim = F.lit(1.0) - (F.abs(net) - limits.max_net_exposure) / side
-    breach = (F.abs(net) > limits.max_net_exposure + 1e-12) & dominant & (side > 0)
-    out = w.join(sides, BOOK).withColumn(
-        "weight", F.when(breach, F.col("weight") * trim).otherwise(F.col("weight"))
+    final = F.col("weight") * F.when(F.col("weight") > 0, F.col("_fl")).otherwise(F.col("_fs"))
+    return (
+        clipped.join(factors, [*BOOK, "sector"])
+        .select("strategy", "as_of", "entity_id", final.alias("weight"))
+        .where(F.col("weight") != 0)
     )
-    return out.where(F.col("weight") != 0).select("strategy", "as_of", "entity_id", "weight")
 
 
 def limit_breaches(targets: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
@@ -284,7 +293,8 @@ def size_book(
         F.count(F.when(F.col("_full"), 1)).alias("_n"),
         F.max("n_obs").alias("_obs"),
     )
-    rows = rows.drop("n_obs").join(held, BOOK)
+    # Used by the governed and the cold branch and twice in the risk: written once.
+    rows = materialize(rows.drop("n_obs").join(held, BOOK))
     governed = (F.col("_n") >= 2) & (F.col("_obs") >= 20)
     budget = target_vol * max(0.0, regime_derisk)
     kept = rows.where(governed & F.col("_full")).withColumn(

@@ -29,7 +29,7 @@ def with_ctes(names: list[str] | str, body: str) -> str:
 
 
 _BAR = f"""date_trunc('week', l_shipdate) AS event_time,
- sum({PRICE})::DOUBLE / sum(CAST(l_quantity AS BIGINT))::DOUBLE / 100 AS close,
+ sum({PRICE})::DOUBLE / sum(CAST(l_quantity AS BIGINT))::DOUBLE / 10000 + 100 AS close,
  sum(CAST(l_quantity AS BIGINT))::DOUBLE AS volume"""
 
 cte("sbars", [], f"SELECT 'S' || l_suppkey AS entity_id, {_BAR} FROM lineitem GROUP BY 1, 2")
@@ -117,3 +117,70 @@ def schedule_cte(name: str, cal: str, warmup: int, every: int, last: int | None
 schedule_cte("sched", "scal", 60, 20)
 cte("days", [], """SELECT day AS as_of, row_number() OVER (ORDER BY day) - 1 AS k FROM
  (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS day FROM events)""")
+
+# --- features at the decision times ------------------------------------------------------------
+
+cte("featall", ["spanel"], """SELECT *, ff / lag(ff, 60) OVER w - 1 AS mom_60,
+ ff / lag(ff, 20) OVER w - 1 AS mom_20, lag(ff, 21) OVER w / lag(ff, 252) OVER w - 1 AS mom_252_skip21,
+ -(ff / lag(ff, 5) OVER w - 1) AS meanrev_5,
+ stddev_pop(ret) OVER (PARTITION BY entity_id ORDER BY t ROWS 19 PRECEDING) AS vol_20,
+ stddev_samp(ret) OVER (PARTITION BY entity_id ORDER BY t ROWS 19 PRECEDING) AS vol_s20,
+ -stddev_pop(ret) OVER (PARTITION BY entity_id ORDER BY t ROWS 119 PRECEDING) AS lowvol_120
+ FROM spanel WINDOW w AS (PARTITION BY entity_id ORDER BY t)""")
+cte("feat", ["featall", "sched"], """SELECT s.as_of, s.k, f.* EXCLUDE (event_time) FROM featall f
+ JOIN sched s ON f.event_time = s.as_of""")
+cte("netbuys", ["discv", "sched"], """SELECT as_of, entity_id,
+ sum(CASE WHEN is_purchase THEN 1.0 ELSE -1.0 END) AS net FROM sched JOIN discv
+ ON knowledge_time <= as_of AND knowledge_time > as_of - INTERVAL 90 DAY
+ AND (known_until IS NULL OR known_until > as_of) GROUP BY 1, 2""")
+cte("matrix", ["feat", "netbuys"], """SELECT f.as_of, f.k, f.t, f.entity_id, f.ff, mom_60, meanrev_5,
+ vol_20, coalesce(net, 0) AS insider_net_buys_90d FROM feat f LEFT JOIN netbuys n
+ ON n.as_of = f.as_of AND n.entity_id = f.entity_id""")
+
+
+def zsql(x: str, by: str = "as_of") -> str:
+    """Population z-score of ``x`` within ``by``; a flat column gives 0."""
+    w = f"OVER (PARTITION BY {by})"
+    return (f"CASE WHEN stddev_pop({x}) {w} IS NULL OR stddev_pop({x}) {w} = 0 THEN {x} * 0.0 "
+            f"ELSE ({x} - avg({x}) {w}) / stddev_pop({x}) {w} END")
+
+
+NAMES = ["mom_60", "meanrev_5", "vol_20", "insider_net_buys_90d"]
+cte("zm", ["matrix"], "SELECT as_of, entity_id, k, t, ff, vol_20 AS vol, " + ", ".join(
+    f"{zsql(n)} AS z_{n}" for n in NAMES) + " FROM matrix")
+cte("score", ["zm"], "SELECT as_of, entity_id, k, t, ff, vol, (" + " + ".join(
+    f"coalesce(z_{n}, 0)" for n in NAMES) + ") / 4 AS score FROM zm")
+cte("equal", ["feat"], """SELECT 'equal_weight' AS strategy, as_of, k, entity_id,
+ 1.0 / count(*) OVER (PARTITION BY as_of) AS weight FROM feat WHERE ff IS NOT NULL""")
+cte("top10", ["score"], """SELECT 'stacked' AS strategy, as_of, k, entity_id, 1.0 / count(*) OVER
+ (PARTITION BY as_of) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY as_of
+ ORDER BY score DESC, entity_id) AS rk FROM score WHERE ff IS NOT NULL) WHERE rk <= 10""")
+cte("lspair", ["score"], """SELECT 'ls' AS strategy, as_of, k, entity_id, CASE WHEN lo <= kk THEN -1.0 ELSE 1.0
+ END / (2.0 * kk) AS weight FROM (SELECT *, least(10, n // 2) AS kk FROM (SELECT *, row_number() OVER
+ (PARTITION BY as_of ORDER BY score, entity_id) AS lo, row_number() OVER (PARTITION BY as_of ORDER BY
+ score DESC, entity_id DESC) AS hi, count(*) OVER (PARTITION BY as_of) AS n FROM score
+ WHERE ff IS NOT NULL AND score <> 0)) WHERE lo <= kk OR hi <= kk""")
+cte("books", ["equal", "top10", "lspair"], """SELECT * FROM equal UNION ALL SELECT * FROM top10
+ UNION ALL SELECT * FROM lspair""")
+cte("turn", ["books", "sched"], """SELECT strategy, k, sum(abs(d)) AS turnover FROM (SELECT strategy, entity_id, k,
+ sum(w) AS d FROM (SELECT strategy, entity_id, k, weight AS w FROM books UNION ALL SELECT strategy,
+ entity_id, k + 1, -weight FROM books WHERE k + 1 < (SELECT count(*) FROM sched)) GROUP BY ALL)
+ GROUP BY ALL""")
+cte("bardates", ["scal", "sched"], """SELECT c.event_time, max(s.k) AS k FROM scal c JOIN sched s
+ ON s.as_of < c.event_time GROUP BY 1""")
+cte("rets", ["books", "turn", "bardates", "spanel", "sched"], """SELECT strategy, event_time, k, gross, cost,
+ gross - cost AS net, turnover FROM (SELECT n.strategy, b.event_time, b.k, coalesce(g.gross, 0.0) AS gross,
+ CASE WHEN row_number() OVER (PARTITION BY n.strategy, b.k ORDER BY b.event_time) = 1
+ THEN coalesce(t.turnover, 0) * 4e-4 + coalesce(h.short, 0) * 50e-4 * (h.days / 365.0) ELSE 0.0 END AS cost,
+ CASE WHEN row_number() OVER (PARTITION BY n.strategy, b.k ORDER BY b.event_time) = 1 THEN t.turnover END
+ AS turnover FROM bardates b CROSS JOIN (SELECT DISTINCT strategy FROM books) n
+ LEFT JOIN (SELECT strategy, p.event_time, sum(weight * ret) AS gross FROM books w JOIN bardates d
+ ON d.k = w.k JOIN spanel p ON p.event_time = d.event_time AND p.entity_id = w.entity_id WHERE ret IS NOT NULL
+ GROUP BY 1, 2) g ON g.strategy = n.strategy AND g.event_time = b.event_time
+ LEFT JOIN turn t ON t.strategy = n.strategy AND t.k = b.k
+ LEFT JOIN (SELECT strategy, s.k, sum(CASE WHEN weight < 0 THEN -weight ELSE 0 END) AS short,
+ any_value(date_diff('day', s.as_of, coalesce(s.next_as_of, (SELECT max(event_time) FROM scal)))) AS days
+ FROM books w JOIN sched s ON s.k = w.k GROUP BY 1, 2) h ON h.strategy = n.strategy AND h.k = b.k)""")
+cte("curve", ["rets"], """SELECT *, equity / peak - 1 AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY
+ strategy ORDER BY event_time) AS peak FROM (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY strategy ORDER BY
+ event_time)) AS equity FROM rets))""")

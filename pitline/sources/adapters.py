@@ -25,12 +25,12 @@ def _label(prefix: str, key: str) -> Column:
 
 
 def _bars(sales: DataFrame, unit: str) -> DataFrame:
-    """Volume-weighted price bar per (entity, time) from sales lines."""
+    """Price bar per (entity, time) from sales lines: 100 plus a hundredth of the unit price."""
     return (
         sales.withColumn("event_time", F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")))
         .groupBy("entity_id", "event_time")
         .agg(
-            (F.sum(cents("l_extendedprice")) / F.sum(F.col("l_quantity").cast("long")) / 100)
+            (F.sum(cents("l_extendedprice")) / F.sum(F.col("l_quantity").cast("long")) / 10000 + 100)
             .alias("close"),
             F.sum(F.col("l_quantity").cast("long")).cast("double").alias("volume"),
         )
