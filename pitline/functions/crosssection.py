@@ -167,3 +167,26 @@ def compounded(ret, window=None) -> Column:
     return F.when(zeros > 0, F.lit(0.0)).otherwise(
         F.exp(logs) * F.when(negatives % 2 == 1, -1.0).otherwise(1.0)
     )
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], sums: dict[str, Column]
+) -> DataFrame:
+    """Running sums along ``order`` per key, computed chunk by chunk.
+
+    ``chunk`` is a column that never decreases along ``order``. Totals of earlier chunks are
+    added to the running sum inside a chunk, so one long series is spread over many tasks.
+    """
+    keys = list(keys)
+    per = df.groupBy(*keys, chunk).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    earlier = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    offsets = per.select(
+        *keys,
+        chunk,
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+    )
+    inside = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    joined = df.join(offsets, [*keys, chunk])
+    for n, v in sums.items():
+        joined = joined.withColumn(n, F.col(f"_o_{n}") + F.sum(v).over(inside))
+    return joined.drop(*[f"_o_{n}" for n in sums])

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from pitline.plans import books, reads  # noqa: F401
+from pitline.plans import books, measures, reads  # noqa: F401
 from pitline.plans.registry import QUERIES, SQL  # noqa: F401
