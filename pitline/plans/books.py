@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitline.functions.timeline import Slots
 from pitline.operators import features as ft
 from pitline.operators import panel as pn
 from pitline.operators import returns as rt
@@ -12,8 +11,8 @@ from pitline.operators import scoring as sc
 from pitline.operators import sizing as sz
 from pitline.operators import strategies as st
 from pitline.plans.oracle import NAMES, zsql
-from pitline.plans.reads import supplier_panel, weekly_schedule
-from pitline.plans.registry import query, r
+from pitline.plans.reads import bars, supplier_panel, weekly_slots
+from pitline.plans.registry import query, r, shared
 from pitline.session import materialize
 from pitline.sources import adapters as ad
 
@@ -21,39 +20,53 @@ from pitline.sources import adapters as ad
 class Setup:
     """The pieces most queries share: panel, decision times, matrix and score."""
 
-    def __init__(self, spark, sf, insider: bool = True) -> None:
-        self.bars = materialize(ad.supplier_bars(spark, sf))
+    def __init__(self, spark, sf) -> None:
+        self.spark, self.sf = spark, sf
+        self.bars = bars(spark, sf)
         self.panel = pn.dense_panel(self.bars)
-        from pitline.functions.timeline import sample_dates
+        self.slots = weekly_slots(spark, sf)
+
+    def _once(self, name, build):
+        return shared(self.spark, self.sf, name, lambda: materialize(build()))
 
-        self.slots = Slots(sample_dates(self.bars.select("event_time"), warmup=60, every=20))
+    @property
+    def at(self):
+        """Panel rows with features at the decision times: small next to the panel."""
         extra = {
             "mom_20": pn.momentum(20), "mom_60": pn.momentum(60), "meanrev_5": pn.mean_reversion(5),
             "vol_20": pn.rolling_vol(20), "vol_s20": pn.rolling_vol(20, sample=True),
-            "mom_252_skip21": pn.momentum(252, 21), "lowvol_120": -pn.rolling_vol(120),
         }
-        # Small next to the panel and used by every branch of a book: written once.
-        self.at = materialize(st.at_decisions(self.panel.withColumns(extra), self.slots.schedule))
-        self.spark, self.sf = spark, sf
+        return self._once(
+            "at", lambda: st.at_decisions(self.panel.withColumns(extra), self.slots.schedule)
+        )
 
     def matrix(self):
         buys = ft.insider_net_buys(ad.disclosures(self.spark, self.sf), self.slots, 90)
         universe = self.at.select("as_of", "entity_id", "mom_60", "meanrev_5", "vol_20", "ff")
-        return materialize(ft.feature_matrix(universe, [buys], ["insider_net_buys_90d"]))
+        return self._once(
+            "matrix", lambda: ft.feature_matrix(universe, [buys], ["insider_net_buys_90d"])
+        )
 
     def score(self):
-        return materialize(sc.composite(self.matrix(), NAMES))
+        return self._once("score", lambda: sc.composite(self.matrix(), NAMES))
 
     def books(self):
         score = self.score()
-        return materialize(
-            st.equal_weight(self.at)
+        return self._once(
+            "books",
+            lambda: st.equal_weight(self.at)
             .unionByName(st.top_scores(self.at, score, 10))
-            .unionByName(st.long_short(self.at, score, 10, name="ls"))
+            .unionByName(st.long_short(self.at, score, 10, name="ls")),
         )
 
+    def windows(self):
+        positions = st.schedule_positions(self.panel, self.slots.schedule)
+        return self._once("windows", lambda: sz.return_windows(self.panel, positions))
+
     def returns(self):
-        return rt.return_table(self.books(), self.panel, self.slots, rt.BORROW)
+        return self._once(
+            "returns", lambda: rt.return_table(self.books(), self.panel, self.slots, rt.BORROW)
+        )
 
 
 @query("matrix", """SELECT as_of, entity_id, round(mom_60, 6) + 0.0 AS mom_60, round(meanrev_5, 6) + 0.0
@@ -274,8 +287,7 @@ RISK = f"""mine AS (SELECT f.as_of, f.t, f.entity_id, 1.0 / count(*) OVER (PARTI
  * 252), 5) + 0.0 AS ann_vol FROM (WITH {RISK} SELECT *, p::BIGINT AS n_names FROM risk)""")
 def shrunk_book_risk(spark, sf):
     s = Setup(spark, sf)
-    windows = sz.return_windows(s.panel, st.schedule_positions(s.panel, s.slots.schedule))
-    out = sz.book_risk(st.equal_weight(s.at), windows)
+    out = sz.book_risk(st.equal_weight(s.at), s.windows())
     vol = F.sqrt(F.col("variance") * 252)
     return out.select("as_of", "n_names", r("shrinkage", 5).alias("shrinkage"), r(vol, 5).alias("ann_vol"))
 
@@ -286,10 +298,7 @@ def shrunk_book_risk(spark, sf):
  JOIN risk k ON k.as_of = f.as_of))""")
 def vol_target(spark, sf):
     s = Setup(spark, sf)
-    windows = materialize(
-        sz.return_windows(s.panel, st.schedule_positions(s.panel, s.slots.schedule))
-    )
-    out = sz.vol_targeted(st.equal_weight(s.at), windows, 0.10)
+    out = sz.vol_targeted(st.equal_weight(s.at), s.windows(), 0.10)
     return out.select("as_of", "entity_id", r("weight").alias("weight"))
 
 
@@ -301,10 +310,7 @@ def vol_target(spark, sf):
  entity_id, weight FROM full_w) GROUP BY 1) hh ON hh.as_of = f.as_of))""")
 def size_book(spark, sf):
     s = Setup(spark, sf)
-    windows = materialize(
-        sz.return_windows(s.panel, st.schedule_positions(s.panel, s.slots.schedule))
-    )
-    out = st.sized_book(s.at, windows)
+    out = st.sized_book(s.at, s.windows())
     return out.select("as_of", "entity_id", r("weight").alias("weight"))
 
 
@@ -345,7 +351,7 @@ def solver_books(spark, sf):
  JOIN (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY event_time) - 1 AS pos FROM rets) x
  ON x.strategy = p.strategy AND x.pos = p.pos))) GROUP BY 1, 2) GROUP BY 1""")
 def block_bootstrap(spark, sf):
-    out = rt.monte_carlo(materialize(Setup(spark, sf).returns()), n_sims=200, block=10)
+    out = rt.monte_carlo(Setup(spark, sf).returns(), n_sims=200, block=10)
     cols = [c for c in out.columns if c not in ("strategy", "n_sims", "prob_positive")]
     return out.select("strategy", "n_sims", *[r(c, 5).alias(c) for c in cols], "prob_positive")
 
@@ -358,7 +364,7 @@ def block_bootstrap(spark, sf):
  strategy ORDER BY event_time) - 1 AS pos FROM rets) x ON x.strategy = p.strategy AND x.pos = p.pos) GROUP BY 1, 2)
  GROUP BY 1""")
 def bootstrap_interval(spark, sf):
-    out = rt.bootstrap_ci(materialize(Setup(spark, sf).returns()), "sharpe", n_boot=100, seed=7)
+    out = rt.bootstrap_ci(Setup(spark, sf).returns(), "sharpe", n_boot=100, seed=7)
     return out.select("strategy", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 

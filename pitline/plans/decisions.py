@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitline.functions.timeline import Slots, make_schedule, sample_dates
 from pitline.operators import features as ft
 from pitline.operators import forecast as fc
 from pitline.operators import grading as gr
@@ -14,9 +13,10 @@ from pitline.operators import returns as rt
 from pitline.operators import strategies as st
 from pitline.plans import jobs
 from pitline.plans.books import Setup
-from pitline.plans.measures import IC_NAMES, weekly_slots
+from pitline.plans.measures import IC_NAMES
 from pitline.plans.oracle import NAMES, cte
-from pitline.plans.registry import query, r
+from pitline.plans.reads import bars, weekly_slots
+from pitline.plans.registry import query, r, shared
 from pitline.session import materialize
 from pitline.sources import adapters as ad
 
@@ -29,14 +29,17 @@ cte("graded", ["preds", "icm"], """SELECT p.*, fwd AS ret, (fwd > 0)::INT::DOUBL
 
 
 def _predictions(s: Setup):
-    matrix = s.matrix()
-    return materialize(gr.predictions(s.score(), matrix, NAMES, "composite"))
+    build = lambda: materialize(gr.predictions(s.score(), s.matrix(), NAMES, "composite"))
+    return shared(s.spark, s.sf, "predictions", build)
 
 
 def _graded(spark, sf):
     s = Setup(spark, sf)
     fwd = pn.with_forward_returns(s.panel, 5).withColumnRenamed("event_time", "as_of")
-    return materialize(gr.matured(_predictions(s), fwd)), s
+    graded = shared(
+        spark, sf, "graded", lambda: materialize(gr.matured(_predictions(s), fwd))
+    )
+    return graded, s
 
 
 @query("preds", """SELECT as_of, entity_id, round(probability, 6) + 0.0 AS probability, round(mom_60, 6) + 0.0 AS mom_60,
@@ -170,12 +173,16 @@ cte("numbered", ["train"], """SELECT *, row_number() OVER (ORDER BY t0, entity_i
 
 
 def _training(spark, sf):
-    s = Setup(spark, sf)
-    fwd = pn.with_forward_returns(ft.price_features(s.panel, IC_NAMES), 5, partial=True)
-    at = st.at_decisions(fwd, s.slots.schedule)
-    regimes = ft.macro_regime(ad.macro_series(spark, sf), s.slots)
-    rows = fc.training_set(at, regimes, 5)
-    return materialize(rows.select("as_of", "entity_id", *IC_NAMES, fc.REGIME, "fwd", "label", "t0", "t1"))
+    def build():
+        s = Setup(spark, sf)
+        fwd = pn.with_forward_returns(ft.price_features(s.panel, IC_NAMES), 5, partial=True)
+        at = st.at_decisions(fwd, s.slots.schedule)
+        regimes = ft.macro_regime(ad.macro_series(spark, sf), s.slots)
+        rows = fc.training_set(at, regimes, 5)
+        cols = ["as_of", "entity_id", *IC_NAMES, fc.REGIME, "fwd", "label", "t0", "t1"]
+        return materialize(rows.select(*cols))
+
+    return shared(spark, sf, "training", build)
 
 
 @query("train", """SELECT as_of, entity_id, round(mom_60, 6) + 0.0 AS mom_60, regime_risk_on, label, t1 FROM train""")
@@ -202,7 +209,7 @@ def purged_folds(spark, sf):
 def walk_forward_folds(spark, sf):
     from pitline.functions.timeline import calendar_of
 
-    calendar = materialize(calendar_of(ad.supplier_bars(spark, sf)))
+    calendar = materialize(calendar_of(bars(spark, sf)))
     folds = fc.walk_forward(spark, calendar.count(), 100, 20)
     at = folds.withColumn("t", F.explode(F.sequence("test_from", F.col("test_to") - 1)))
     return at.join(calendar, "t").groupBy(
@@ -361,14 +368,14 @@ def flatten_plan(spark, sf):
 @query()
 def learning_replay(spark, sf):
     return jobs.learning_replay(
-        ad.supplier_bars(spark, sf), IC_NAMES, warmup=60, every=20, horizon=5
+        bars(spark, sf), IC_NAMES, warmup=60, every=20, horizon=5
     )[0]
 
 
 @query()
 def strategy_comparison(spark, sf):
     return jobs.compare_strategies(
-        materialize(ad.supplier_bars(spark, sf)), ad.disclosures(spark, sf), warmup=60, every=20
+        bars(spark, sf), ad.disclosures(spark, sf), warmup=60, every=20
     )[0]
 
 

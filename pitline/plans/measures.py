@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitline.functions import scalars as fs
-from pitline.functions.timeline import Slots, make_schedule
+from pitline.functions.timeline import Slots, make_schedule, sample_dates
 from pitline.operators import analogs as an
 from pitline.operators import events as ev
 from pitline.operators import features as ft
 from pitline.operators import panel as pn
 from pitline.operators import signal_ic as si
+from pitline.operators import strategies as st
 from pitline.operators import study as sd
 from pitline.operators import universe as un
 from pitline.plans.books import Setup
 from pitline.plans.oracle import cte
-from pitline.plans.reads import supplier_panel, weekly_schedule
-from pitline.plans.registry import query, r
+from pitline.plans.reads import bars, supplier_panel, weekly_schedule, weekly_slots
+from pitline.plans.registry import query, r, shared
 from pitline.session import materialize
 from pitline.sources import adapters as ad
 
 
-def weekly_slots(spark, sf):
-    return Slots(weekly_schedule(spark, sf))
-
-
 def daily_slots(spark, sf):
     """The end of every day with events."""
     day = F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("interval 1 day")
     days = ad.table(spark, sf, "events").select(day.alias("as_of"))
-    return Slots(make_schedule(days, "as_of"))
+    return shared(spark, sf, "daily_slots", lambda: Slots(make_schedule(days, "as_of")))
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -187,14 +184,12 @@ IC_NAMES = ["mom_60", "meanrev_5", "vol_20"]
 
 
 def _ics(spark, sf):
-    from pitline.operators import strategies as st
-
-    bars = materialize(ad.supplier_bars(spark, sf))
-    from pitline.functions.timeline import sample_dates
+    def build():
+        panel = pn.with_forward_returns(ft.price_features(supplier_panel(spark, sf), IC_NAMES), 5)
+        schedule = sample_dates(bars(spark, sf).select("event_time"), warmup=60, every=5)
+        return materialize(si.date_ics(st.at_decisions(panel, schedule), IC_NAMES))
 
-    panel = pn.with_forward_returns(ft.price_features(pn.dense_panel(bars), IC_NAMES), 5)
-    schedule = sample_dates(bars.select("event_time"), warmup=60, every=5)
-    return si.date_ics(st.at_decisions(panel, schedule), IC_NAMES)
+    return shared(spark, sf, "date_ics", build)
 
 
 @query("ics", "SELECT signal, as_of, round(ic, 6) + 0.0 AS ic, n_common FROM ics")
@@ -226,7 +221,7 @@ def signal_report(spark, sf):
 
 @query("scal", """SELECT event_time AS holdout_start FROM scal WHERE t = least(floor(n_dates * 0.8), n_dates - 1)""")
 def holdout_start(spark, sf):
-    return si.holdout_start(ad.supplier_bars(spark, sf).select("event_time"), 0.2)
+    return si.holdout_start(bars(spark, sf).select("event_time"), 0.2)
 
 
 @query("sched", """SELECT as_of, k < floor(count(*) OVER () * 0.6) AS is_train FROM sched""")
@@ -318,12 +313,12 @@ def market_model(spark, sf):
 
 
 def _study(spark, sf, n_permutations=0):
-    bars = materialize(ad.supplier_bars(spark, sf))
-    from pitline.functions.timeline import sample_dates
+    def build():
+        dates = Slots(make_schedule(bars(spark, sf).select("event_time")))
+        anchors = _anchors(spark, sf, weekly_slots(spark, sf))
+        return sd.run_study(anchors, supplier_panel(spark, sf), dates, n_permutations)
 
-    scans = Slots(sample_dates(bars.select("event_time"), warmup=60, every=20))
-    dates = Slots(make_schedule(bars.select("event_time")))
-    return sd.run_study(_anchors(spark, sf, scans), pn.dense_panel(bars), dates, n_permutations)
+    return shared(spark, sf, f"study_{n_permutations}", build)
 
 
 @query("dist", """SELECT event_type, n, round(mean_car, 6) + 0.0 AS mean_car, round(std_car, 6) + 0.0 AS std_car,

@@ -10,7 +10,7 @@ from pitline.functions.timeline import Slots, sample_dates
 from pitline.operators import bitemporal as bt
 from pitline.operators import panel as pn
 from pitline.operators import quality as q
-from pitline.plans.registry import query, r
+from pitline.plans.registry import query, r, shared
 from pitline.session import materialize
 from pitline.sources import adapters as ad
 from pitline.sources.sink import ingest_summary, symbols_to_fetch, upsert
@@ -78,7 +78,7 @@ def latest_state(spark, sf):
  FROM sched JOIN discv ON knowledge_time <= as_of AND (known_until IS NULL OR known_until > as_of)
  GROUP BY 1""")
 def multi_as_of(spark, sf):
-    slots = Slots(weekly_schedule(spark, sf))
+    slots = weekly_slots(spark, sf)
     buys = F.when(F.col("is_purchase"), 1).otherwise(0)
     out = bt.visible_counts(ad.disclosures(spark, sf), slots, ["dataset"], {"purchases": buys})
     return out.select("as_of", F.col("n_visible").cast("long"), "purchases")
@@ -102,7 +102,7 @@ def multi_as_of_rows(spark, sf):
  l_linenumber || '|' || l_suppkey || '|' || l_partkey || '|' || l_quantity) ON knowledge_time <= as_of
  GROUP BY 1, 2)""")
 def latest_at_each_date(spark, sf):
-    slots = Slots(weekly_schedule(spark, sf))
+    slots = weekly_slots(spark, sf)
     rows = bt.latest_per_entity_at(ad.disclosures(spark, sf), slots, "shares")
     return rows.select("as_of", "entity_id", F.col("shares").alias("latest"))
 
@@ -110,14 +110,14 @@ def latest_at_each_date(spark, sf):
 @query(["sbars", "sched"], """SELECT as_of, count(DISTINCT entity_id) AS n_tradable FROM sched
  JOIN sbars ON event_time <= as_of GROUP BY 1""")
 def tradable_universe(spark, sf):
-    slots = Slots(weekly_schedule(spark, sf))
+    slots = weekly_slots(spark, sf)
     rows = bt.tradable_at(ad.price_observations(spark, sf), slots)
     return rows.groupBy("as_of").agg(F.count(F.lit(1)).alias("n_tradable"))
 
 
 def bars(spark, sf):
     """Supplier bars, aggregated once and read back: a small table next to the order lines."""
-    return materialize(ad.supplier_bars(spark, sf))
+    return shared(spark, sf, "bars", lambda: materialize(ad.supplier_bars(spark, sf)))
 
 
 def supplier_panel(spark, sf):
@@ -126,7 +126,11 @@ def supplier_panel(spark, sf):
 
 def weekly_schedule(spark, sf):
     """Every 20th week after the first 60 of the supplier bars."""
-    return sample_dates(ad.supplier_bars(spark, sf).select("event_time"), warmup=60, every=20)
+    return sample_dates(bars(spark, sf).select("event_time"), warmup=60, every=20)
+
+
+def weekly_slots(spark, sf):
+    return shared(spark, sf, "weekly_slots", lambda: Slots(weekly_schedule(spark, sf)))
 
 
 # --- sinks and quality ---------------------------------------------------------------------

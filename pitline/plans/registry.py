@@ -49,6 +49,25 @@ def query(ctes: list[str] | str | None = None, sql: str | None = None):
     return add
 
 
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], object]):
+    """Intermediate tables several queries need, built once per application and input folder.
+
+    They are written to the shared folder, like the tables of any job with more than one report.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Build intermediate tables anew; the bench does so to time each query in full."""
+    _SHARED.clear()
+
+
 def r(column, digits: int = 6):
     """Round for output, spelled as the SQL side spells it (see ``_exact_rounding``)."""
     c = F.col(column) if isinstance(column, str) else column
