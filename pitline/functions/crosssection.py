@@ -40,41 +40,69 @@ def value_bucket(x) -> Column:
     return F.when(c == 0, F.lit(0)).otherwise(F.signum(c) * size).cast("int")
 
 
-def average_rank(
-    df: DataFrame, by: Sequence[str], value: str, out: str = "rank", pct: bool = False
-) -> DataFrame:
-    """1-based average rank of ``value`` within each group; nulls keep a null rank."""
-    by = list(by)
+def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct values with their count ``_n`` and the rows below ``_below``, totals per group).
+
+    Values are counted on the map side, then accumulated inside monotone buckets; bucket totals
+    are accumulated apart. No task sees a whole group.
+    """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", value_bucket(value))
     )
-    before = W.partitionBy(*by).orderBy("_b")
-    offsets = (
+    earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    buckets = (
         counts.groupBy(*by, "_b")
         .agg(F.sum("_n").alias("_bn"))
-        .withColumn(
-            "_below",
-            F.coalesce(
-                F.sum("_bn").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
+        .withColumn("_start", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
     )
-    inside = W.partitionBy(*by, "_b").orderBy(value)
-    ranked = counts.join(offsets, [*by, "_b"]).withColumn(
-        out,
-        F.col("_below")
-        + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0))
-        - (F.col("_n") - 1) / 2.0,
+    inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.join(buckets.drop("_bn"), [*by, "_b"]).withColumn(
+        "_below", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
+    totals = buckets.groupBy(*by).agg(F.sum("_bn").alias("_total"))
+    return placed.select(*by, value, "_n", "_below"), totals
+
+
+def average_rank(
+    df: DataFrame, by: Sequence[str], value: str, out: str = "rank", pct: bool = False
+) -> DataFrame:
+    """1-based average rank of ``value`` within each group; nulls keep a null rank."""
+    by = list(by)
+    placed, totals = _counted(df, by, value)
+    ranked = placed.withColumn(out, F.col("_below") + (F.col("_n") + 1) / 2.0)
     if pct:
-        totals = offsets.groupBy(*by).agg(F.sum("_bn").alias("_total"))
         ranked = ranked.join(totals, by).withColumn(out, F.col(out) / F.col("_total"))
     return df.join(ranked.select(*by, value, out), [*by, value], "left")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group, linear between neighbours: one column per name.
+
+    The two neighbours of each quantile are looked up in the cumulative counts of distinct
+    values, so a group of any size is never collected.
+    """
+    by = list(by)
+    placed, totals = _counted(df, by, value)
+    rows = placed.join(totals, by)
+    aggs = []
+    for name, q in named.items():
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        low = F.floor(at)
+        for part, i in (("lo", low), ("hi", F.least(low + 1, F.col("_total") - 1))):
+            hit = (F.col("_below") <= i) & (i < F.col("_below") + F.col("_n"))
+            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{part}_{name}"))
+        aggs.append(F.max(at - low).alias(f"_f_{name}"))
+    found = rows.groupBy(*by).agg(*aggs)
+    mixed = [
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+        for n in named
+    ]
+    return found.select(*by, *mixed)
+
+
 def ordered_rank(
     df: DataFrame,
     by: Sequence[str],

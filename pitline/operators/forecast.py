@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitline.functions.crosssection import average_rank, ordered_rank
+from pitline.functions.crosssection import average_rank, ordered_rank, quantiles
 from pitline.operators.features import days
 from pitline.session import materialize
 
@@ -28,9 +28,8 @@ def training_set(
     ``matrix`` carries the (possibly partial) forward return ``fwd``. Dates with one name go.
     """
     rows = matrix.where(F.col("fwd").isNotNull())
-    stats = rows.groupBy("as_of").agg(
-        F.percentile("fwd", F.lit(0.5)).alias("_median"), F.count(F.lit(1)).alias("_n")
-    )
+    sizes = rows.groupBy("as_of").agg(F.count(F.lit(1)).alias("_n"))
+    stats = sizes.join(quantiles(rows, ["as_of"], "fwd", {"_median": 0.5}), "as_of")
     risk = regimes.select("as_of", F.col("risk_on").cast("double").alias(REGIME))
     return (
         rows.join(stats.where(F.col("_n") >= 2), "as_of")
@@ -53,16 +52,18 @@ def numbered(samples: DataFrame) -> DataFrame:
     Positions are counted per date and shifted by the dates before, so no task sorts everything.
     """
     per = samples.groupBy("t0").agg(F.count(F.lit(1)).alias("_c"))
-    everything = W.partitionBy(F.lit(1))
+    everything = W.partitionBy(F.lit(1))  # one row per date
     shifts = per.select(
         "t0",
         (F.sum("_c").over(everything.orderBy("t0")) - F.col("_c")).alias("_before"),
         F.sum("_c").over(everything).alias("n_samples"),
     )
-    inside = W.partitionBy("t0").orderBy("entity_id")
-    return samples.join(shifts, "t0").withColumn(
-        "pos", F.row_number().over(inside) - 1 + F.col("_before")
-    ).drop("_before")
+    ranked = ordered_rank(
+        samples.withColumn("_same", F.lit(0.0)), ["t0"], "_same", "entity_id", "_rank"
+    )
+    return ranked.join(shifts, "t0").withColumn(
+        "pos", F.col("_rank") - 1 + F.col("_before")
+    ).drop("_before", "_same", "_rank", "_rank_of")
 
 
 def purged_folds(samples: DataFrame, n_splits: int = 5, embargo: float = 0.0) -> DataFrame:

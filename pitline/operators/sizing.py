@@ -352,21 +352,69 @@ def selection_weights(selected: DataFrame, mode: str = "equal") -> DataFrame:
 MAX_SOLVER_NAMES = 2000
 
 
-def pairwise_covariance(returns: DataFrame, max_names: int = MAX_SOLVER_NAMES) -> DataFrame:
-    """Sample covariance of each pair of names within a group, ``(grp, a, b, cov)``.
+def _moment_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairwise counts and sums of a group's names, accumulated over the dates of a partition."""
+    key, index, sums = None, {}, None
 
-    For solver groups only: the pairs are those of a group of at most ``max_names`` names, and a
-    larger group is an error, not a truncation. ``returns`` is ``(grp, t, entity_id, ret)``
-    without gaps. Each date's vector is expanded to its pairs, summed on the map side.
+    def flush():
+        names = np.array(list(index))
+        n = len(names)
+        i, j = np.indices((n, n))
+        count, sx, sxy = (m[:n, :n] for m in sums)
+        frame = {"grp": key, "a": names[i.ravel()], "b": names[j.ravel()],
+                 "n": count.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(), "sxy": sxy.ravel()}
+        out = pd.DataFrame(frame)
+        return out[out["n"] > 0]
+
+    for batch in batches:
+        for grp, names, rets in zip(batch["grp"], batch["names"], batch["rets"], strict=True):
+            if grp != key:
+                if key is not None:
+                    yield flush()
+                key, index, sums = grp, {}, [np.zeros((8, 8)) for _ in range(3)]
+            at = np.array([index.setdefault(n, len(index)) for n in names])
+            while len(index) > len(sums[0]):
+                sums = [np.pad(m, (0, len(m))) for m in sums]
+            cells, x = np.ix_(at, at), np.asarray(rets, dtype=float)
+            sums[0][cells] += 1.0
+            sums[1][cells] += x[:, None]
+            sums[2][cells] += np.outer(x, x)
+    if key is not None:
+        yield flush()
+
+
+def pairwise_covariance(
+    returns: DataFrame, max_names: int = MAX_SOLVER_NAMES, salts: int = 8
+) -> DataFrame:
+    """Sample covariance of the names of each solver group, ``(grp, a, b, cov)``.
+
+    ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. A group of
+    more than ``max_names`` names is an error, not a truncation. Each task adds up one matrix per
+    group over its dates (outer products in numpy) and emits it once; Spark sums the parts.
     """
     sizes = returns.groupBy("grp").agg(F.countDistinct("entity_id").alias("n"))
     if not sizes.where(F.col("n") > max_names).isEmpty():
         raise ValueError(f"a group has more than {max_names} names; use size_book instead")
-    left = returns.select("grp", "t", F.col("entity_id").alias("a"), F.col("ret").alias("x"))
-    right = returns.select("grp", "t", F.col("entity_id").alias("b"), F.col("ret").alias("y"))
-    return left.join(right, ["grp", "t"]).groupBy("grp", "a", "b").agg(
-        F.covar_samp("x", "y").alias("cov")
+    dates = returns.groupBy("grp", "t").agg(
+        F.array_sort(F.collect_list(F.struct("entity_id", "ret"))).alias("_v")
+    ).select(
+        "grp",
+        F.pmod(F.xxhash64("t"), F.lit(salts)).alias("_salt"),
+        F.transform("_v", lambda v: v["entity_id"]).alias("names"),
+        F.transform("_v", lambda v: v["ret"]).alias("rets"),
+    )
+    parts = (
+        dates.repartition("grp", "_salt")
+        .sortWithinPartitions("grp")
+        .select("grp", "names", "rets")
+        .mapInPandas(
+            _moment_parts,
+            "grp string, a string, b string, n double, sx double, sy double, sxy double",
+        )
     )
+    total = parts.groupBy("grp", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+    return total.where(F.col("n") > 1).select("grp", "a", "b", cov.alias("cov"))
 
 
 def solve_books(cov: DataFrame, expected: DataFrame | None = None, kelly: float = 0.25):

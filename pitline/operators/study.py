@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitline.functions.crosssection import quantiles
 from pitline.functions.timeline import Slots
 from pitline.operators.panel import market_return
 from pitline.operators.returns import draw
@@ -65,14 +66,13 @@ def outcome_distribution(cars: DataFrame, by: str = "event_type") -> DataFrame:
         F.avg("car").alias("mean_car"),
         F.coalesce(F.stddev_samp("car"), F.lit(0.0)).alias("std_car"),
         F.avg((F.col("car") > 0).cast("double")).alias("share_positive"),
-        F.percentile("car", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"),
     )
+    tails = quantiles(cars, [by], "car", {"q10": 0.1, "q50": 0.5, "q90": 0.9})
     t = F.when(
         F.col("std_car") > 0, F.col("mean_car") / (F.col("std_car") / F.sqrt("n"))
     ).otherwise(0.0)
-    return stats.select(
-        by, "n", "mean_car", "std_car", t.alias("t_stat"), "share_positive",
-        F.col("_q")[0].alias("q10"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q90"),
+    return stats.join(tails, by).select(
+        by, "n", "mean_car", "std_car", t.alias("t_stat"), "share_positive", "q10", "q50", "q90"
     )
 
 
@@ -147,13 +147,18 @@ def run_study(
     anchors: DataFrame, panel: DataFrame, dates: Slots, n_permutations: int = 0, seed: int = 0,
     post: int = 5,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(outcome distribution, placebo or None) per event type."""
+    """(outcome distribution, placebo or None) per event type, from anchors and a panel."""
     cars = materialize(abnormal_returns(panel, post=post))
-    anchors = materialize(anchors)
-    observed = outcome_distribution(at_anchors(anchors, cars, dates))
+    return measure(materialize(anchors), cars, dates, n_permutations, seed, post)
+
+
+def measure(
+    anchors: DataFrame, cars: DataFrame, dates: Slots, n_permutations: int = 0, seed: int = 0,
+    post: int = 5,
+) -> tuple[DataFrame, DataFrame | None]:
+    """``run_study`` on a CAR table that exists already."""
+    observed = outcome_distribution(materialize(at_anchors(anchors, cars, dates)))
     if not n_permutations:
         return observed, None
     observed = materialize(observed)
-    return observed, placebo(
-        anchors, cars, observed, dates.n, n_permutations, seed, post=post
-    )
+    return observed, placebo(anchors, cars, observed, dates.n, n_permutations, seed, post=post)

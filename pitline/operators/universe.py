@@ -68,30 +68,46 @@ def filers_only(symbols: DataFrame, filers: DataFrame) -> DataFrame:
     return symbols.join(filers.select("symbol").distinct(), "symbol", "left_semi")
 
 
-# The short watchlist.
-WATCHLIST = ["AAPL", "MSFT", "NVDA", "AMZN", "GOOGL", "META", "JPM", "XOM"]
+# The named symbol lists and the settings that ask for them.
+WATCHLIST = "AAPL MSFT NVDA AMZN GOOGL META JPM XOM".split()
+LIQUID = """
+AAPL MSFT NVDA AVGO ORCL CRM ADBE AMD INTC CSCO ACN IBM QCOM TXN NOW INTU AMAT MU LRCX ADI
+GOOGL META NFLX DIS CMCSA T VZ TMUS CHTR
+AMZN TSLA HD MCD NKE LOW SBUX BKNG TJX GM F
+PG KO PEP COST WMT PM MO CL MDLZ KMB
+UNH JNJ LLY PFE MRK ABBV TMO ABT DHR BMY AMGN CVS MDT GILD ISRG
+JPM BAC WFC GS MS C AXP BLK SPGI SCHW USB PNC
+CAT HON UPS BA GE RTX UNP LMT DE MMM EMR CSX
+XOM CVX COP SLB EOG MPC PSX
+LIN APD SHW FCX NEM DOW
+NEE DUK SO D AEP
+AMT PLD EQIX SPG O
+""".split()
+EUROPEAN_ADRS = """
+ASML SAP STM ERIC NOK NVO AZN NVS GSK SNY UL DEO BTI BUD SHEL BP TTE E EQNR UBS HSBC ING DB RIO
+STLA SPOT PHG
+""".split()
+EUROPE_ETFS = "VGK EZU IEUR FEZ".split()
 WATCHLIST_NAMES = ("watchlist", "megacap", "mega")
 GLOBAL_NAMES = ("global", "world", "liquid_global")
 
 
-def resolve_universe(spark: SparkSession, setting: str, lists: DataFrame | None = None) -> DataFrame:
-    """``(symbol)`` for a universe setting.
+def resolve_universe(spark: SparkSession, setting: str) -> DataFrame:
+    """``(symbol)`` for a universe setting: a named list or a comma-separated one.
 
-    A comma-separated setting is the list itself; the watchlist names give the short list. The
-    other names read the table ``lists`` (list, symbol): ``liquid``, plus ``adr`` and ``etf`` for
-    the global universe; an unknown name means ``liquid``.
+    An unknown name means the liquid list.
     """
     if "," in setting:
         text = spark.createDataFrame([(setting,)], "s string")
         each = text.select(F.explode(F.split(F.upper("s"), ",")).alias("symbol"))
         return each.select(F.trim("symbol").alias("symbol")).where(F.col("symbol") != "")
     key = setting.strip().lower()
+    symbols = LIQUID
     if key in WATCHLIST_NAMES:
-        return spark.createDataFrame([(s,) for s in WATCHLIST], "symbol string")
-    if lists is None:
-        raise ValueError("named universes need the table of lists")
-    wanted = ["liquid", "adr", "etf"] if key in GLOBAL_NAMES else ["liquid"]
-    return lists.where(F.col("list").isin(wanted)).select("symbol")
+        symbols = WATCHLIST
+    elif key in GLOBAL_NAMES:
+        symbols = [*LIQUID, *EUROPEAN_ADRS, *EUROPE_ETFS]
+    return spark.createDataFrame([(s,) for s in symbols], "symbol string")
 
 
 def recent_rows(facts: DataFrame, limit: int = 25) -> DataFrame:

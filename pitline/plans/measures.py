@@ -313,12 +313,16 @@ def market_model(spark, sf):
 
 
 def _study(spark, sf, n_permutations=0):
-    def build():
+    def inputs():
         dates = Slots(make_schedule(bars(spark, sf).select("event_time")))
-        anchors = _anchors(spark, sf, weekly_slots(spark, sf))
-        return sd.run_study(anchors, supplier_panel(spark, sf), dates, n_permutations)
+        anchors = materialize(_anchors(spark, sf, weekly_slots(spark, sf)))
+        return anchors, materialize(sd.abnormal_returns(supplier_panel(spark, sf))), dates
 
-    return shared(spark, sf, f"study_{n_permutations}", build)
+    anchors, cars, dates = shared(spark, sf, "study_inputs", inputs)
+    return shared(
+        spark, sf, f"study_{n_permutations}",
+        lambda: sd.measure(anchors, cars, dates, n_permutations),
+    )
 
 
 @query("dist", """SELECT event_type, n, round(mean_car, 6) + 0.0 AS mean_car, round(std_car, 6) + 0.0 AS std_car,

@@ -50,9 +50,13 @@ def symbols_to_fetch(universe: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Append facts to the store: one folder per dataset, sorted so file statistics prune."""
+    """Append facts to the store: one folder per dataset, sorted so file statistics prune.
+
+    Entities are spread by month as well, so one that owns much of a dataset fills many files.
+    """
+    month = F.date_trunc("month", F.col("knowledge_time"))
     (
-        facts.repartition("dataset", F.pmod(F.xxhash64("entity_id"), F.lit(64)))
+        facts.repartition("dataset", F.pmod(F.xxhash64("entity_id", month), F.lit(64)))
         .sortWithinPartitions("dataset", "entity_id", "knowledge_time")
         .write.mode(mode)
         .partitionBy("dataset")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
     """The same gate over a finished history of checks.
 
     Only checks that pass everything but the cooldown can act, and those are found with window
-    functions. The cooldown walk then sees just these few candidates per name.
+    functions. The cooldown walk then streams over these few candidates.
     """
     from pyspark.sql import Window as W
 
@@ -206,17 +207,27 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
         & (F.col("volume_ratio") >= cfg["volume"])
         & ~(F.lit(cfg["agree"]) & (F.col("_d") * F.col("daily_signal") < 0))
     ).select("entity_id", "event_time", F.col("_d").alias("action"))
-    gap = cfg["cooldown"] * 60.0
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for i, t in pdf.sort_values("event_time")["event_time"].items():
-            if last is None or (t - last).total_seconds() >= gap:
-                kept.append(i)
-                last = t
-        return pdf.loc[kept]
-
-    return candidates.groupBy("entity_id").applyInPandas(walk, CONFIRM_OUTPUT)
+    gap = np.timedelta64(int(cfg["cooldown"] * 60e9), "ns")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive by name and time; only the last action of the current name is kept, and
+        # the walk jumps from one action to the next.
+        name, last = None, None
+        for batch in batches:
+            kept = []
+            for key, rows in batch.groupby("entity_id", sort=False):
+                if key != name:
+                    name, last = key, None
+                times = rows["event_time"].to_numpy()
+                i = 0 if last is None else int(np.searchsorted(times, last + gap))
+                while i < len(times):
+                    kept.append(rows.index[i])
+                    last = times[i]
+                    i = int(np.searchsorted(times, last + gap))
+            yield batch.loc[kept]
+
+    ordered = candidates.repartition("entity_id").sortWithinPartitions("entity_id", "event_time")
+    return ordered.mapInPandas(walk, CONFIRM_OUTPUT)
 
 
 # --- sleeve lifecycle --------------------------------------------------------------------------
