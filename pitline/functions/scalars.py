@@ -33,13 +33,10 @@ def utc_timestamp(text) -> Column:
 
 def iso_utc(ts) -> Column:
     """ISO-8601 text of a UTC timestamp; the microseconds appear only when they are not zero."""
-    t = _c(ts)
-    micros = F.date_format(t, "SSSSSS")
-    return F.concat(
-        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-        F.lit("+00:00"),
-    )
+    text = F.replace(_c(ts).cast("string"), F.lit(" "), F.lit("T"))
+    # The cast drops trailing zeros of the fraction; the ISO text has all six digits or none.
+    width = F.when(F.length(text) == 19, 19).otherwise(26)
+    return F.concat(F.rpad(text, width, F.lit("0")), F.lit("+00:00"))
 
 
 def uuid5(name, namespace: str = ID_NAMESPACE) -> Column:

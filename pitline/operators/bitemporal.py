@@ -78,13 +78,13 @@ def with_validity(
     for the last version of a chunk, from the first version of the key's next chunk, so a key
     that owns a large share of all rows is spread over many tasks.
     """
-    # Null parts of the key compare as equal: a stand-in keeps the join and the window on the
-    # same plain columns, so the rows are shuffled once for both.
-    plain = {c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key}
-    rows = observations.withColumns({f"_k_{c}": v for c, v in plain.items()}).withColumn(
-        "_chunk", F.date_trunc(chunk, F.col("knowledge_time"))
-    )
-    keys = [f"_k_{c}" for c in key]
+    # A missing reference equals another missing one: a stand-in keeps the join and the window on
+    # the same plain columns, so the rows are shuffled once for both.
+    rows = observations.withColumn("_chunk", F.date_trunc(chunk, F.col("knowledge_time")))
+    keys = list(key)
+    if "ref" in keys:
+        rows = rows.withColumn("_ref", F.coalesce(F.col("ref"), F.lit("\0")))
+        keys[keys.index("ref")] = "_ref"
     following = W.partitionBy(*keys).orderBy("_chunk")
     heads = (
         rows.groupBy(*keys, "_chunk")
@@ -99,7 +99,7 @@ def with_validity(
     return (
         rows.join(heads, [*keys, "_chunk"])
         .withColumn("known_until", next_version)
-        .drop(*keys, "_chunk", "_next_chunk")
+        .drop("_ref", "_chunk", "_next_chunk")
     )
 
 

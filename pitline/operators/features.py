@@ -292,7 +292,7 @@ def earnings_features(
         F.explode(F.sequence(F.col("k0"), (F.col("k1") - 1).cast("int"))).alias("k"),
         F.when(n >= 4, last4).alias("eps_ttm"),
         sue.alias("_sue"),
-        F.element_at("quarters", -1)["knowledge_time"].alias("_filed"),
+        F.try_element_at("quarters", F.lit(-1))["knowledge_time"].alias("_filed"),
         n.alias("_n"),
     ).where(F.col("_n") > 0)
     out = slots.with_as_of(computed)

@@ -160,9 +160,9 @@ def expanding_ic(graded: DataFrame, matured_at: str, rebalances: DataFrame) -> D
         "signal", "k", *[F.sum(F.coalesce(c, F.lit(0))).over(upto).alias(c) for c in sums]
     )
     n = F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
     ic = F.when((n > 1) & (vx > 1e-18) & (vy > 1e-18), cov / F.sqrt(vx * vy))
     return run.withColumn("ic", ic).select("k", "signal", "ic", "n")
 

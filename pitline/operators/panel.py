@@ -54,7 +54,7 @@ def dense_panel(bars: DataFrame) -> DataFrame:
         F.when(F.col("t") >= F.col("_at"), F.col("close")).alias("ff"),
         "n_dates",
     )
-    dense = dense.withColumn("ret", F.col("ff") / F.lag("ff").over(by_entity()) - 1.0)
+    dense = dense.withColumn("ret", F.try_divide(F.col("ff"), F.lag("ff").over(by_entity())) - 1.0)
     stamps = calendar.select(F.col("t").cast("int").alias("t"), "event_time")
     return dense.join(stamps, "t").select(
         "entity_id", "t", "event_time", "px", "ff", "ret", "n_dates"
@@ -64,12 +64,12 @@ def dense_panel(bars: DataFrame) -> DataFrame:
 def momentum(lookback: int, skip: int = 0) -> Column:
     """Return from ``lookback`` bars ago to ``skip`` bars ago."""
     recent = F.lag("ff", skip).over(by_entity()) if skip else F.col("ff")
-    return recent / F.lag("ff", lookback).over(by_entity()) - 1.0
+    return F.try_divide(recent, F.lag("ff", lookback).over(by_entity())) - 1.0
 
 
 def mean_reversion(lookback: int) -> Column:
     """Minus the recent return: recent losers score high."""
-    return -(F.col("ff") / F.lag("ff", lookback).over(by_entity()) - 1.0)
+    return -(F.try_divide(F.col("ff"), F.lag("ff", lookback).over(by_entity())) - 1.0)
 
 
 def rolling_vol(window: int, sample: bool = False) -> Column:
@@ -102,7 +102,7 @@ def with_forward_returns(
     else:
         matured = bars_left >= horizon
     # No price up to the end of the horizon: every bar of it counted as zero.
-    return panel.withColumn(out, F.when(matured, F.coalesce(end / start - 1.0, F.lit(0.0))))
+    return panel.withColumn(out, F.when(matured, F.coalesce(F.try_divide(end, start) - 1.0, F.lit(0.0))))
 
 
 def market_return(panel: DataFrame) -> DataFrame:

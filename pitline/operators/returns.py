@@ -138,7 +138,7 @@ def buy_and_hold(panel: DataFrame, start_after: Column | None = None) -> DataFra
     path = W.partitionBy("entity_id").orderBy("event_time").rowsBetween(W.unboundedPreceding, 0)
     equity = rows.withColumn("_eq", compounded("ret", path))
     mean = equity.groupBy("event_time").agg(F.avg("_eq").alias("_eq"))
-    change = F.col("_eq") / F.lag("_eq").over(W.orderBy("event_time")) - 1.0
+    change = F.try_divide(F.col("_eq"), F.lag("_eq").over(W.orderBy("event_time"))) - 1.0
     return mean.select(
         F.lit("buy_and_hold").alias("strategy"), "event_time",
         F.coalesce(change, F.lit(0.0)).alias("net"),
@@ -150,7 +150,7 @@ def equity_curve(returns: DataFrame, by: str = "strategy", ret: str = "net") ->
     path = W.partitionBy(by).orderBy("event_time").rowsBetween(W.unboundedPreceding, 0)
     eq = returns.withColumn("equity", compounded(ret, path))
     eq = eq.withColumn("peak", F.max("equity").over(path))
-    return eq.withColumn("drawdown", F.col("equity") / F.col("peak") - 1.0)
+    return eq.withColumn("drawdown", F.try_divide("equity", "peak") - 1.0)
 
 
 def summarize(
@@ -188,7 +188,7 @@ def summarize(
         F.when(ok & (down > 0), F.col("_mean") / down * root).otherwise(0.0).alias("sortino"),
         F.when(F.col("max_drawdown") < 0, annual / F.abs("max_drawdown")).otherwise(0.0)
         .alias("calmar"),
-        "max_drawdown",
+        F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"),
         "hit_rate",
     )
 
@@ -212,14 +212,14 @@ def latching_breaker(
         peak = F.greatest(peak, F.lit(float(seed_peak)))
     marked = equity.withColumn("peak", peak)
     hit = F.when(
-        (F.col("peak") > 0) & (F.col("equity") / F.col("peak") - 1.0 <= -max_drawdown), 1
+        (F.col("peak") > 0) & (F.try_divide("equity", "peak") - 1.0 <= -max_drawdown), 1
     ).otherwise(0)
     return marked.withColumn("tripped", F.max(hit).over(path) == 1)
 
 
 def halt_flags(accounts: DataFrame, max_daily_loss: float) -> DataFrame:
     """Flag days whose return against the previous close reached the loss limit (0 disables)."""
-    day = F.col("equity") / F.col("last_equity") - 1.0
+    day = F.try_divide("equity", "last_equity") - 1.0
     hit = (F.col("last_equity") > 0) & (day <= -max_daily_loss)
     return accounts.withColumn("halted", hit if max_daily_loss > 0 else F.lit(False))
 
@@ -252,6 +252,7 @@ def resample(
     plan = (
         sizes.withColumn("_block", size)
         .withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
+        .repartition(by, "sim")
         .withColumn(
             "_b",
             F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_block")) - 1).cast("int"))),

@@ -27,9 +27,13 @@ def spearman_ic(pairs: DataFrame, by: Sequence[str], x: str = "x", y: str = "fwd
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation that is null (not NaN) when a side is flat."""
-    c = F.corr(x, y)
-    return F.when(~F.isnan(c), c)
+    """Pearson correlation over complete pairs, null when a side is flat.
+
+    Built from covariance and deviations: the built-in one divides by zero on a flat side.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def inverse_variance_weights(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -69,12 +73,9 @@ def orthogonality(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
     The pairs are of signals (a handful of columns), all correlated in one aggregation.
     """
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    def pair_corr(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        c = F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
-        return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(F.abs(c))
-
-    corr = matrix.groupBy(*AT).agg(*[pair_corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
+    corr = matrix.groupBy(*AT).agg(
+        *[F.coalesce(F.abs(correlation(a, b)), F.lit(0.0)).alias(f"{a}~{b}") for a, b in pairs]
+    )
     out = []
     for n in names:
         mine = [F.col(f"`{a}~{b}`") for a, b in pairs if n in (a, b)]

@@ -31,23 +31,33 @@ def abnormal_returns(
     market = market_return(moved) if market is None else market
     rows = moved.join(market, "event_time").where(F.col("market_ret").isNotNull())
     path = W.partitionBy("entity_id").orderBy("t")
-    fit = path.rowsBetween(-(gap + estimation), -(gap + 1))
-    window = path.rowsBetween(-pre, post)
-    fitted = rows.withColumns(
-        {
-            "_pos": F.row_number().over(path) - 1,
-            "alpha": F.regr_intercept("ret", "market_ret").over(fit),
-            "beta": F.regr_slope("ret", "market_ret").over(fit),
-            "_s": F.sum("ret").over(window),
-            "_m": F.sum("market_ret").over(window),
-            "_k": F.count(F.lit(1)).over(window),
-        }
+    upto = path.rowsBetween(W.unboundedPreceding, 0)
+    # Running moments: a window's sums are a difference of two of them, whatever its length.
+    x, y = F.col("market_ret"), F.col("ret")
+    moments = {"_x": x, "_y": y, "_xx": x * x, "_xy": x * y}
+    run = rows.withColumns({n: F.sum(v).over(upto) for n, v in moments.items()}).withColumn(
+        "_pos", F.row_number().over(path) - 1
     )
-    full = fitted.where(
-        (F.col("_pos") >= gap + estimation) & (F.col("_k") == pre + post + 1)
+
+    def at(name: str, offset: int):
+        moved = F.lag(name, -offset) if offset < 0 else F.lead(name, offset)
+        return F.coalesce(moved.over(path), F.lit(0.0)) if offset < 0 else moved.over(path)
+
+    fit = {
+        f"{n}_fit": at(n, -(gap + 1)) - at(n, -(gap + estimation + 1)) for n in moments
+    }
+    k = pre + post + 1
+    window = {f"{n}_win": at(n, post) - at(n, -(pre + 1)) for n in ("_x", "_y")}
+    full = run.withColumns({**fit, **window}).where(
+        (F.col("_pos") >= gap + estimation) & F.col("_x_win").isNotNull()
     )
-    car = F.col("_s") - F.col("_k") * F.col("alpha") - F.col("beta") * F.col("_m")
-    return full.select("entity_id", "t", car.alias("car"), "alpha", "beta").where(
+    n = float(estimation)
+    mx, my = F.col("_x_fit") / n, F.col("_y_fit") / n
+    var = F.col("_xx_fit") / n - mx * mx
+    beta = F.when(var > 1e-18, (F.col("_xy_fit") / n - mx * my) / var)
+    fitted = full.withColumn("beta", beta).withColumn("alpha", my - F.col("beta") * mx)
+    car = F.col("_y_win") - k * F.col("alpha") - F.col("beta") * F.col("_x_win")
+    return fitted.select("entity_id", "t", car.alias("car"), "alpha", "beta").where(
         F.col("car").isNotNull() & ~F.isnan("car")
     )
 
@@ -99,7 +109,9 @@ def placebo(
         means = None
     else:
         text = F.date_format("anchor", "yyyy-MM-dd HH:mm:ss")
-        moves = anchors.withColumn(
+        # Few rows become n_permutations times as many: spread them first.
+        tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        moves = anchors.repartition(tasks, "entity_id", "anchor").withColumn(
             "perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))
         ).withColumn(
             "t",

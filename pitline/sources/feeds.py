@@ -167,7 +167,7 @@ def parse_bars_payload(payloads: DataFrame, text: str = "payload") -> DataFrame:
     return bar.select(
         "symbol",
         F.col("b.t").alias("timestamp"),
-        F.to_date(F.substring("b.t", 1, 10)).alias("date"),
+        F.substring("b.t", 1, 10).try_cast("date").alias("date"),
         *[F.col(f"b.{k}").alias(n) for k, n in
           (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))],
     )
@@ -373,10 +373,12 @@ def macro_facts(payloads: DataFrame, text: str = "payload") -> DataFrame:
         ).alias("o"),
     )
     known = rows.select(
-        "series_id", F.to_date("o.date").alias("date"),
-        F.to_date("o.realtime_start").alias("vintage"),
+        "series_id", F.col("o.date").try_cast("date").alias("date"),
+        F.col("o.realtime_start").try_cast("date").alias("vintage"),
         F.col("o.value").try_cast("double").alias("value"),
-    ).where(F.col("value").isNotNull())
+    ).where(
+        F.col("value").isNotNull() & F.col("date").isNotNull() & F.col("vintage").isNotNull()
+    )
     return to_observations(
         known, source="fred", dataset=sm.MACRO, entity_type="macro_series",
         entity=F.col("series_id"), event_time=day_close("date"),
@@ -469,8 +471,8 @@ def parse_constituents(payloads: DataFrame, text: str = "payload") -> DataFrame:
     )
     return rows.select(
         F.upper("c.symbol").alias("symbol"), F.col("c.name").alias("name"),
-        F.to_date("c.added").alias("added"),
-        F.to_date(F.nullif(F.col("c.removed"), F.lit(""))).alias("removed"),
+        F.col("c.added").try_cast("date").alias("added"),
+        F.col("c.removed").try_cast("date").alias("removed"),
     )
 
 
