@@ -14,6 +14,7 @@ from pitline.operators import grading as gr
 from pitline.operators import panel as pn
 from pitline.operators import signal_ic as si
 from pitline.operators import study as sd
+from pitline.operators.sizing import RiskLimits
 from pitline.plans import jobs
 
 DAY0 = dt.datetime(2020, 1, 1, 21)
@@ -213,7 +214,8 @@ def test_replay_learns_on_a_trending_market(spark):
     rng = np.random.default_rng(8)
     drift = np.linspace(-0.002, 0.002, 10)
     frame = bars(spark, paths({f"N{j}": drift[j] + rng.normal(0, 0.002, 240) for j in range(10)}))
-    net, history = jobs.learning_replay(frame, ["mom_60", "vol_20"], warmup=70, every=20, horizon=10)
+    net, history = jobs.learning_replay(frame, ["mom_60", "vol_20"], warmup=70, every=20, horizon=10,
+                                        limits=RiskLimits(0.5))
     ics = {(r.signal, r.as_of): r.ic for r in history.collect() if r.ic is not None}
     assert len({k for _, k in ics}) >= 5 and all(v > 0.5 for (s, _), v in ics.items() if s == "mom_60")
     assert net.agg(F.avg("net")).first()[0] > 0
