@@ -241,7 +241,7 @@ METRICS = """SELECT strategy, n_periods, round(CASE WHEN total <= 0 THEN -1 ELSE
  round(mean / sqrt(down) * sqrt(252), 5) + 0.0 AS sortino, round(CASE WHEN max_drawdown < 0 THEN
  (CASE WHEN total <= 0 THEN -1 ELSE power(total, 252.0 / n_periods) - 1 END) / abs(max_drawdown) ELSE 0 END, 5)
  + 0.0 AS calmar, round(max_drawdown, 5) + 0.0 AS max_drawdown, round(hit, 5) + 0.0 AS hit_rate{0} FROM
- (SELECT strategy, count(*) AS n_periods, exp(sum(ln(1 + net))) AS total, stddev_samp(net) AS sd, avg(net) AS mean,
+ (SELECT strategy, count(*) AS n_periods, product(1 + net) AS total, stddev_samp(net) AS sd, avg(net) AS mean,
  avg(CASE WHEN net < 0 THEN net * net END) AS down, min(drawdown) AS max_drawdown,
  avg((net > 0)::INT::DOUBLE) AS hit{1} FROM {2} GROUP BY 1)"""
 SUMMARY = ["ann_return", "ann_vol", "sharpe", "sortino", "calmar", "max_drawdown", "hit_rate"]
@@ -342,9 +342,9 @@ def solver_books(spark, sf):
  round(quantile_cont(tr, 0.5), 5) + 0.0 AS total_return_q50, round(quantile_cont(tr, 0.95), 5) + 0.0 AS total_return_q95,
  round(quantile_cont(mdd, 0.05), 5) + 0.0 AS max_drawdown_q05, round(quantile_cont(mdd, 0.5), 5) + 0.0
  AS max_drawdown_q50, round(quantile_cont(sh, 0.5), 5) + 0.0 AS sharpe_q50, avg((tr > 0)::INT::DOUBLE) AS prob_positive
- FROM (SELECT strategy, sim, exp(sum(ln(1 + net))) - 1 AS tr, min(eq / peak - 1) AS mdd, avg(net) / stddev_samp(net)
+ FROM (SELECT strategy, sim, product(1 + net) - 1 AS tr, min(eq / peak - 1) AS mdd, avg(net) / stddev_samp(net)
  * sqrt(252) AS sh FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, sim ORDER BY p0) AS peak FROM (SELECT *,
- exp(sum(ln(1 + net)) OVER (PARTITION BY strategy, sim ORDER BY p0)) AS eq FROM (SELECT p.strategy, sim, p0, net FROM
+ (product(1 + net) OVER (PARTITION BY strategy, sim ORDER BY p0)) AS eq FROM (SELECT p.strategy, sim, p0, net FROM
  (SELECT strategy, sim, b * 10 + o AS p0, (CAST('0x' || substr(md5('0|' || sim || '|' || b), 1, 8) AS BIGINT) % n + o) % n
  AS pos, n FROM (SELECT strategy, count(*) AS n FROM rets GROUP BY 1) CROSS JOIN (SELECT range AS sim FROM range(200))
  CROSS JOIN (SELECT range AS b FROM range(1000)) CROSS JOIN (SELECT range AS o FROM range(10)) WHERE b * 10 + o < n) p

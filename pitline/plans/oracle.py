@@ -182,5 +182,5 @@ cte("rets", ["books", "turn", "bardates", "spanel", "sched"], """SELECT strategy
  any_value(date_diff('day', s.as_of, coalesce(s.next_as_of, (SELECT max(event_time) FROM scal)))) AS days
  FROM books w JOIN sched s ON s.k = w.k GROUP BY 1, 2) h ON h.strategy = n.strategy AND h.k = b.k)""")
 cte("curve", ["rets"], """SELECT *, equity / peak - 1 AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY
- strategy ORDER BY event_time) AS peak FROM (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY strategy ORDER BY
+ strategy ORDER BY event_time) AS peak FROM (SELECT *, (product(1 + net) OVER (PARTITION BY strategy ORDER BY
  event_time)) AS equity FROM rets))""")
