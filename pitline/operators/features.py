@@ -34,8 +34,6 @@ STACK_SET = [
 NEWS_SET = ["news_attention_7", "news_tone_7"]
 INTRADAY_SET = ["mom_30", "meanrev_5", "vol_30"]
 
-DAY = "interval 1 day"
-
 
 def days(n: int) -> Column:
     return F.make_dt_interval(F.lit(n))
@@ -230,18 +228,13 @@ def text_sentiment(reads: DataFrame, slots: Slots, window_days: int = 10) -> Dat
     return out.select("as_of", "entity_id", F.col("_v").alias(f"llm_news_sentiment_{window_days}d"))
 
 
-def earnings_by_slot(reports: DataFrame, slots: Slots) -> DataFrame:
-    """Quarters known at each decision time, one row per (as_of slot, entity, quarter)."""
-    known = with_validity(reports.where(F.col("eps").isNotNull()))
-    return slots.spans(known, "knowledge_time", "known_until")
-
-
 def earnings_history(reports: DataFrame, slots: Slots) -> DataFrame:
     """Visible quarters per (k, entity) as an array sorted by quarter end.
 
     A filing history is short (quarters of one entity), so the array is bounded by time.
     """
-    spans = earnings_by_slot(reports, slots)
+    known = with_validity(reports.where(F.col("eps").isNotNull()))
+    spans = slots.spans(known, "knowledge_time", "known_until")
     rows = spans.select(
         "entity_id",
         F.struct(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Payload keys that must be finite, those that must be positive, and the dataset
@@ -126,9 +125,3 @@ def freshness(
         hours.alias("hours_stale"),
         F.coalesce(hours > max_age_hours, F.lit(True)).alias("stale"),
     )
-
-
-def ranked_identity(observations: DataFrame) -> DataFrame:
-    """Position of each fact among those of the same identity (1 = first)."""
-    w = W.partitionBy(*IDENTITY).orderBy("observation_id")
-    return observations.withColumn("copy_no", F.row_number().over(w))

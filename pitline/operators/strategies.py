@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pitline.functions.crosssection import ordered_rank, top_fraction, top_k, zscore
 from pitline.operators.scoring import tilt_weights
 from pitline.operators.sizing import RiskLimits, apply_risk_limits, selection_weights, size_book
-from pitline.operators.sizing import vol_targeted as vol_targeted  # re-exported wrapper
 
 
 def at_decisions(panel: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -101,28 +101,26 @@ def placebo(
     """Share of random re-anchorings of the same names whose mean CAR is at least the observed.
 
     Every event is moved to a random interior date per permutation; the draw depends only on the
-    event, the permutation and the seed. Draws of one entity and date are counted before they
-    meet the CAR table. With no room to draw, or fewer than two events, the p-value is 1.
+    event, the permutation and the seed. With no room to draw, or fewer than two events, the
+    p-value is 1.
     """
     lo, hi = estimation + gap, n_dates - 1 - post - 1
     if hi <= lo:
         means = None
     else:
-        text = F.date_format("anchor", "yyyy-MM-dd HH:mm:ss")
+        name = F.concat_ws("|", "entity_id", F.date_format("anchor", "yyyy-MM-dd HH:mm:ss"))
         # Few rows become n_permutations times as many: spread them first.
         tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        moves = anchors.repartition(tasks, "entity_id", "anchor").withColumn(
-            "perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))
-        ).withColumn(
-            "t",
-            (draw(F.lit(hi - lo + 1), seed, F.col("perm").cast("string"), F.col("entity_id"), text)
-             + lo + 1).cast("int"),
+        spread = anchors.select(by, "entity_id", name.alias("_name")).repartition(tasks, "_name")
+        perm = F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))
+        at = draw(F.lit(hi - lo + 1), seed, F.col("perm").cast("string"), F.col("_name")) + lo + 1
+        moves = spread.withColumn("perm", perm).select(
+            by, "perm", "entity_id", at.cast("int").alias("t")
         )
-        counted = moves.groupBy(by, "perm", "entity_id", "t").agg(F.count(F.lit(1)).alias("_c"))
         means = (
-            counted.join(cars.select("entity_id", "t", "car"), ["entity_id", "t"])
+            moves.join(cars.select("entity_id", "t", "car"), ["entity_id", "t"])
             .groupBy(by, "perm")
-            .agg((F.sum(F.col("car") * F.col("_c")) / F.sum("_c")).alias("_mean"))
+            .agg(F.avg("car").alias("_mean"))
         )
     seen = observed.select(by, F.col("n").alias("n_events"), F.col("mean_car").alias("_obs"))
     if means is None:

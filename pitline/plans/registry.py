@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline.plans.oracle import with_ctes
+from pitline.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +59,14 @@ def shared(spark: SparkSession, sf: str, name: str, build: Callable[[], object])
 
     They are written to the shared folder, like the tables of any job with more than one report.
     """
-    key = (spark.sparkContext.applicationId, sf, name)
+    app = spark.sparkContext.applicationId
+    folder = shared_dir(spark)
+    if "://" not in folder:  # a local folder may have been cleared: then build everything anew
+        mark = os.path.join(folder, f"pitline-{app}")
+        if not os.path.isdir(mark):
+            forget_shared()
+            os.makedirs(mark, exist_ok=True)
+    key = (app, sf, name)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
