@@ -60,8 +60,11 @@ def ic_weights(ics: DataFrame, by: Sequence[str] = (), cap: float = 0.5, min_abs
     totals = kept.groupBy(*by).agg(
         F.sum(F.abs("_ic")).alias("_sum"), F.count(F.lit(1)).alias("_n")
     )
-    # Without ``by`` the totals are a single row.
-    joined = kept.join(totals, list(by)) if by else kept.crossJoin(F.broadcast(totals))
+    if by:
+        joined = kept.join(totals, list(by))
+    else:  # the totals are one row
+        one = totals.select(F.struct("_sum", "_n")).scalar()
+        joined = kept.withColumn("_t", one).select("*", "_t.*")
     share = F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("_ic") / F.col("_sum")))
     weight = F.when(F.col("_sum") == 0, 1.0 / F.col("_n")).otherwise(share)
     return joined.select(*by, "signal", weight.alias("weight"))
