@@ -29,20 +29,27 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+    "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()),
+}
+
+
+def arrow_schema(columns: str) -> pa.Schema:
+    """The Arrow schema of ``"name type, name type"``, usable inside tasks."""
+    pairs = (c.split() for c in columns.split(","))
+    return pa.schema([(name, ARROW[kind]) for name, kind in pairs])
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
     """Run Python over small batches of ``df``.
 
     ``make()`` runs once per task and returns a function from the columns (lists, in order) to a
     dict of output columns. Output batches are small too, so a task holds few texts at a time.
     """
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = _parse_datatype_string(schema)
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(out)
+        arrow = arrow_schema(schema)
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -52,8 +59,24 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
                     [pa.array(got[f.name], f.type) for f in arrow], schema=arrow
                 )
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, schema)
 
 
 def flat(parts) -> list:
     return list(itertools.chain.from_iterable(parts))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``materialize``, after which Spark may delete the shuffle files that made the table.
+
+    They are often several times the table's size; without them a later step has the disk.
+    """
+    from pitline.session import materialize
+
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)

@@ -18,6 +18,7 @@ import itertools
 import re
 from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,8 +170,6 @@ def redacted(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; null texts stay null, other columns stay."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redacted)

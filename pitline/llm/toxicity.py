@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -324,8 +325,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns; the text is scored."""
-    import pandas as pd
-
     model = train(id_and_text(docs), labels)
 
     @F.pandas_udf("boolean")
