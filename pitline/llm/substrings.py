@@ -8,12 +8,12 @@ one) is its *anchor*. Equal windows have equal anchors at equal places, so two s
 byte in 13 starts one.
 
 1. Each task sorts the spans of some megabytes by anchor hash, then by the hash of the whole span. A
-   span that also stands in a smaller document of the task is settled there. If several documents of
-   the task share an anchor, their other spans are set aside, and one of them goes on as a marker. All
-   anchors that are alone in their task go on. So a task sends at most one document's spans for an
-   anchor, however many documents hold it.
+   span that also stands in a smaller document of the task is settled there. An anchor that several
+   documents of the task have in different spans is *mixed*: its other spans are set aside, and one of
+   them goes on as a marker. All other spans go on. So a task sends at most one document's spans for
+   an anchor, however many documents hold it.
 2. Spark brings equal anchors together, by ranges of their hash. Sorted in the same way, spans that
-   also stand in a smaller document are settled, and those that share only their anchor are set aside.
+   also stand in a smaller document are settled; the others of mixed anchors are set aside.
 3. The windows of the spans set aside, the edges of passages, are sorted by their own hash, in each
    task first and then over all, and settled if they stand in a smaller document. Candidate matches
    are verified with a second, independent hash.
@@ -42,7 +42,7 @@ WINDOW = 50
 GRAM = 25
 #: Bytes hashed at once, spans and windows a task sorts at once.
 BUFFER = 1 << 19
-SORTED = 1_500_000
+SORTED = 700_000
 #: Bytes of text whose spans meet in one bucket, about, and buckets at least.
 BUCKET_TEXT = 5_000_000
 BUCKETS = 64
@@ -168,23 +168,24 @@ def spread(first: np.ndarray, values: np.ndarray) -> np.ndarray:
 def judged(h, k, doc):
     """Sort spans by anchor hash, span hash and document.
 
-    Returns the order and, in it: first row of an anchor, whether the span also stands in a smaller
-    document, whether the anchor stands in several documents.
+    Returns the order and, in it: the number of the row's anchor, whether the span also stands in a
+    smaller document, whether the anchor stands in several documents, and whether in several spans.
     """
     order = np.lexsort((doc, k, h))
     h, k, doc = h[order], k[order], doc[order]
-    anchor = groups(h)
-    settled_ = doc > spread(groups(h, k), doc)
+    anchor, span = groups(h), groups(h, k)
+    known = doc > spread(span, doc)
     number = np.cumsum(anchor) - 1
     at = np.flatnonzero(anchor)
-    several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else at > 0
-    return order, anchor, settled_, several[number]
+    documents = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+    spans_ = np.add.reduceat(span.astype(np.int64), at) > 1
+    return order, number, known, documents[number], spans_[number]
 
 
 def merged(start: np.ndarray, stop: np.ndarray, doc: np.ndarray):
     """Unite intervals of a document that overlap or touch; returns them sorted by document."""
     order = np.lexsort((stop, start, doc))
-    start, stop, doc = start[order], stop[order], doc[order]
+    start, stop, doc = (x[order].astype(np.int64) for x in (start, stop, doc))
     new = groups(doc)
     number = np.cumsum(new)
     reach = np.maximum.accumulate(stop + number * (1 << 40)) - number * (1 << 40)
@@ -201,6 +202,8 @@ ROWS = (
     "doc binary, start binary, width binary"
 )
 SHIP, SETTLED, ASIDE = 0, 1, 2
+#: Added to the width of a span that goes on for a mixed anchor.
+MIXED = 128
 RESULT = "kind int, doc_id long, row_key long, data binary"
 
 
@@ -240,12 +243,26 @@ def _ship(out: _Rows, n_buckets, ids, keys, h, k, doc, start, width):
         small = "<u2" if len(named) < 1 << 16 else "<u4"
         out.add(
             SHIP, int(bucket[a]), None, None,
-            ids[named].astype("<i8").tobytes(), keys[named].astype("<i8").tobytes(),
+            _deltas(ids[named]), keys[named].astype("<i4").tobytes(),
             _pack(h[a:b], 40), _pack(k[a:b], 48), own.astype(small).tobytes(),
             start[a:b].astype("<u4").tobytes(), width[a:b].astype("u1").tobytes(),
         )
 
 
+def _deltas(ids: np.ndarray) -> bytes:
+    """The smallest id and what the others add to it, in four bytes each if that is enough."""
+    base = ids.min()
+    more = (ids.astype("<i8") - base).view(U)
+    small = more.max() < 1 << 32
+    return base.astype("<i8").tobytes() + more.astype("<u4" if small else "<u8").tobytes()
+
+
+def _ids(data: bytes, n: int) -> np.ndarray:
+    base = np.frombuffer(data[:8], "<i8")
+    more = np.frombuffer(data[8:], "<u4" if len(data) == 8 + 4 * n else "<u8")
+    return base + more.astype(U).view(np.int64)
+
+
 def _pack(x: np.ndarray, bits: int) -> bytes:
     """The lowest bits of each number, column of bytes by column."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
@@ -264,16 +281,16 @@ def _received(table: pa.Table):
     for row in table.to_pylist():
         if row["kind"] != SHIP:
             continue
-        own = np.frombuffer(row["docs"], "<i8")
-        small = "<u2" if len(own) < 1 << 16 else "<u4"
-        ids.append(own)
-        keys.append(np.frombuffer(row["keys"], "<i8"))
+        key = np.frombuffer(row["keys"], "<i4")
+        small = "<u2" if len(key) < 1 << 16 else "<u4"
+        ids.append(_ids(row["docs"], len(key)))
+        keys.append(key)
         hs.append(_unpack(row["h"], 40))
         ks.append(_unpack(row["k"], 48))
-        docs.append(np.frombuffer(row["doc"], small).astype(np.int64) + n)
-        starts.append(np.frombuffer(row["start"], "<u4").astype(np.int64))
-        widths.append(np.frombuffer(row["width"], "u1").astype(np.int64))
-        n += len(own)
+        docs.append(np.frombuffer(row["doc"], small).astype(np.int32) + n)
+        starts.append(np.frombuffer(row["start"], "<u4"))
+        widths.append(np.frombuffer(row["width"], "u1"))
+        n += len(key)
     if not n:
         return None
     return tuple(map(np.concatenate, (ids, keys, hs, ks, docs, starts, widths)))
@@ -319,19 +336,22 @@ def _span_rows(n_buckets: int):
     def flush(held: _Held, schema):
         ids, keys, (h, k, doc, start, width) = held.taken()
         rank = np.unique(ids, return_inverse=True)[1]
-        order, anchor, known, several = judged(h, k, rank[doc])
+        order, _, known, documents, several = judged(h, k, rank[doc])
         h, k, doc, start, width = (x[order] for x in (h, k, doc, start, width))
+        mixed = documents & several
         out = _Rows()
         s, e, d = merged(start[known], start[known] + width[known] + WINDOW - 1, doc[known])
         out.per_document(SETTLED, ids, keys, d, np.column_stack([s, e]), n_buckets)
-        aside = several & ~known
-        by_doc = np.flatnonzero(aside)[np.argsort(doc[aside], kind="stable")]
-        pairs = np.column_stack([start[by_doc], width[by_doc]])
-        out.per_document(ASIDE, ids, keys, doc[by_doc], pairs, n_buckets)
-        marker = np.zeros(len(h), dtype=bool)  # the smallest document's first span of each anchor
-        first = np.lexsort((rank[doc], h))
+        aside = np.flatnonzero(mixed & ~known)
+        aside = aside[np.argsort(doc[aside], kind="stable")]
+        pairs = np.column_stack([start[aside], width[aside]])
+        out.per_document(ASIDE, ids, keys, doc[aside], pairs, n_buckets)
+        first = np.lexsort((rank[doc], h))  # the smallest document's first span of each anchor
+        marker = np.zeros(len(h), dtype=bool)
         marker[first[groups(h[first])]] = True
-        send = ~several | marker
+        marker &= mixed
+        send = marker | ~(mixed | known)
+        width = width + marker.astype(np.uint8) * np.uint8(MIXED)
         _ship(out, n_buckets, ids, keys, *(x[send] for x in (h, k, doc, start, width)))
         yield from out.batches(schema)
 
@@ -344,7 +364,10 @@ def _span_rows(n_buckets: int):
                 if len(h):
                     part = np.searchsorted(a, first, "right") - 1
                     start = first - a[part] + offset[part]
-                    held.rows(h, k, text[part] + base, start, last - first + 1)
+                    held.rows(
+                        h, k, (text[part] + base).astype(np.int32), start.astype(np.uint32),
+                        (last - first + 1).astype(np.uint8),
+                    )
             if held.n >= SORTED:
                 yield from flush(held, schema)
                 held = _Held()
@@ -390,11 +413,14 @@ def _meet_spans(table: pa.Table) -> pa.Table:
     got = _received(table)
     if got:
         ids, keys, h, k, doc, start, width = got
-        order, _, known, several = judged(h, k, ids[doc])
+        order, number, known, documents, several = judged(h, k, ids[doc])
         doc, start, width = doc[order], start[order], width[order]
+        marked = np.bincount(number, width >= MIXED) > 0
+        mixed = documents & (several | marked[number])
+        width = width % np.uint8(MIXED)
         s, e, d = merged(start[known], start[known] + width[known] + WINDOW - 1, doc[known])
         _by_document(SETTLED, ids, keys, d, np.column_stack([s, e]), out)
-        aside = np.flatnonzero(several & ~known)
+        aside = np.flatnonzero(mixed & ~known)
         aside = aside[np.argsort(doc[aside], kind="stable")]
         _by_document(ASIDE, ids, keys, doc[aside], np.column_stack([start[aside], width[aside]]), out)
     return _result(out)
@@ -410,13 +436,13 @@ def _window_rows(n_buckets: int):
     def flush(held: _Held, schema):
         ids, keys, (h, k, doc, start) = held.taken()
         rank = np.unique(ids, return_inverse=True)[1]
-        order, anchor, known, _ = judged(h, k, rank[doc])
+        order, _, known, _, _ = judged(h, k, rank[doc])
         h, k, doc, start = (x[order] for x in (h, k, doc, start))
         out = _Rows()
         s, e, d = merged(start[known], start[known] + WINDOW, doc[known])
         out.per_document(SETTLED, ids, keys, d, np.column_stack([s, e]), n_buckets)
         rest = tuple(x[~known] for x in (h, k, doc, start))
-        _ship(out, n_buckets, ids, keys, *rest, np.ones(len(rest[0]), dtype=np.int64))
+        _ship(out, n_buckets, ids, keys, *rest, np.ones(len(rest[0]), dtype=np.uint8))
         yield from out.batches(schema)
 
     def run(batches):
@@ -451,7 +477,8 @@ def _windows_of(text: bytes, pairs: np.ndarray, doc: int):
             part = data[at : at + step + WINDOW]
             hs.append(Prefix(part).parts(mine, mine + WINDOW))
             ks.append(Prefix(part, BASE2).parts(mine, mine + WINDOW))
-    return np.concatenate(hs), np.concatenate(ks), np.full(len(starts), doc), starts
+    doc = np.full(len(starts), doc, dtype=np.int32)
+    return np.concatenate(hs), np.concatenate(ks), doc, starts.astype(np.uint32)
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
@@ -463,7 +490,7 @@ def _meet_windows(table: pa.Table) -> pa.Table:
     got = _received(table)
     if got:
         ids, keys, h, k, doc, start, _ = got
-        order, _, known, _ = judged(h, k, ids[doc])
+        order, _, known, _, _ = judged(h, k, ids[doc])
         doc, start = doc[order][known], start[order][known]
         s, e, d = merged(start, start + WINDOW, doc)
         _by_document(SETTLED, ids, keys, d, np.column_stack([s, e]), out)
@@ -523,7 +550,7 @@ def intervals(keyed: DataFrame, n_buckets: int) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row per document."""
     rows = id_and_text(docs)
-    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = rows.withColumn("row_key", F.hash("doc_id", "text").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(BUCKETS, -(-total // BUCKET_TEXT))
     known = keyed.where("doc_id is not null").select("doc_id", "row_key", "text")
