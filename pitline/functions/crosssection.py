@@ -13,12 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitline.session import materialize
+
+
+def known(value) -> Column:
+    """The value as a double, with NaN as null: statistics and ranks leave both out."""
+    c = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(c), c)
+
 
 def zscore(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Standardise columns within each group (population deviation).
 
-    A flat column maps to 0, null stays null.
+    A flat column maps to 0, null stays null and NaN becomes null.
     """
+    df = df.withColumns({c: known(c) for c in cols})
     stats = df.groupBy(*by).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols],
         *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols],
@@ -34,10 +43,19 @@ def zscore(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str =
 
 
 def value_bucket(x) -> Column:
-    """Monotone integer bucket of a double: 32 buckets per power of two, signed."""
-    c = F.col(x) if isinstance(x, str) else x
+    """Monotone integer bucket of a double: 32 buckets per power of two, signed.
+
+    The infinities have the outermost buckets, NaN has none.
+    """
+    c = known(x)
     size = F.floor(F.log2(F.abs(c)) * 32) + 40_000
-    return F.when(c == 0, F.lit(0)).otherwise(F.signum(c) * size).cast("int")
+    endless = F.abs(c) == float("inf")
+    return (
+        F.when(c == 0, F.lit(0))
+        .when(endless, F.signum(c) * 100_000)
+        .when(c.isNotNull() & ~endless, F.signum(c) * F.when(~endless & (c != 0), size))
+        .cast("int")
+    )
 
 
 def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +65,7 @@ def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataF
     are accumulated apart. No task sees a whole group.
     """
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(known(value).isNotNull())
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", value_bucket(value))
@@ -69,7 +87,7 @@ def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataF
 def average_rank(
     df: DataFrame, by: Sequence[str], value: str, out: str = "rank", pct: bool = False
 ) -> DataFrame:
-    """1-based average rank of ``value`` within each group; nulls keep a null rank."""
+    """1-based average rank of ``value`` within each group; null and NaN have a null rank."""
     by = list(by)
     placed, totals = _counted(df, by, value)
     ranked = placed.withColumn(out, F.col("_below") + (F.col("_n") + 1) / 2.0)
@@ -113,50 +131,32 @@ def ordered_rank(
 ) -> DataFrame:
     """Strict 1..n rank by ``value`` (ties by ascending ``tie``) plus the group size ``<out>_of``.
 
-    Rows are numbered inside small order-preserving buckets (of the value, then of the first
-    characters of ``tie`` after the prefix all ties of the group share) and shifted by the number
-    of rows in earlier buckets, so neither a large group nor a large tie lands in one task.
-    Rows with a null ``value`` are dropped.
+    The rows are range-partitioned by group, value and tie, numbered inside each range and shifted
+    by the rows of the ranges before. Spark samples the bounds of the ranges, so neither a large
+    group nor a large tie lands in one task, whatever the names look like. The ranges are written
+    once, because numbers and shifts must see the same bounds. Rows with a null or NaN ``value`` are
+    dropped.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull())
-    prefix = rows.groupBy(*by).agg(
-        F.length(
-            F.regexp_extract(F.concat_ws("\n", F.min(tie), F.max(tie)), r"(?s)^(.*).*\n\1", 1)
-        ).alias("_len"),
-        F.count(F.lit(1)).alias(f"{out}_of"),
-    )
-    rows = (
-        rows.join(prefix, by)
-        .withColumn("_b", value_bucket(value))
-        .withColumn("_t", F.col(tie).substr(F.col("_len") + 1, F.lit(2)))
-    )
-
-    def direct(c: str) -> Column:
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    # Counts per (value, tie prefix), then the number of rows ahead of each: first the buckets
-    # ahead, then the values ahead inside the same bucket.
-    values = rows.groupBy(*by, "_b", value, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*by).orderBy(direct("_b")).rowsBetween(W.unboundedPreceding, -1)
-    buckets = (
-        values.groupBy(*by, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_start", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
-        .drop("_bn")
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(tie).asc()]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialize(
+        df.where(known(value).isNotNull())
+        .repartitionByRange(n, *by, *order)
+        .withColumn("_range", F.spark_partition_id())
     )
-    inside = W.partitionBy(*by, "_b").orderBy(direct(value), "_t")
-    ahead = F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shifts = (
-        values.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
-        .join(buckets, [*by, "_b"])
-        .select(*by, value, "_t", (F.col("_start") + F.col("_ahead")).alias("_shift"))
+        ranges.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_shift": F.sum("_n").over(before), f"{out}_of": F.sum("_n").over(group)})
+        .drop("_n")
     )
-    last = W.partitionBy(*by, value, "_t").orderBy(tie)
+    inside = W.partitionBy(*by, "_range").orderBy(*order)
+    number = F.row_number().over(inside) + F.coalesce(F.col("_shift"), F.lit(0))
     return (
-        rows.join(shifts, [*by, value, "_t"])
-        .withColumn(out, (F.row_number().over(last) + F.col("_shift")).cast("long"))
-        .drop("_b", "_t", "_len", "_shift")
+        ranges.join(shifts, [*by, "_range"]).withColumn(out, number.cast("long"))
+        .drop("_range", "_shift")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from pitline.functions.scalars import case_against, recommendation_confidence
 
-QUERY_BLOCK = 2048
+#: Queries and episodes that meet in one task.
+QUERY_BLOCK, EPISODE_BLOCK = 2048, 32_768
 
 
 def nearest(
@@ -22,65 +23,57 @@ def nearest(
     *,
     match: Sequence[str] = (),
     block: int = QUERY_BLOCK,
+    episode_block: int = EPISODE_BLOCK,
 ) -> DataFrame:
     """Exact k nearest episodes of each query: ``(query, rank, key, distance, outcome)``.
 
     ``queries`` is ``(query, vector, *match)``; only episodes equal in the ``match`` columns
-    (regime, event_type) count. Queries travel to the tasks in blocks of at most ``block``
-    vectors, one pass over the episodes each, and every task keeps its own k best per query, so
-    neither all pairs nor a large query set are ever in one place.
+    (regime, event_type) count, a null there matches any. Both sides are cut into blocks of bounded
+    size by a hash of their names, and every pair of blocks is one unit of work that keeps its k best
+    per query. Nothing passes through the driver, and each episode is read once.
     """
     match = list(match)
-    numbered = queries.select("query", "vector", *match)
-    n = numbered.count()
-    n_blocks = max(1, -(-n // block))
-    candidates = None
-    for b in range(n_blocks):
-        part = numbered
-        if n_blocks > 1:
-            part = _ordered_block(numbered, b, block)
-        found = _scan(episodes, part.collect(), k, match)
-        candidates = found if candidates is None else candidates.unionByName(found)
+    asked = queries.select("query", F.col("vector").alias("target"), *match)
+    known = episodes.select("key", "vector", "outcome", *match)
+    n_asked, n_known = max(1, -(-asked.count() // block)), max(1, -(-known.count() // episode_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumns({"_q": of("query", n_asked), "_e": every(n_known)})
+    right = known.withColumns({"_q": every(n_asked), "_e": of("key", n_known)})
+    unit = ["_q", "_e"]
+    candidates = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
+        _best_of_blocks(k, match), "query string, key string, distance double, outcome double"
+    )
     w = W.partitionBy("query").orderBy("distance", "key")
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _ordered_block(queries: DataFrame, b: int, block: int) -> DataFrame:
-    """Block ``b`` of the queries in name order (never more than ``block`` rows)."""
-    return queries.orderBy("query").offset(b * block).limit(block)
-
-
-def _scan(episodes: DataFrame, rows: list, k: int, match: list[str]) -> DataFrame:
-    names = [row["query"] for row in rows]
-    matrix = np.array([row["vector"] for row in rows], dtype=float)
-    wanted = [tuple(row[m] for m in match) for row in rows]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            if pdf.empty or not names:
-                continue
-            vectors = np.stack(pdf["vector"].to_numpy())
-            for q, target in enumerate(matrix):
-                keep = np.ones(len(pdf), dtype=bool)
-                for m, value in zip(match, wanted[q], strict=True):
+def _best_of_blocks(k: int, match: list[str]):
+    def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(known):
+            known = known.sort_values("key", ignore_index=True)  # ties go to the first name
+            vectors = np.stack(known["vector"].to_numpy())
+            columns = {m: known[m].to_numpy() for m in match}
+            for row in asked.itertuples(index=False):
+                fits = np.ones(len(known), dtype=bool)
+                for m in match:
+                    value = getattr(row, m)
                     if value is not None:
-                        keep &= (pdf[m] == value).to_numpy()
-                if not keep.any():
-                    continue
-                gap = vectors[keep] - target
-                found = pdf.loc[keep, ["key", "outcome"]].assign(
-                    distance=np.sqrt((gap * gap).sum(axis=1))
+                        fits &= columns[m] == value
+                at = np.flatnonzero(fits)
+                gap = vectors[at] - np.asarray(row.target, dtype=float)
+                distance = np.sqrt((gap * gap).sum(axis=1))
+                first = np.argsort(distance, kind="stable")[:k]
+                found.append(
+                    known.loc[at[first], ["key", "outcome"]].assign(
+                        query=row.query, distance=distance[first]
+                    )
                 )
-                merged = pd.concat([best[q], found]) if q in best else found
-                best[q] = merged.sort_values(["distance", "key"]).head(k)
-        for q, frame in best.items():
-            yield frame.assign(query=names[q])[["query", "key", "distance", "outcome"]]
-
-    cols = ["key", "vector", "outcome", *match]
-    return episodes.select(*cols).mapInPandas(
-        scan, "query string, key string, distance double, outcome double"
-    )
+        columns = ["query", "key", "distance", "outcome"]
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+    return best
 
 
 def outcomes(neighbours: DataFrame) -> DataFrame:

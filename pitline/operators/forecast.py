@@ -133,13 +133,17 @@ def _prepare(names: Sequence[str]) -> list:
     ]
 
 
-def logistic(names: Sequence[str], reg: float = 1e-3) -> Pipeline:
-    """Median imputation, standardisation, L2 logistic regression."""
+def logistic(names: Sequence[str], reg: float | None = None) -> Pipeline:
+    """Median imputation, standardisation, L2 logistic regression.
+
+    Without ``reg`` the penalty follows from the number of rows, see ``fitted``.
+    """
+    penalty = {} if reg is None else {"regParam": reg}
     return Pipeline(
         stages=[
             *_prepare(names),
             StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-            LogisticRegression(regParam=reg, maxIter=200),
+            LogisticRegression(maxIter=200, **penalty),
         ]
     )
 
@@ -157,6 +161,16 @@ def boosted_trees(names: Sequence[str], rounds: int = 200) -> Pipeline:
     )
 
 
+def fitted(make: Callable[[], Pipeline], rows: DataFrame, c: float = 1.0):
+    """Fit a pipeline; a logistic stage without a penalty gets 1 / (c n) for n rows, which is the
+    strength ``c`` of the sum of the losses."""
+    pipeline = make()
+    for stage in pipeline.getStages():
+        if isinstance(stage, LogisticRegression) and not stage.isSet(stage.regParam):
+            stage.setRegParam(1.0 / (c * max(1, rows.count())))
+    return pipeline.fit(rows)
+
+
 def probabilities(model, rows: DataFrame, out: str = "probability") -> DataFrame:
     """P(label = 1) of a fitted pipeline; helper columns are removed."""
     scored = model.transform(rows)
@@ -177,7 +191,7 @@ def out_of_fold(
     marked = materialize(_fold_of(rows, folds))
     parts = None
     for f in range(folds):
-        model = make().fit(marked.where(F.col("_cv") != f))
+        model = fitted(make, marked.where(F.col("_cv") != f))
         scored = probabilities(model, marked.where(F.col("_cv") == f), out)
         parts = scored if parts is None else parts.unionByName(scored)
     return parts.drop("_cv")
@@ -198,8 +212,8 @@ class Stacked:
         stacked = rows
         for col, make in self.makers.items():
             stacked = out_of_fold(make, stacked, self.folds, col)
-        self.base = {col: make().fit(rows) for col, make in self.makers.items()}
-        self.meta = logistic(list(self.makers)).fit(materialize(stacked))
+        self.base = {col: fitted(make, rows) for col, make in self.makers.items()}
+        self.meta = fitted(lambda: logistic(list(self.makers)), materialize(stacked))
         return self
 
     def score(self, rows: DataFrame, out: str = "probability") -> DataFrame:
@@ -216,7 +230,7 @@ class Plain:
         self.make = make
 
     def fit(self, rows: DataFrame) -> Plain:
-        self.model = self.make().fit(rows)
+        self.model = fitted(self.make, rows)
         return self
 
     def score(self, rows: DataFrame, out: str = "probability") -> DataFrame:
@@ -232,7 +246,7 @@ class Calibrated:
     def fit(self, rows: DataFrame) -> Calibrated:
         rows = materialize(rows)
         held = out_of_fold(self.make, rows, self.folds, "_raw_p")
-        self.model = self.make().fit(rows)
+        self.model = fitted(self.make, rows)
         self.curve = IsotonicRegression(featuresCol="_raw_p", labelCol="label").fit(held)
         return self
 

@@ -240,44 +240,91 @@ def resample(
     returns: DataFrame, n_sims: int, block: int, seed: int = 0, by: str = "strategy",
     ret: str = "net",
 ) -> DataFrame:
-    """Circular block bootstrap: ``(by, sim, event_time, net)`` with ``event_time`` a position.
+    """Circular block bootstrap: ``(by, sim, path)``, the returns of each simulation in order.
 
-    Each simulation draws ceil(n / block) block starts; positions wrap around.
+    Each simulation draws ceil(n / block) block starts; positions wrap around. A strategy's returns,
+    one per period, travel as one array, so a simulation is one row and nothing of it is shuffled
+    but its result.
     """
-    w = W.partitionBy(by).orderBy("event_time")
     known = returns.where(F.col(ret).isNotNull())
-    placed = known.select(by, F.col(ret).alias("_r"), (F.row_number().over(w) - 1).alias("_pos"))
-    sizes = placed.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.greatest(F.lit(1), F.least(F.lit(block), F.col("_n"))).cast("int")
+    history = known.groupBy(by).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("event_time", F.col(ret).alias("r")))),
+            lambda s: s["r"].cast("double"),
+        ).alias("_rets")
+    )
+    n = F.size("_rets")
+    size = F.greatest(F.lit(1), F.least(F.lit(block), n)).cast("int")
+    tasks = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = (
-        sizes.withColumn("_block", size)
-        .withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-        .repartition(by, "sim")
-        .withColumn(
-            "_b",
-            F.explode(F.sequence(F.lit(0), (F.ceil(F.col("_n") / F.col("_block")) - 1).cast("int"))),
-        )
-        .withColumn(
-            "_start", draw(F.col("_n"), seed, F.col("sim").cast("string"), F.col("_b").cast("string"))
-        )
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_block") - 1)))
-        .withColumn("_at", F.col("_b") * F.col("_block") + F.col("_o"))
-        .where(F.col("_at") < F.col("_n"))
-        .withColumn("_pos", F.pmod(F.col("_start") + F.col("_o"), F.col("_n")).cast("int"))
+        history.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
+        .repartition(tasks, by, "sim")
+        .withColumns({"_n": n, "_block": size})
+    )
+    begin = lambda i: draw(
+        F.col("_n"), seed, F.col("sim").cast("string"),
+        F.floor(i / F.col("_block")).cast("string"),
     )
-    return plan.join(placed, [by, "_pos"]).select(
-        by, "sim", F.col("_at").alias("event_time"), F.col("_r").alias("net")
+    path = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda i: F.get("_rets", F.pmod(begin(i) + i % F.col("_block"), F.col("_n")).cast("int")),
     )
+    return plan.select(by, "sim", path.alias("path"))
+
+
+def _added(values: Column, start=0.0) -> Column:
+    return F.aggregate(values, F.lit(start), lambda a, v: a + v)
 
 
 def _per_path(paths: DataFrame, by: str, periods: int) -> DataFrame:
-    key = F.concat_ws("\u0001", F.col(by), F.col("sim").cast("string"))
-    tagged = paths.withColumn("_path", key)
-    stats = summarize(tagged, "_path", "net", periods)
-    totals = tagged.groupBy("_path").agg(
-        F.first(by).alias(by), (compounded("net") - 1.0).alias("total_return")
+    """``summarize`` of every path, by sums over its array, with its total return."""
+    root, p = float(periods) ** 0.5, F.col("path")
+    zero = F.lit(0.0)
+    walked = F.aggregate(
+        p,
+        F.struct(F.lit(1.0).alias("eq"), zero.alias("peak"), zero.alias("low")),
+        lambda a, r: F.struct(
+            (a["eq"] * (1.0 + r)).alias("eq"),
+            F.greatest(a["peak"], a["eq"] * (1.0 + r)).alias("peak"),
+            F.least(
+                a["low"],
+                F.coalesce(
+                    F.try_divide(
+                        a["eq"] * (1.0 + r), F.greatest(a["peak"], a["eq"] * (1.0 + r))
+                    ) - 1.0,
+                    zero,
+                ),
+            ).alias("low"),
+        ),
+    )
+    n = F.size(p)
+    one = paths.withColumns({"n_periods": n.cast("long"), "_walk": walked, "_mean": _added(p) / n})
+    falls = F.filter(p, lambda r: r < 0)
+    one = one.withColumns(
+        {
+            "_sd": F.when(
+                n >= 2,
+                F.sqrt(_added(F.transform(p, lambda r: F.pow(r - F.col("_mean"), 2))) / (n - 1)),
+            ),
+            "_down": F.sqrt(F.try_divide(_added(F.transform(falls, lambda r: r * r)), F.size(falls))),
+            "_total": F.col("_walk.eq"),
+            "max_drawdown": F.col("_walk.low"),
+            "hit_rate": F.size(F.filter(p, lambda r: r > 0)) / n,
+        }
+    )
+    annual = F.when(F.col("_total") <= 0, -1.0).otherwise(
+        F.pow("_total", F.lit(float(periods)) / F.col("n_periods")) - 1.0
+    )
+    ok, sd, down = F.col("n_periods") >= 2, F.col("_sd"), F.col("_down")
+    return one.select(
+        by, "sim", "n_periods", annual.alias("ann_return"),
+        F.when(ok, sd * root).otherwise(0.0).alias("ann_vol"),
+        F.when(ok & (sd > 0), F.col("_mean") / sd * root).otherwise(0.0).alias("sharpe"),
+        F.when(ok & (down > 0), F.col("_mean") / down * root).otherwise(0.0).alias("sortino"),
+        F.when(F.col("max_drawdown") < 0, annual / F.abs("max_drawdown")).otherwise(0.0)
+        .alias("calmar"),
+        "max_drawdown", "hit_rate", (F.col("_total") - 1.0).alias("total_return"),
     )
-    return stats.join(totals, "_path")
 
 
 def monte_carlo(
@@ -302,13 +349,13 @@ def bootstrap_ci(
     returns: DataFrame, statistic: str | Callable = "sharpe", n_boot: int = 1000,
     alpha: float = 0.05, seed: int = 0, by: str = "strategy", periods: int = TRADING_DAYS,
 ) -> DataFrame:
-    """Percentile interval of a statistic: a column of ``summarize`` or an aggregate function.
+    """Percentile interval of a statistic: a column of ``summarize`` or a function of a path.
 
-    A function receives the return column and gives an aggregate ``Column``.
+    A function receives the array of a path's returns and gives a ``Column``.
     """
     paths = resample(returns, n_boot, 1, seed, by)
     if callable(statistic):
-        per = paths.groupBy(by, "sim").agg(statistic(F.col("net")).alias("_stat"))
+        per = paths.select(by, statistic(F.col("path")).alias("_stat"))
     else:
         per = _per_path(paths, by, periods).withColumn("_stat", F.col(statistic))
     return per.groupBy(by).agg(

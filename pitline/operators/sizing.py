@@ -16,6 +16,8 @@ from pitline.operators.scoring import tilt_weights
 from pitline.session import materialize
 
 BOOK = ["strategy", "as_of"]
+#: Names of a book that one task adds up.
+NAMES_PER_PART = 500
 
 
 @dataclass(frozen=True)
@@ -63,14 +65,10 @@ def _gram_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, gram, port, names = None, None, None, 0
 
     def flush():
-        n = len(port)
-        t, s = np.indices((n, n))
-        frame = {
-            "strategy": key[0], "as_of": key[1], "t": t.ravel(), "s": s.ravel(),
-            "g": gram.ravel(), "p": np.where(s == 0, port[:, None], 0.0).ravel(),
-            "n_names": np.where((t == 0) & (s == 0), names, 0).ravel(),
-        }
-        return pd.DataFrame(frame)
+        return pd.DataFrame(
+            {"strategy": [key[0]], "as_of": [key[1]], "g": [gram.ravel()], "p": [port],
+             "n_names": [names]}
+        )
 
     for batch in batches:
         for found, rows in batch.groupby(["strategy", "as_of"], sort=False):
@@ -89,7 +87,19 @@ def _gram_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def book_risk(weights: DataFrame, windows: DataFrame, salts: int = 8) -> DataFrame:
+def _moments(parts: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a book's inner products that its risk needs, from a few parts."""
+    n = len(parts["p"].iloc[0])
+    gram = np.sum(np.stack(parts["g"].to_numpy()), axis=0).reshape(n, n)
+    port, diag = np.sum(np.stack(parts["p"].to_numpy()), axis=0), np.diag(gram)
+    return pd.DataFrame(
+        {"strategy": [parts["strategy"].iloc[0]], "as_of": [parts["as_of"].iloc[0]],
+         "n_names": [parts["n_names"].sum()], "_tr": [diag.sum()], "_q2": [diag @ diag],
+         "_g2": [(gram * gram).sum()], "_p2": [port @ port]}
+    )
+
+
+def book_risk(weights: DataFrame, windows: DataFrame, salts: int | None = None) -> DataFrame:
     """Per-period variance of each book under Ledoit-Wolf shrinkage.
 
     ``(strategy, as_of, n_names, n_obs, variance)``. With X the centred (dates x names) returns,
@@ -97,34 +107,36 @@ def book_risk(weights: DataFrame, windows: DataFrame, salts: int = 8) -> DataFra
     inner products X X': no names x names matrix is ever formed.
 
     ``weights`` is ``(strategy, as_of, entity_id, weight)``; names without a full window count
-    with neither weight nor risk. A large book is spread over ``salts`` tasks.
+    with neither weight nor risk. A book is spread over up to ``salts`` tasks (as many as a shuffle
+    has by default), and each sends one dates x dates matrix.
     """
     rows = weights.join(windows, ["as_of", "entity_id"]).select(
         "strategy", "as_of", "entity_id", "weight", "n_obs", "xs"
     )
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("entity_id"), F.lit(salts)))
+    if salts is None:
+        salts = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Names that share a salt are summed up in one part, so a small book has few parts.
+    scales = rows.groupBy(*BOOK).agg(
+        F.sum(F.col("weight") * F.col("weight")).alias("ww"), F.max("n_obs").alias("n_obs"),
+        F.count(F.lit(1)).alias("_names"),
+    )
+    wanted = F.least(F.lit(salts), F.ceil(F.col("_names") / F.lit(NAMES_PER_PART)))
+    salted = rows.join(scales.select(*BOOK, "_names"), BOOK).withColumn(
+        "_salt", F.pmod(F.xxhash64("entity_id"), F.greatest(F.lit(1), wanted))
+    )
     parts = (
         salted.repartition("strategy", "as_of", "_salt")
         .sortWithinPartitions("strategy", "as_of")
         .select("strategy", "as_of", "weight", "xs")
         .mapInPandas(
             _gram_parts,
-            "strategy string, as_of timestamp, t int, s int, g double, p double, n_names long",
+            "strategy string, as_of timestamp, g array<double>, p array<double>, n_names long",
         )
     )
-    cells = parts.groupBy(*BOOK, "t", "s").agg(
-        F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("n_names").alias("m")
-    )
-    scales = rows.groupBy(*BOOK).agg(
-        F.sum(F.col("weight") * F.col("weight")).alias("ww"), F.max("n_obs").alias("n_obs")
-    )
-    diag = F.col("t") == F.col("s")
-    sums = cells.groupBy(*BOOK).agg(
-        F.sum("m").alias("n_names"),
-        F.sum(F.when(diag, F.col("g"))).alias("_tr"),
-        F.sum(F.when(diag, F.col("g") * F.col("g"))).alias("_q2"),
-        F.sum(F.col("g") * F.col("g")).alias("_g2"),
-        F.sum(F.col("p") * F.col("p")).alias("_p2"),
+    sums = parts.groupBy(*BOOK).applyInPandas(
+        _moments,
+        "strategy string, as_of timestamp, n_names long, _tr double, _q2 double, _g2 double, "
+        "_p2 double",
     )
     n, m = F.col("n_obs").cast("double"), F.col("n_names").cast("double")
     trace = F.col("_tr") / n
@@ -347,9 +359,7 @@ def selection_weights(selected: DataFrame, mode: str = "equal") -> DataFrame:
     )
 
 
-# --- solvers for small groups ----------------------------------------------------------------
-
-MAX_SOLVER_NAMES = 2000
+# --- covariance of small groups ---------------------------------------------------------------
 
 
 def _moment_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -383,18 +393,15 @@ def _moment_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def pairwise_covariance(
-    returns: DataFrame, max_names: int = MAX_SOLVER_NAMES, salts: int = 8
-) -> DataFrame:
-    """Sample covariance of the names of each solver group, ``(grp, a, b, cov)``.
+def pairwise_covariance(returns: DataFrame, salts: int | None = None) -> DataFrame:
+    """Sample covariance of the names of each group, ``(grp, a, b, cov)``.
 
-    ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. A group of
-    more than ``max_names`` names is an error, not a truncation. Each task adds up one matrix per
+    ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. The result has
+    a row per pair, so groups should be small ones such as sectors. Each task adds up one matrix per
     group over its dates (outer products in numpy) and emits it once; Spark sums the parts.
     """
-    sizes = returns.groupBy("grp").agg(F.countDistinct("entity_id").alias("n"))
-    if not sizes.where(F.col("n") > max_names).isEmpty():
-        raise ValueError(f"a group has more than {max_names} names; use size_book instead")
+    if salts is None:
+        salts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dates = returns.groupBy("grp", "t").agg(
         F.array_sort(F.collect_list(F.struct("entity_id", "ret"))).alias("_v")
     ).select(
@@ -417,95 +424,6 @@ def pairwise_covariance(
     return total.where(F.col("n") > 1).select("grp", "a", "b", cov.alias("cov"))
 
 
-def solve_books(cov: DataFrame, expected: DataFrame | None = None, kelly: float = 0.25):
-    """Minimum-variance, equal-risk, hierarchical and (with ``expected``) Kelly weights per group.
-
-    The covariances were computed by Spark; each task solves one n x n system.
-    """
-    mu = expected.select("grp", F.col("entity_id").alias("a"), "mu") if expected is not None else None
-    rows = cov.join(mu, ["grp", "a"], "left") if mu is not None else cov.withColumn(
-        "mu", F.lit(None).cast("double")
-    )
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["a"].unique())
-        sigma = pdf.pivot(index="a", columns="b", values="cov").loc[names, names].to_numpy()
-        pinv = np.linalg.pinv(sigma)
-        means = pdf.drop_duplicates("a").set_index("a")["mu"].reindex(names).fillna(0.0).to_numpy()
-        least = pinv @ np.ones(len(names))
-        books = {
-            "min_variance": least / least.sum(),
-            "risk_parity": equal_risk(sigma),
-            "hrp": hierarchical(sigma),
-            "kelly": kelly * (pinv @ means),
-        }
-        frames = [
-            pd.DataFrame({"grp": pdf["grp"].iloc[0], "method": m, "entity_id": names, "weight": w})
-            for m, w in books.items()
-        ]
-        return pd.concat(frames)
-
-    return rows.groupBy("grp").applyInPandas(
-        solve, "grp string, method string, entity_id string, weight double"
-    )
-
-
-def equal_risk(sigma: np.ndarray, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
-    """Long-only weights with equal risk contributions: fixed point of w = sqrt(w / (S w))."""
-    w = np.full(len(sigma), 1.0 / len(sigma))
-    for _ in range(rounds):
-        nxt = np.sqrt(w / np.maximum(sigma @ w, 1e-12))
-        nxt /= nxt.sum()
-        done = np.abs(nxt - w).max() < tol
-        w = nxt
-        if done:
-            break
-    return w
-
-
-def hierarchical(sigma: np.ndarray) -> np.ndarray:
-    """Risk parity by recursive bisection of the single-linkage leaf order."""
-    n = len(sigma)
-    if n == 1:
-        return np.ones(1)
-    sd = np.sqrt(np.diag(sigma))
-    scale = np.outer(sd, sd)
-    corr = np.divide(sigma, scale, out=np.zeros_like(sigma), where=scale > 0)
-    dist = np.sqrt(np.clip((1.0 - corr) / 2.0, 0.0, None))
-    groups = [[i] for i in range(n)]
-    gap = dist.copy()
-    np.fill_diagonal(gap, np.inf)
-    alive = list(range(n))
-    while len(alive) > 1:
-        sub = gap[np.ix_(alive, alive)]
-        i, j = divmod(int(sub.argmin()), len(alive))
-        a, b = sorted((alive[i], alive[j]))
-        groups[a] = groups[a] + groups[b]
-        gap[a] = gap[:, a] = np.minimum(gap[a], gap[b])
-        gap[a, a] = np.inf
-        alive.remove(b)
-    order = groups[alive[0]]
-    weights = np.ones(n)
-    stack = [order]
-    while stack:
-        items = stack.pop()
-        if len(items) < 2:
-            continue
-        halves = items[: len(items) // 2], items[len(items) // 2 :]
-        left, right = (_inverse_variance_risk(sigma, h) for h in halves)
-        weights[halves[0]] *= right / (left + right)
-        weights[halves[1]] *= left / (left + right)
-        stack.extend(halves)
-    return weights
-
-
-def _inverse_variance_risk(sigma: np.ndarray, items: list[int]) -> float:
-    sub = sigma[np.ix_(items, items)]
-    w = 1.0 / np.diag(sub)
-    w /= w.sum()
-    return float(w @ sub @ w)
-
-
 def top_names(scores: DataFrame, k: int, descending: bool = True) -> DataFrame:
     """First ``k`` names per decision time by score, ties by name."""
     order = F.col("score").desc() if descending else F.col("score").asc()

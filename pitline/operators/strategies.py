@@ -6,6 +6,9 @@ feature columns) and, for some, a score table ``(as_of, entity_id, score)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,18 +226,36 @@ def hysteresis_path(
         by, "as_of", "entity_id", F.col("rank").cast("int").alias("rank"), "enter_k"
     )
 
-    def walk(pdf):
-        held: set[str] = set()
-        picks = []
-        for _, day in pdf.sort_values(["as_of", "rank"]).groupby("as_of", sort=True):
-            stay = day[day["entity_id"].isin(held)]
-            fresh = day[~day["entity_id"].isin(held) & (day["rank"] <= day["enter_k"])]
-            chosen = [*stay.index, *fresh.index]
-            chosen = chosen if cap is None else chosen[:cap]
-            held = set(day.loc[chosen, "entity_id"])
-            picks.extend(chosen)
-        return pdf.loc[picks, [by, "as_of", "entity_id", "rank"]]
-
-    return inside.groupBy(by).applyInPandas(
+    def pick(day: pd.DataFrame, held: set[str]) -> pd.DataFrame:
+        stay = day["entity_id"].isin(held)
+        chosen = [*day.index[stay], *day.index[~stay & (day["rank"] <= day["enter_k"])]]
+        return day.loc[chosen if cap is None else chosen[:cap]]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive by strategy, time and rank. What was picked last is all that is carried on,
+        # besides the last day of a batch, which the next batch may complete.
+        name, held, rest = None, set(), None
+
+        def days(rows):
+            nonlocal name, held
+            for (key, _), day in rows.groupby([by, "as_of"], sort=False):
+                if key != name:
+                    name, held = key, set()
+                picked = pick(day, held)
+                held = set(picked["entity_id"])
+                yield picked[[by, "as_of", "entity_id", "rank"]]
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if rows.empty:
+                continue
+            last = (rows[by] == rows[by].iloc[-1]) & (rows["as_of"] == rows["as_of"].iloc[-1])
+            rest = rows[last]
+            yield from days(rows[~last])
+        if rest is not None:
+            yield from days(rest)
+
+    order = [by, "as_of", "rank"]
+    return inside.repartition(by).sortWithinPartitions(*order).mapInPandas(
         walk, f"{by} string, as_of timestamp, entity_id string, rank int"
     )

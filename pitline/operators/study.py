@@ -32,8 +32,11 @@ def abnormal_returns(
     rows = moved.join(market, "event_time").where(F.col("market_ret").isNotNull())
     path = W.partitionBy("entity_id").orderBy("t")
     upto = path.rowsBetween(W.unboundedPreceding, 0)
-    # Running moments: a window's sums are a difference of two of them, whatever its length.
-    x, y = F.col("market_ret"), F.col("ret")
+    # Running moments: a window's sums are a difference of two of them, whatever its length. They
+    # are taken of deviations from the entity's means, which keeps the digits of long histories.
+    whole = W.partitionBy("entity_id")
+    rows = rows.withColumns({"_cx": F.avg("market_ret").over(whole), "_cy": F.avg("ret").over(whole)})
+    x, y = F.col("market_ret") - F.col("_cx"), F.col("ret") - F.col("_cy")
     moments = {"_x": x, "_y": y, "_xx": x * x, "_xy": x * y}
     run = rows.withColumns({n: F.sum(v).over(upto) for n, v in moments.items()}).withColumn(
         "_pos", F.row_number().over(path) - 1
@@ -57,7 +60,8 @@ def abnormal_returns(
     beta = F.when(var > 1e-18, (F.col("_xy_fit") / n - mx * my) / var)
     fitted = full.withColumn("beta", beta).withColumn("alpha", my - F.col("beta") * mx)
     car = F.col("_y_win") - k * F.col("alpha") - F.col("beta") * F.col("_x_win")
-    return fitted.select("entity_id", "t", car.alias("car"), "alpha", "beta").where(
+    intercept = F.col("alpha") + F.col("_cy") - F.col("beta") * F.col("_cx")
+    return fitted.select("entity_id", "t", car.alias("car"), intercept.alias("alpha"), "beta").where(
         F.col("car").isNotNull() & ~F.isnan("car")
     )
 
@@ -86,6 +90,17 @@ def outcome_distribution(cars: DataFrame, by: str = "event_type") -> DataFrame:
     )
 
 
+def _car_arrays(cars: DataFrame) -> DataFrame:
+    """``(entity_id, _first, _cars)``: each entity's CARs by bar from its first one on."""
+    ends = cars.groupBy("entity_id").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    bars = ends.withColumn("t", F.explode(F.sequence("_first", "_last")))
+    listed = bars.join(cars.select("entity_id", "t", "car"), ["entity_id", "t"], "left")
+    by_bar = F.array_sort(F.collect_list(F.struct("t", "car")))
+    return listed.groupBy("entity_id", "_first").agg(
+        F.transform(by_bar, lambda s: s["car"]).alias("_cars")
+    )
+
+
 def placebo(
     anchors: DataFrame,
     cars: DataFrame,
@@ -111,14 +126,17 @@ def placebo(
         name = F.concat_ws("|", "entity_id", F.date_format("anchor", "yyyy-MM-dd HH:mm:ss"))
         # Few rows become n_permutations times as many: spread them first.
         tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = anchors.select(by, "entity_id", name.alias("_name")).repartition(tasks, "_name")
-        perm = F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))
-        at = draw(F.lit(hi - lo + 1), seed, F.col("perm").cast("string"), F.col("_name")) + lo + 1
-        moves = spread.withColumn("perm", perm).select(
-            by, "perm", "entity_id", at.cast("int").alias("t")
+        spread = (
+            anchors.select(by, "entity_id", name.alias("_name"))
+            .join(_car_arrays(cars), "entity_id")
+            .repartition(tasks, "_name")
         )
+        at = draw(F.lit(hi - lo + 1), seed, F.col("perm").cast("string"), F.col("_name")) + lo + 1
+        # The draws are looked up in the name's array and averaged before anything is shuffled.
         means = (
-            moves.join(cars.select("entity_id", "t", "car"), ["entity_id", "t"])
+            spread.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
+            .select(by, "perm", F.get("_cars", (at - F.col("_first")).cast("int")).alias("car"))
+            .where(F.col("car").isNotNull())
             .groupBy(by, "perm")
             .agg(F.avg("car").alias("_mean"))
         )

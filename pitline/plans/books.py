@@ -23,7 +23,7 @@ class Setup:
     def __init__(self, spark, sf) -> None:
         self.spark, self.sf = spark, sf
         self.bars = bars(spark, sf)
-        self.panel = pn.dense_panel(self.bars)
+        self.panel = self._once("panel", lambda: pn.dense_panel(self.bars))
         self.slots = weekly_slots(spark, sf)
 
     def _once(self, name, build):
@@ -317,27 +317,20 @@ def size_book(spark, sf):
 @query("spanel", """SELECT grp, a, b, round(cov, 6) + 0.0 AS cov FROM (SELECT x.grp, x.entity_id AS a, y.entity_id AS b,
  covar_samp(x.ret, y.ret) AS cov FROM rr x JOIN rr y ON x.grp = y.grp AND x.t = y.t GROUP BY 1, 2, 3)""".replace(
      "FROM rr x", """FROM (WITH r0 AS (SELECT 'N' || s_nationkey AS grp, entity_id, t, ret FROM spanel JOIN supplier
- ON entity_id = 'S' || s_suppkey WHERE t >= 100 AND ret IS NOT NULL) SELECT * FROM r0) x""").replace(
+ ON entity_id = 'S' || s_suppkey WHERE t >= 1 AND ret IS NOT NULL) SELECT * FROM r0) x""").replace(
      "JOIN rr y", """JOIN (SELECT 'N' || s_nationkey AS grp, entity_id, t, ret FROM spanel JOIN supplier
- ON entity_id = 'S' || s_suppkey WHERE t >= 100 AND ret IS NOT NULL) y"""))
+ ON entity_id = 'S' || s_suppkey WHERE t >= 1 AND ret IS NOT NULL) y"""))
 def sector_covariance(spark, sf):
     return sz.pairwise_covariance(_sector_returns(spark, sf)).withColumn("cov", r("cov"))
 
 
 def _sector_returns(spark, sf):
-    late = supplier_panel(spark, sf).where((F.col("t") >= 100) & F.col("ret").isNotNull())
-    return late.join(ad.sectors(spark, sf), "entity_id").select(
+    moved = supplier_panel(spark, sf).where((F.col("t") >= 1) & F.col("ret").isNotNull())
+    return moved.join(ad.sectors(spark, sf), "entity_id").select(
         F.col("sector").alias("grp"), "t", "entity_id", "ret"
     )
 
 
-@query()
-def solver_books(spark, sf):
-    returns = _sector_returns(spark, sf)
-    mu = returns.groupBy("grp", "entity_id").agg(F.avg("ret").alias("mu"))
-    return sz.solve_books(sz.pairwise_covariance(returns), mu)
-
-
 @query("rets", """SELECT strategy, count(*) AS n_sims, round(quantile_cont(tr, 0.05), 5) + 0.0 AS total_return_q05,
  round(quantile_cont(tr, 0.5), 5) + 0.0 AS total_return_q50, round(quantile_cont(tr, 0.95), 5) + 0.0 AS total_return_q95,
  round(quantile_cont(mdd, 0.05), 5) + 0.0 AS max_drawdown_q05, round(quantile_cont(mdd, 0.5), 5) + 0.0
@@ -345,13 +338,12 @@ def solver_books(spark, sf):
  FROM (SELECT strategy, sim, product(1 + net) - 1 AS tr, min(eq / peak - 1) AS mdd, avg(net) / stddev_samp(net)
  * sqrt(252) AS sh FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, sim ORDER BY p0) AS peak FROM (SELECT *,
  (product(1 + net) OVER (PARTITION BY strategy, sim ORDER BY p0)) AS eq FROM (SELECT p.strategy, sim, p0, net FROM
- (SELECT strategy, sim, b * 10 + o AS p0, (CAST('0x' || substr(md5('0|' || sim || '|' || b), 1, 8) AS BIGINT) % n + o) % n
- AS pos, n FROM (SELECT strategy, count(*) AS n FROM rets GROUP BY 1) CROSS JOIN (SELECT range AS sim FROM range(200))
- CROSS JOIN (SELECT range AS b FROM range(1000)) CROSS JOIN (SELECT range AS o FROM range(10)) WHERE b * 10 + o < n) p
+ (SELECT strategy, sim, p0, (CAST('0x' || substr(md5('0|' || sim || '|' || p0 // 10), 1, 8) AS BIGINT) % n + p0 % 10) % n
+ AS pos, n FROM (SELECT strategy, n, unnest(range(n)) AS p0 FROM (SELECT strategy, count(*) AS n FROM rets GROUP BY 1)) CROSS JOIN (SELECT range AS sim FROM range(2000))) p
  JOIN (SELECT strategy, net, row_number() OVER (PARTITION BY strategy ORDER BY event_time) - 1 AS pos FROM rets) x
  ON x.strategy = p.strategy AND x.pos = p.pos))) GROUP BY 1, 2) GROUP BY 1""")
 def block_bootstrap(spark, sf):
-    out = rt.monte_carlo(Setup(spark, sf).returns(), n_sims=200, block=10)
+    out = rt.monte_carlo(Setup(spark, sf).returns(), n_sims=2000, block=10)
     cols = [c for c in out.columns if c not in ("strategy", "n_sims", "prob_positive")]
     return out.select("strategy", "n_sims", *[r(c, 5).alias(c) for c in cols], "prob_positive")
 
@@ -359,12 +351,12 @@ def block_bootstrap(spark, sf):
 @query("rets", """SELECT strategy, round(quantile_cont(sh, 0.025), 5) + 0.0 AS low, round(quantile_cont(sh, 0.975), 5)
  + 0.0 AS high FROM (SELECT strategy, sim, avg(net) / stddev_samp(net) * sqrt(252) AS sh FROM (SELECT p.strategy, sim,
  net FROM (SELECT strategy, sim, CAST('0x' || substr(md5('7|' || sim || '|' || b), 1, 8) AS BIGINT) % n AS pos FROM
- (SELECT strategy, count(*) AS n FROM rets GROUP BY 1) CROSS JOIN (SELECT range AS sim FROM range(100)) CROSS JOIN
- (SELECT range AS b FROM range(1000)) WHERE b < n) p JOIN (SELECT strategy, net, row_number() OVER (PARTITION BY
+ (SELECT strategy, n, unnest(range(n)) AS b FROM (SELECT strategy, count(*) AS n FROM rets GROUP BY 1)) CROSS JOIN
+ (SELECT range AS sim FROM range(1000))) p JOIN (SELECT strategy, net, row_number() OVER (PARTITION BY
  strategy ORDER BY event_time) - 1 AS pos FROM rets) x ON x.strategy = p.strategy AND x.pos = p.pos) GROUP BY 1, 2)
  GROUP BY 1""")
 def bootstrap_interval(spark, sf):
-    out = rt.bootstrap_ci(Setup(spark, sf).returns(), "sharpe", n_boot=100, seed=7)
+    out = rt.bootstrap_ci(Setup(spark, sf).returns(), "sharpe", n_boot=1000, seed=7)
     return out.select("strategy", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 

@@ -232,13 +232,27 @@ def forecast_auc(spark, sf):
     return fc.purged_cv_auc(samples, lambda: fc.Plain(lambda: fc.logistic(names)))
 
 
+@query()
+def forecast_comparison(spark, sf):
+    """AUC of the model and of the untrained momentum rank on the same purged test folds."""
+    samples = _training(spark, sf)
+    folds = materialize(fc.purged_folds(fc.numbered(samples), 5, 0.02))
+    ranked = fc.momentum_baseline(folds.where("is_test"), "mom_60")
+    baseline = fc.auc(ranked, ["fold"]).withColumnRenamed("auc", "baseline_auc")
+    model = forecast_auc(spark, sf).select("fold", F.col("auc").alias("model_auc"))
+    return baseline.join(model, "fold", "left").select(
+        "fold", "n", "model_auc", "baseline_auc",
+        (F.col("model_auc") - F.col("baseline_auc")).alias("gain"),
+    )
+
+
 @query()
 def forecast_book(spark, sf):
     samples = _training(spark, sf)
     split = samples.agg(F.percentile(F.col("as_of").cast("double"), F.lit(0.6))).scalar()
     marked = samples.withColumn("_late", F.col("as_of").cast("double") > split)
     names = [*IC_NAMES, fc.REGIME]
-    model = fc.Stacked(names, folds=2, rounds=10).fit(marked.where(~F.col("_late")))
+    model = fc.Stacked(names).fit(marked.where(~F.col("_late")))
     return st.top_quantile(materialize(model.score(marked.where(F.col("_late")))), 0.3)
 
 
@@ -286,80 +300,97 @@ def account_cash(spark, sf):
     return od.cash(_fills(spark, sf), 1e6).select("account", r("cash", 2).alias("cash"))
 
 
-@query("fills", """SELECT entity_id, intended, actual, intended - actual AS diff FROM (SELECT coalesce(a.entity_id, b.entity_id)
- AS entity_id, coalesce(a.qty, 0) AS intended, coalesce(b.qty, 0) AS actual FROM (SELECT entity_id, sum(signed_qty) AS qty
- FROM fills WHERE account IN ('A1', 'A2') GROUP BY 1) a FULL JOIN (SELECT entity_id, sum(signed_qty) AS qty FROM fills
- WHERE account = 'A2' GROUP BY 1) b ON a.entity_id = b.entity_id) WHERE abs(intended - actual) > 1e-6""")
+@query("fills", """SELECT account, entity_id, intended, actual, intended - actual AS diff FROM (SELECT account, entity_id,
+ sum(signed_qty) AS intended, coalesce(sum(signed_qty) FILTER (event_time < TIMESTAMP '2001-06-01'), 0) AS actual FROM fills
+ GROUP BY 1, 2) WHERE abs(intended - actual) > 1e-6""")
 def reconcile_positions(spark, sf):
-    def held(*accounts):
-        rows = _fills(spark, sf).where(F.col("account").isin(*accounts))
-        return rows.groupBy("entity_id").agg(F.sum("signed_qty").alias("qty"))
+    """Positions of all fills against those a broker knew of before its last months were booked."""
+    def held(rows):
+        return rows.groupBy("account", "entity_id").agg(F.sum("signed_qty").alias("qty"))
 
-    return od.reconcile(held("A1", "A2"), held("A2"))
+    fills = _fills(spark, sf)
+    early = F.col("event_time") < F.lit("2001-06-01").cast("timestamp")
+    return od.reconcile(held(fills), held(fills.where(early)))
 
 
-cte("pos", ["fills", "sched"], """SELECT as_of, entity_id, sum(signed_qty) AS qty FROM sched JOIN fills ON event_time <= as_of
- WHERE account = 'A1' GROUP BY 1, 2""")
-cte("openo", ["fills", "sched"], """SELECT as_of, entity_id, sum(signed_qty) AS qty FROM sched JOIN fills ON event_time > as_of
- AND event_time <= as_of + INTERVAL 7 DAY WHERE account = 'A1' GROUP BY 1, 2""")
+cte("pos", ["fills", "sched"], """SELECT account, as_of, entity_id, sum(signed_qty) AS qty FROM sched JOIN fills
+ ON event_time <= as_of GROUP BY 1, 2, 3""")
+cte("openo", ["fills", "sched"], """SELECT account, as_of, entity_id, sum(signed_qty) AS qty FROM sched JOIN fills
+ ON event_time > as_of AND event_time <= as_of + INTERVAL 7 DAY GROUP BY 1, 2, 3""")
+cte("accts", ["fills", "sched"], """SELECT account, as_of, CASE WHEN account = 'A1' THEN 300000.0 ELSE 800000.0 END AS equity
+ FROM (SELECT DISTINCT account FROM fills) CROSS JOIN sched""")
 
 
 def _positions(spark, sf, slots):
-    rows = _fills(spark, sf).where(F.col("account") == "A1")
-    placed = slots.spans(rows.withColumn("_never", F.lit(None).cast("timestamp")), "event_time", "_never")
-    out = slots.with_as_of(slots.rolling_sums(placed, ["entity_id"], {"qty": F.col("signed_qty")}))
-    return out.select("as_of", "entity_id", "qty")
+    never = F.lit(None).cast("timestamp")
+    placed = slots.spans(_fills(spark, sf).withColumn("_never", never), "event_time", "_never")
+    sums = slots.rolling_sums(placed, ["account", "entity_id"], {"qty": F.col("signed_qty")})
+    return slots.with_as_of(sums).select("account", "as_of", "entity_id", "qty")
 
 
 def _open_orders(spark, sf, slots):
-    rows = _fills(spark, sf).where(F.col("account") == "A1")
+    rows = _fills(spark, sf)
     shifted = rows.withColumn("_from", F.col("event_time") - F.expr("interval 7 days"))
     placed = slots.spans(shifted, "_from", "event_time")
     out = slots.with_as_of(
         placed.withColumn("k", F.explode(F.sequence(F.col("k_from"), F.col("k_to") - 1)))
     )
     return out.select(
-        "as_of", "entity_id", F.when(F.col("signed_qty") > 0, "buy").otherwise("sell").alias("side"),
+        "account", "as_of", "entity_id",
+        F.when(F.col("signed_qty") > 0, "buy").otherwise("sell").alias("side"),
         F.abs("signed_qty").alias("qty"), F.lit(0.0).alias("filled_qty"),
     )
 
 
-@query(["books", "feat", "pos", "openo"], """SELECT as_of, entity_id, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side,
- floor(abs(delta)) AS qty FROM (SELECT b.as_of, b.entity_id, f.ff AS px, b.weight * 500000 / f.ff AS target,
- coalesce(p.qty, 0) + coalesce(o.qty, 0) AS cur, b.weight * 500000 / f.ff - (coalesce(p.qty, 0) + coalesce(o.qty, 0)) AS delta
- FROM books b JOIN feat f ON f.as_of = b.as_of AND f.entity_id = b.entity_id LEFT JOIN pos p ON p.as_of = b.as_of AND
- p.entity_id = b.entity_id LEFT JOIN openo o ON o.as_of = b.as_of AND o.entity_id = b.entity_id WHERE b.strategy = 'stacked')
+def _accounts(spark, sf, slots):
+    """The accounts with fills at every decision time; the first one is small."""
+    names = _fills(spark, sf).select("account").distinct().agg(F.collect_set("account")).scalar()
+    equity = F.when(F.col("account") == "A1", 300_000.0).otherwise(800_000.0)
+    every = slots.schedule.select("as_of", F.explode(names).alias("account"))
+    return every.withColumn("equity", equity)
+
+
+@query(["books", "feat", "pos", "openo", "accts"], """SELECT account, as_of, entity_id, CASE WHEN delta > 0 THEN 'buy' ELSE
+ 'sell' END AS side, floor(abs(delta)) AS qty FROM (SELECT a.account, b.as_of, b.entity_id, f.ff AS px,
+ b.weight * least(equity, 500000) / f.ff AS target, coalesce(p.qty, 0) + coalesce(o.qty, 0) AS cur,
+ b.weight * least(equity, 500000) / f.ff - (coalesce(p.qty, 0) + coalesce(o.qty, 0)) AS delta
+ FROM books b JOIN feat f ON f.as_of = b.as_of AND f.entity_id = b.entity_id JOIN accts a ON a.as_of = b.as_of
+ LEFT JOIN pos p ON p.account = a.account AND p.as_of = b.as_of AND p.entity_id = b.entity_id LEFT JOIN openo o
+ ON o.account = a.account AND o.as_of = b.as_of AND o.entity_id = b.entity_id WHERE b.strategy = 'stacked')
  WHERE NOT (cur <> 0 AND target <> 0 AND abs(delta) < 0.1 * abs(target)) AND floor(abs(delta)) * px >= 1""")
 def order_plan(spark, sf):
     s = Setup(spark, sf)
     targets = s.books().where(F.col("strategy") == "stacked")
     prices = s.at.select("as_of", "entity_id", F.col("ff").alias("price"))
-    accounts = s.slots.schedule.select("as_of", F.lit(800_000.0).alias("equity"))
     plan = od.order_plan(
-        targets, prices, _positions(spark, sf, s.slots), _open_orders(spark, sf, s.slots), accounts,
-        od.PlanRules(capital_ceiling=500_000.0, rebalance_band=0.1),
+        targets, prices, _positions(spark, sf, s.slots), _open_orders(spark, sf, s.slots),
+        _accounts(spark, sf, s.slots), od.PlanRules(capital_ceiling=500_000.0, rebalance_band=0.1),
     )
-    return plan.where(F.col("problem").isNull()).select("as_of", "entity_id", "side", "qty")
+    return plan.where(F.col("problem").isNull()).select("account", "as_of", "entity_id", "side", "qty")
 
 
-@query(["pos", "feat", "spanel", "sched"], """SELECT as_of, entity_id, reason FROM (SELECT p.as_of, p.entity_id, f.ff AS px, h.peak,
- unnest([CASE WHEN f.ff / 115 - 1 <= -0.02 THEN 'stop_loss' END, CASE WHEN f.ff / h.peak - 1 <= -0.1 THEN 'trailing_stop' END])
+@query(["pos", "feat", "spanel", "sched"], """SELECT account, as_of, entity_id, reason FROM (SELECT p.account, p.as_of,
+ p.entity_id, f.ff AS px, h.peak, unnest([CASE WHEN f.ff / 115 - 1 <= -0.02 THEN 'stop_loss' END,
+ CASE WHEN f.ff / h.peak - 1 <= -0.1 THEN 'trailing_stop' END, CASE WHEN p.qty % 5 - 2 <= -1 THEN 'thesis_break' END])
  AS reason FROM pos p JOIN feat f ON f.as_of = p.as_of AND f.entity_id = p.entity_id JOIN (SELECT event_time, entity_id,
  max(px) OVER (PARTITION BY entity_id ORDER BY t ROWS 59 PRECEDING) AS peak FROM spanel) h ON h.event_time = p.as_of
  AND h.entity_id = p.entity_id WHERE p.qty > 0) WHERE reason IS NOT NULL""")
 def exit_rules(spark, sf):
     s = Setup(spark, sf)
-    held = _positions(spark, sf, s.slots).withColumn("avg_price", F.lit(115.0))
+    held = _positions(spark, sf, s.slots).withColumns(
+        {"avg_price": F.lit(115.0), "sentiment": F.col("qty") % 5 - 2}
+    )
     high = st.at_decisions(s.panel.withColumn("peak", pn.trailing_high(60)), s.slots.schedule)
     prices = high.select("as_of", "entity_id", F.col("ff").alias("price"), "peak")
-    return od.exits(held, prices, stop_loss=0.02, trailing_stop=0.1)
+    known = held.join(prices.select("as_of", "entity_id"), ["as_of", "entity_id"], "left_semi")
+    return od.exits(known, prices, stop_loss=0.02, trailing_stop=0.1, thesis_threshold=1.0)
 
 
-@query("pos", """SELECT as_of, entity_id, CASE WHEN qty > 0 THEN 'sell' ELSE 'buy' END AS side, abs(qty) AS qty FROM pos
- WHERE qty <> 0""")
+@query("pos", """SELECT account, as_of, entity_id, CASE WHEN qty > 0 THEN 'sell' ELSE 'buy' END AS side, abs(qty) AS qty
+ FROM pos WHERE qty <> 0""")
 def flatten_plan(spark, sf):
     out = od.flatten_plan(_positions(spark, sf, weekly_slots(spark, sf)))
-    return out.select("as_of", "entity_id", "side", "qty")
+    return out.select("account", "as_of", "entity_id", "side", "qty")
 
 
 # --- whole jobs --------------------------------------------------------------------------------
@@ -372,11 +403,25 @@ def learning_replay(spark, sf):
     )[0]
 
 
+def _comparison(spark, sf):
+    def build():
+        summary, paths = jobs.compare_strategies(
+            bars(spark, sf), ad.disclosures(spark, sf), warmup=60, every=20, n_sims=2000
+        )
+        return materialize(summary), materialize(paths)
+
+    return shared(spark, sf, "comparison", build)
+
+
 @query()
 def strategy_comparison(spark, sf):
-    return jobs.compare_strategies(
-        bars(spark, sf), ad.disclosures(spark, sf), warmup=60, every=20
-    )[0]
+    return _comparison(spark, sf)[0]
+
+
+@query()
+def strategy_simulation(spark, sf):
+    """Resampled paths of every compared strategy, 2,000 each."""
+    return _comparison(spark, sf)[1]
 
 
 @query(["score", "clusters", "leads"], """SELECT as_of, entity_id, rank, n_types, CASE WHEN n_types = 0 THEN

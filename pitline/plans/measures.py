@@ -336,16 +336,16 @@ def car_distribution(spark, sf):
 
 PLACEBO_MEANS = """SELECT a.event_type, perm, avg(car) AS m FROM (SELECT event_type, entity_id, perm, lo + 1 +
  CAST('0x' || substr(md5('0|' || perm || '|' || entity_id || '|' || strftime(anchor, '%Y-%m-%d %H:%M:%S')), 1, 8)
- AS BIGINT) % (hi - lo + 1) AS t FROM anchors CROSS JOIN (SELECT unnest(range(1, 51)) AS perm) CROSS JOIN
+ AS BIGINT) % (hi - lo + 1) AS t FROM anchors CROSS JOIN (SELECT unnest(range(1, {n} + 1)) AS perm) CROSS JOIN
  (SELECT 65 AS lo, max(t) - 6 AS hi FROM scal)) a JOIN cars c ON c.entity_id = a.entity_id AND c.t = a.t GROUP BY 1, 2"""
 
 
 @query(["dist"], f"""SELECT event_type, d.n AS n_events, count(*) AS n_permutations, round(any_value(mean_car), 6) + 0.0
  AS observed_mean_car, round(avg(m), 6) + 0.0 AS placebo_mean, round(stddev_samp(m), 6) + 0.0 AS placebo_std,
- round((1 + count_if(m >= mean_car)) / (1 + count(*)), 6) + 0.0 AS p_value FROM dist d JOIN ({PLACEBO_MEANS}) p
+ round((1 + count_if(m >= mean_car)) / (1 + count(*)), 6) + 0.0 AS p_value FROM dist d JOIN ({PLACEBO_MEANS.format(n=200)}) p
  USING (event_type) GROUP BY 1, 2""")
 def placebo(spark, sf):
-    _, out = _study(spark, sf, 50)
+    _, out = _study(spark, sf, 200)
     cols = ["observed_mean_car", "placebo_mean", "placebo_std", "p_value"]
     return out.select("event_type", "n_events", "n_permutations", *[r(c).alias(c) for c in cols])
 
@@ -361,12 +361,30 @@ def cluster_entries(spark, sf):
     return out.select("as_of", "entity_id", "knowledge_time", "exit_by", "n_buys")
 
 
-@query(["dist"], f"""SELECT event_type FROM (SELECT event_type, any_value(d.n) AS n, any_value(mean_car) AS mean_car,
- (1 + count_if(m >= mean_car)) / (1 + count(*)) AS p FROM dist d JOIN ({PLACEBO_MEANS}) p USING (event_type)
- GROUP BY 1) WHERE n > 1 AND mean_car > 0 AND p <= 0.5""")
+@query(["dist"], f"""SELECT event_type, round(p, 6) + 0.0 AS p_value, n > 1 AND mean_car > 0 AND p <= 0.05 AS passed FROM
+ (SELECT event_type, any_value(d.n) AS n, any_value(mean_car) AS mean_car, (1 + count_if(m >= mean_car)) / (1 + count(*))
+ AS p FROM dist d JOIN ({PLACEBO_MEANS.format(n=100)}) p USING (event_type) GROUP BY 1)""")
 def gate_types(spark, sf):
-    _, nulls = _study(spark, sf, 50)
-    return sd.gate(nulls, alpha=0.5).select("event_type")
+    """Every event type with its p-value and whether the gate lets it through."""
+    _, nulls = _study(spark, sf, 100)
+    passed = sd.gate(nulls).select("event_type", F.lit(True).alias("_passed"))
+    return nulls.join(passed, "event_type", "left").select(
+        "event_type", r("p_value").alias("p_value"),
+        F.coalesce("_passed", F.lit(False)).alias("passed"),
+    )
+
+
+@query(["clusters", "dist"], f"""SELECT as_of, entity_id, knowledge_time, as_of + INTERVAL 5 DAY AS exit_by FROM clusters
+ WHERE floor(epoch(as_of - knowledge_time) / 86400) <= 5 AND 'insider_cluster_buy' IN (SELECT event_type FROM (SELECT
+ event_type, any_value(d.n) AS n, any_value(mean_car) AS mean_car, (1 + count_if(m >= mean_car)) / (1 + count(*)) AS p
+ FROM dist d JOIN ({PLACEBO_MEANS.format(n=100)}) p USING (event_type) GROUP BY 1) WHERE n > 1 AND mean_car > 0 AND
+ p <= 0.05) QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY knowledge_time DESC, entity_id) <= 5""")
+def gated_entries(spark, sf):
+    """Entries of the cluster type if it passes the gate on these data."""
+    _, nulls = _study(spark, sf, 100)
+    clusters = ev.insider_clusters(ad.disclosures(spark, sf), weekly_slots(spark, sf))
+    out = ev.cluster_entries(clusters, sd.gate(nulls))
+    return out.select("as_of", "entity_id", "knowledge_time", "exit_by")
 
 
 # --- analogs -----------------------------------------------------------------------------------

@@ -32,51 +32,27 @@ def _news(spark, sf):
  AND event_time >= ends - INTERVAL 14 DAY GROUP BY 1, 2""")
 def stream_news_windows(spark, sf):
     """Sliding 14-day windows; every window that holds data is read back from the final state."""
-    windows = sj.news_windows(_news(spark, sf))
-    out = scratch_path(spark)
-    # Update mode keeps windows the watermark has not closed yet.
-    query = (
-        windows.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, n: batch.withColumn("_n", F.lit(n)).write.mode("append").parquet(out))
-        .option("checkpointLocation", scratch_path(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(out)
-    last = rows.groupBy(F.col("window.end").alias("window_end"), "entity_id").agg(
-        F.max_by(F.struct("n", "n_recent", "recent_tone"), "_n").alias("v")
-    )
-    return last.select("window_end", "entity_id", "v.n", "v.n_recent", r("v.recent_tone").alias("recent_tone"))
+    last = sj.final_state(sj.news_windows(_news(spark, sf)), "window", "entity_id")
+    return last.select(F.col("window.end").alias("window_end"), "entity_id", "n", "n_recent",
+                       r("recent_tone").alias("recent_tone"))
 
 
 @query(None, """SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS event_time, event_type AS entity_id, arg_min(value, (ts, event_id)) AS open,
  max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events
- WHERE ts < (SELECT time_bucket(INTERVAL 1 HOUR, max(ts) - INTERVAL 10 MINUTE) FROM events) GROUP BY 1, 2""")
+ GROUP BY 1, 2""")
 def stream_bars(spark, sf):
-    """Hourly bars per event type: the windows the watermark has closed."""
+    """Hourly bars per event type, open windows included."""
     ticks = _news(spark, sf).select(
         F.col("source").alias("entity_id"), "event_time", F.col("value").alias("price"),
         F.lit(1.0).alias("volume"), F.col("event_id").alias("seq"),
     )
-    bars = sj.run_to_table(sj.minute_bars(ticks, "1 hour", "10 minutes"))
+    bars = sj.final_state(sj.minute_bars(ticks, "1 hour", "10 minutes"), "window", "entity_id")
     return bars.select(F.col("window.start").alias("event_time"), "entity_id", "open", "high", "low", "close", "volume")
 
 
 @query(None, """SELECT event_type AS source, max(ts) AS last_knowledge_time FROM events GROUP BY 1""")
 def stream_freshness(spark, sf):
-    facts = sj.freshness(_news(spark, sf))
-    out = scratch_path(spark)
-    sj_query = (
-        facts.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out))
-        .option("checkpointLocation", scratch_path(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
-    sj_query.awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.groupBy("source").agg(F.max("last_knowledge_time").alias("last_knowledge_time"))
+    return sj.final_state(sj.freshness(_news(spark, sf)), "source")
 
 
 def _sales_stream(spark, sf):
@@ -93,16 +69,18 @@ def _sales_stream(spark, sf):
     return facts.withColumn("observation_id", observation_id())
 
 
-@query(None, """SELECT entity_id, ref, revision, knowledge_time FROM (SELECT DISTINCT 'O' || l_orderkey AS entity_id,
- CAST(l_linenumber AS VARCHAR) AS ref, CAST(l_partkey % 4 AS INTEGER) AS revision, l_shipdate AS knowledge_time FROM lineitem)
+@query(None, """SELECT entity_id, ref, revision, knowledge_time, close FROM (SELECT 'O' || l_orderkey AS entity_id,
+ CAST(l_linenumber AS VARCHAR) AS ref, CAST(l_partkey % 4 AS INTEGER) AS revision, l_shipdate AS knowledge_time,
+ max(l_extendedprice) + 1 AS close FROM lineitem GROUP BY 1, 2, 3, 4)
  QUALIFY row_number() OVER (PARTITION BY entity_id, ref ORDER BY knowledge_time DESC, revision DESC) = 1""")
 def stream_ingest(spark, sf):
-    """Facts streamed into the store twice; readers still see one latest revision each."""
+    """Facts streamed into the store twice with different payloads; the last copy of each id stays."""
     store = scratch_path(spark)
-    sj.ingest(sj.unique_facts(_sales_stream(spark, sf), "3000 days"), store)
-    sj.ingest(_sales_stream(spark, sf), store)
+    facts = _sales_stream(spark, sf).withColumn("arrival", ad.cents("close"))
+    sj.ingest(facts, store, "arrival")
+    sj.ingest(facts.withColumn("close", F.col("close") + 1), store, "arrival")
     rows = bt.as_of(spark.read.parquet(store), "2100-01-01")
-    return rows.select("entity_id", "ref", "revision", "knowledge_time")
+    return rows.select("entity_id", "ref", "revision", "knowledge_time", "close")
 
 
 CHECKS_SQL = """SELECT 'U' || user_id AS entity_id, ts AS event_time, event_id, CAST(round(value * 100) AS BIGINT) % 7 - 2 AS s,
@@ -150,8 +128,11 @@ def stream_sleeve(spark, sf):
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("entity_id"),
         F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("price"),
         F.when(F.col("event_type") == "purchase", F.md5(F.col("event_id").cast("string"))).alias("story_hash"),
+        (F.col("event_id") % 3 - 1).cast("int").alias("direction"),
+        (ad.cents("value") % 101 / 100.0).alias("confidence"),
     )
-    return sj.run_to_table(sj.sleeve(messages, hold_days=2, stop=0.5, cooldown_days=1))
+    rules = sj.SleeveRules(hold_days=2, stop=0.5, cooldown_days=1, min_confidence=0.2)
+    return sj.run_to_table(sj.sleeve(messages, rules))
 
 
 @query(None, LEDGER)
@@ -165,15 +146,5 @@ def stream_positions(spark, sf):
         F.when(F.col("l_returnflag") == "N", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("signed_qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
-    out = scratch_path(spark)
-    query = (
-        sj.positions(fills).writeStream.outputMode("update")
-        .foreachBatch(lambda batch, n: batch.withColumn("_n", F.lit(n)).write.mode("append").parquet(out))
-        .option("checkpointLocation", scratch_path(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    rows = spark.read.parquet(out)
-    last = rows.groupBy("account", "entity_id").agg(F.max_by(F.struct("qty", "avg_price"), "_n").alias("v"))
-    return last.select("account", "entity_id", "v.qty", r("v.avg_price", 4).alias("avg_price")).where(F.col("qty") != 0)
+    last = sj.final_state(sj.positions(fills), "account", "entity_id")
+    return last.select("account", "entity_id", "qty", r("avg_price", 4).alias("avg_price")).where(F.col("qty") != 0)

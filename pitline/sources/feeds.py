@@ -97,12 +97,12 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
     )
     cells = rows.where(~header).join(heads, "file").withColumn(
         "_row",
-        F.map_from_arrays(
-            "_names",
-            F.transform(
-                F.sequence(F.lit(0), F.size("_names") - 1),
-                lambda i: F.get(F.split("line", ","), i),
-            ),
+        F.map_from_entries(
+            F.zip_with(
+                "_names",
+                F.slice(F.split("line", ","), F.lit(1), F.size("_names")),
+                lambda name, cell: F.struct(name, cell),
+            )
         ),
     )
 

@@ -7,20 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.scalars import observation_id
+from pitline.session import materialize
 
 
-def upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(existing: DataFrame, batch: DataFrame, sequence: str | None = None) -> DataFrame:
     """Insert-or-replace by ``observation_id``: a row of the batch replaces the stored one.
 
     One grouped pass instead of a join; the rank limit drops surplus copies before the shuffle.
-    Copies of one id inside the batch carry the same identity, the first by content is kept.
+    ``sequence`` is a column of the batch that says in which order its rows arrived: of several
+    copies of one id the last is kept. It is not stored. Copies that tie in it (or all, without it)
+    are ordered by a hash of their content, so that the choice can be repeated.
     """
-    union = existing.withColumn("_seq", F.lit(0)).unionByName(batch.withColumn("_seq", F.lit(1)))
+    at = F.col(sequence).cast("long") if sequence else F.lit(0).cast("long")
+    columns = existing.columns
+    old = existing.withColumns({"_new": F.lit(0), "_at": F.lit(0).cast("long")})
+    new = batch.withColumns({"_new": F.lit(1), "_at": at}).select(*columns, "_new", "_at")
     newest = W.partitionBy("observation_id").orderBy(
-        F.col("_seq").desc(), F.xxhash64(*existing.columns)
+        F.col("_new").desc(), F.col("_at").desc(), F.xxhash64(*columns)
     )
-    ranked = union.withColumn("_rn", F.row_number().over(newest))
-    return ranked.where(F.col("_rn") == 1).drop("_rn", "_seq")
+    ranked = old.unionByName(new).withColumn("_rn", F.row_number().over(newest))
+    return ranked.where(F.col("_rn") == 1).drop("_rn", "_new", "_at")
 
 
 def stamp_ids(batch: DataFrame) -> DataFrame:
@@ -49,35 +55,59 @@ def symbols_to_fetch(universe: DataFrame, covered: DataFrame) -> DataFrame:
     return universe.join(have, F.upper(universe["symbol"]) == have["_s"], "left_anti")
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Append facts to the store: one folder per dataset, sorted so file statistics prune.
+#: Rows of a task that writes facts, about.
+WRITE_ROWS = 2_000_000
 
-    Entities are spread by month as well, so one that owns much of a dataset fills many files.
-    """
-    month = F.date_trunc("month", F.col("knowledge_time"))
-    (
-        facts.repartition("dataset", F.pmod(F.xxhash64("entity_id", month), F.lit(64)))
-        .sortWithinPartitions("dataset", "entity_id", "knowledge_time")
-        .write.mode(mode)
-        .partitionBy("dataset")
-        .parquet(path)
+
+def _in_months(facts: DataFrame) -> DataFrame:
+    """Facts with their month, spread by entity and month over as many tasks as their number needs."""
+    tasks = max(1, facts.count() // WRITE_ROWS)
+    part = F.pmod(F.xxhash64("entity_id", "month"), F.lit(tasks))
+    return (
+        facts.withColumn("month", F.date_format("knowledge_time", "yyyyMM"))
+        .repartition("dataset", "month", part)
+        .sortWithinPartitions("dataset", "month", "entity_id", "knowledge_time")
     )
 
 
-def upsert_store(spark, path: str, batch: DataFrame) -> None:
-    """Replace the partitions the batch touches with their merged rows.
+def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
+    """Append facts to the store: a folder per dataset and month of knowledge, sorted by entity so
+    that file statistics prune."""
+    _in_months(facts).write.mode(mode).partitionBy("dataset", "month").parquet(path)
+
 
-    The merged rows are written to a fresh folder first, since a partition that is being read
-    cannot be overwritten.
-    """
-    from pitline.session import materialize
+def read_store(spark, path: str) -> DataFrame | None:
+    """The stored facts with their month; None while nothing is stored."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    touched = [row[0] for row in batch.select("dataset").distinct().collect()]
-    stored = spark.read.parquet(path).where(F.col("dataset").isin(touched))
-    merged = materialize(upsert(stored, batch.select(*stored.columns)))
+
+def upsert_store(spark, path: str, batch: DataFrame, sequence: str | None = None) -> None:
+    """Replace the months the batch touches with their merged rows; others aren't read.
+
+    A fact's id holds its dataset and knowledge time, so all copies of it are in one month. The
+    merged rows are written to a fresh folder first, since a partition that is being read cannot be
+    overwritten.
+    """
+    columns = [c for c in batch.columns if c != sequence]
+    place = F.concat_ws("|", "dataset", F.col("month").cast("string"))
+    months = batch.withColumn("month", F.date_format("knowledge_time", "yyyyMM"))
+    touched = [row[0] for row in months.select(place).distinct().collect()]
+    stored = read_store(spark, path)
+    if stored is None:
+        old = batch.select(*columns).limit(0)
+    else:
+        old = stored.where(place.isin(touched)).select(*columns)
+    merged = materialize(upsert(old, batch, sequence))
     (
-        merged.write.mode("overwrite")
+        _in_months(merged).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset")
+        .partitionBy("dataset", "month")
         .parquet(path)
     )

@@ -7,6 +7,7 @@ result spans entities.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pitline.operators.orders import apply_fill
+from pitline.operators.orders import advance
 from pitline.session import scratch_path
+from pitline.sources.sink import read_store, upsert_store
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None):
@@ -56,32 +58,51 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> St
     return query
 
 
-def unique_facts(facts: DataFrame, delay: str = "3 days") -> DataFrame:
-    """Facts without repeats of an id seen within the watermark delay (idempotent polling)."""
-    return facts.withWatermark("knowledge_time", delay).dropDuplicatesWithinWatermark(
-        ["observation_id"]
+def final_state(stream: DataFrame, *keys: str) -> DataFrame:
+    """Run an aggregating stream in update mode and return the last row of every key.
+
+    Unlike append mode this also holds what the watermark has not closed yet.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(append)
+        .option("checkpointLocation", scratch_path(spark))
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    rest = F.struct(*[c for c in stream.columns if c not in keys])
+    last = spark.read.parquet(out).groupBy(*keys).agg(F.max_by(rest, "_batch").alias("_last"))
+    return last.select(*keys, "_last.*")
 
 
-def ingest(stream: DataFrame, path: str) -> StreamingQuery:
-    """Append new facts to the store at ``path``.
+def ingest(
+    stream: DataFrame, path: str, sequence: str | None = None, late: str | None = None,
+    delay: str = "3 days",
+) -> StreamingQuery:
+    """Upsert every micro-batch into the store at ``path``, the last copy of an id wins.
 
-    A replayed micro-batch only adds ids the store does not hold, so retries change nothing.
-    Corrections and late rows are kept as they are: readers pick the revision as of their time.
+    ``sequence`` is a column that orders the copies inside a batch. No row is dropped for being late:
+    the store takes it like any other, and with ``late`` rows that are older than the newest stored
+    fact by more than ``delay`` are listed there too. A replayed batch changes nothing in the store.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["observation_id"])
-        try:
-            stored = spark.read.parquet(path).select("observation_id")
-            fresh = fresh.join(stored, "observation_id", "left_anti")
-        except Exception as exc:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
-                raise
-        fresh.write.mode("append").parquet(path)
+    def merge(batch: DataFrame, number: int) -> None:
+        stored = read_store(batch.sparkSession, path) if late else None
+        if stored is not None:
+            newest = stored.agg(F.max("knowledge_time")).first()[0]
+            old = F.col("knowledge_time") < F.lit(newest) - F.expr(f"interval {delay}")
+            found = batch.where(old).withColumn("_batch", F.lit(number))
+            found.write.mode("append").parquet(late)
+        upsert_store(batch.sparkSession, path, batch, sequence)
 
-    return run_batches(stream, append)
+    return run_batches(stream, merge)
 
 
 def news_windows(articles: DataFrame, baseline: str = "14 days", slide: str = "1 day",
@@ -124,37 +145,42 @@ CONFIRM_STATE = "directions array<int>, last_action timestamp"
 CONFIRM_OUTPUT = "entity_id string, event_time timestamp, action int"
 
 
-def confirm_step(
-    directions: list[int], last_action, row, persistence: int = 3, sigma: float = 2.0,
-    volume: float = 1.5, agree: bool = True, cooldown: float = 30.0,
-):
-    """One check of one name: ``(action, directions, last_action)``.
+CONFIRM = {"persistence": 3, "sigma": 2.0, "volume": 1.5, "agree": True, "cooldown": 30.0}
 
-    An action needs a move beyond ``sigma`` volatilities, the same direction ``persistence`` times
-    in a row, elevated volume, no opposed daily signal and a quiet ``cooldown`` (minutes).
-    """
-    bar = sigma * max(float(row.recent_vol), 0.0)
-    big = bar > 0 and abs(row.signal) >= bar
-    now = (1 if row.signal > 0 else -1) if big else 0
-    seen = [*directions, now][-max(1, persistence):]
-    steady = len(seen) >= persistence and now != 0 and all(d == now for d in seen)
-    opposed = agree and row.daily_signal != 0 and now * row.daily_signal < 0
-    waiting = (
-        last_action is not None
-        and (row.event_time - last_action).total_seconds() < cooldown * 60.0
-    )
-    if not steady or row.volume_ratio < volume or opposed or waiting:
-        return 0, seen, last_action
-    return now, seen, row.event_time
 
+def spaced(times: np.ndarray, last, cooldown: float) -> list[int]:
+    """Positions of the sorted times that act when each action starts a cooldown (minutes)."""
+    gap, kept = np.timedelta64(int(cooldown * 60e9), "ns"), []
+    i = 0 if last is None else int(np.searchsorted(times, last + gap))
+    while i < len(times):
+        kept.append(i)
+        i = max(i + 1, int(np.searchsorted(times, times[i] + gap)))
+    return kept
 
-def _confirm_group(rows: Iterator, directions, last_action, settings: dict) -> tuple[list, list, object]:
-    out = []
-    for row in rows:
-        action, directions, last_action = confirm_step(directions, last_action, row, **settings)
-        if action:
-            out.append((row.event_time, action))
-    return out, directions, last_action
+
+def confirmed(checks: pd.DataFrame, directions: list[int], last, cfg: dict):
+    """``(acting rows' positions, their directions, directions to carry on, last action)`` of one
+    name's checks in time order.
+
+    A check's direction is the sign of a move beyond ``sigma`` volatilities. It is a candidate if the
+    last ``persistence`` directions, those carried on included, are all the same, volume is elevated
+    and the daily signal isn't opposed; candidates act outside the cooldown of the last action.
+    """
+    n = max(1, int(cfg["persistence"]))
+    signal, daily = checks["signal"].to_numpy(float), checks["daily_signal"].to_numpy(float)
+    bar = cfg["sigma"] * np.maximum(checks["recent_vol"].to_numpy(float), 0.0)
+    now = np.where((bar > 0) & (np.abs(signal) >= bar), np.sign(signal), 0.0)
+    every = np.concatenate([np.asarray(directions, dtype=float), now])
+    sums = np.concatenate([[0.0], np.cumsum(every)])
+    stop = np.arange(len(every) - len(now), len(every)) + 1
+    steady = (stop >= n) & (np.abs(sums[stop] - sums[np.maximum(stop - n, 0)]) == n)
+    loud = checks["volume_ratio"].to_numpy(float) >= cfg["volume"]
+    agreed = ~(bool(cfg["agree"]) & (now * daily < 0))
+    at = np.flatnonzero(steady & loud & agreed)
+    times = checks["event_time"].to_numpy("datetime64[ns]")
+    acts = at[spaced(times[at], last, cfg["cooldown"])]
+    carried = every[-n:].astype(int).tolist()
+    return acts, now[acts].astype(int), carried, times[acts[-1]] if len(acts) else last
 
 
 def confirmations(checks: DataFrame, **settings) -> DataFrame:
@@ -164,19 +190,18 @@ def confirmations(checks: DataFrame, **settings) -> DataFrame:
     The state per name is its last few directions and its last action. Checks of one micro-batch
     are taken in time order.
     """
+    cfg = {**CONFIRM, **settings}
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        directions, last = ([], None)
-        if state.exists:
-            held, last = state.get
-            directions = list(held)
-            last = None if last is None else pd.Timestamp(last)
+        held, last = state.get if state.exists else ((), None)
         rows = pd.concat(list(frames)).sort_values("event_time")
-        found, directions, last = _confirm_group(rows.itertuples(), directions, last, settings)
-        state.update((directions, None if last is None else last.to_pydatetime()))
-        times, actions = ([t for t, _ in found], [a for _, a in found])
-        yield pd.DataFrame({"entity_id": key[0], "event_time": times, "action": actions},
-                           index=range(len(found)))
+        last = None if last is None else np.datetime64(pd.Timestamp(last).to_datetime64(), "ns")
+        acts, actions, carried, last = confirmed(rows, list(held), last, cfg)
+        state.update((carried, None if last is None else pd.Timestamp(last).to_pydatetime()))
+        yield pd.DataFrame(
+            {"entity_id": key[0], "event_time": rows["event_time"].to_numpy()[acts],
+             "action": actions}, index=range(len(acts)),
+        )
 
     return checks.groupBy("entity_id").applyInPandasWithState(
         update, CONFIRM_OUTPUT, CONFIRM_STATE, "append", GroupStateTimeout.NoTimeout
@@ -191,8 +216,7 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    cfg = {"persistence": 3, "sigma": 2.0, "volume": 1.5, "agree": True, "cooldown": 30.0,
-           **settings}
+    cfg = {**CONFIRM, **settings}
     n = max(1, cfg["persistence"])
     bar = cfg["sigma"] * F.greatest(F.col("recent_vol"), F.lit(0.0))
     now = F.when((bar > 0) & (F.abs("signal") >= bar), F.when(F.col("signal") > 0, 1).otherwise(-1))
@@ -207,7 +231,6 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
         & (F.col("volume_ratio") >= cfg["volume"])
         & ~(F.lit(cfg["agree"]) & (F.col("_d") * F.col("daily_signal") < 0))
     ).select("entity_id", "event_time", F.col("_d").alias("action"))
-    gap = np.timedelta64(int(cfg["cooldown"] * 60e9), "ns")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows arrive by name and time; only the last action of the current name is kept, and
@@ -218,12 +241,10 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
             for key, rows in batch.groupby("entity_id", sort=False):
                 if key != name:
                     name, last = key, None
-                times = rows["event_time"].to_numpy()
-                i = 0 if last is None else int(np.searchsorted(times, last + gap))
-                while i < len(times):
-                    kept.append(rows.index[i])
-                    last = times[i]
-                    i = int(np.searchsorted(times, last + gap))
+                times = rows["event_time"].to_numpy("datetime64[ns]")
+                acts = spaced(times, last, cfg["cooldown"])
+                kept += list(rows.index[acts])
+                last = times[acts[-1]] if acts else last
             yield batch.loc[kept]
 
     ordered = candidates.repartition("entity_id").sortWithinPartitions("entity_id", "event_time")
@@ -232,76 +253,122 @@ def confirmations_batch(checks: DataFrame, **settings) -> DataFrame:
 
 # --- sleeve lifecycle --------------------------------------------------------------------------
 
-SLEEVE_STATE = "status string, entry_price double, exit_by timestamp, last_action timestamp, stories array<string>"
+SLEEVE_STATE = (
+    "status string, direction int, entry_price double, exit_by timestamp, last_action timestamp, "
+    "stories array<string>, opened array<bigint>"
+)
 SLEEVE_OUTPUT = (
-    "entity_id string, event_time timestamp, status string, price double, exit_by timestamp, "
-    "story_hash string, reason string"
+    "entity_id string, event_time timestamp, status string, direction int, price double, "
+    "exit_by timestamp, story_hash string, confidence double, reason string"
 )
 
 
-def sleeve_step(state: dict, row, hold_days: float, stop: float, cooldown_days: float):
-    """Actions of one name on one message ``(event_time, price, story_hash)``.
+@dataclass(frozen=True)
+class SleeveRules:
+    """Holding time and cooldown in days, adverse move that stops, least confidence, and for how
+    many days a story counts as used."""
+
+    hold_days: float = 5.0
+    stop: float = 0.0
+    cooldown_days: float = 0.0
+    min_confidence: float = 0.0
+    remember_days: float = 30.0
+
+
+def _span(days: float) -> np.timedelta64:
+    return np.timedelta64(int(days * 86_400e6), "us")
+
+
+def flat_state() -> dict:
+    return {"status": "flat", "direction": 0, "entry_price": 0.0, "exit_by": None,
+            "last_action": None, "stories": {}}
 
-    A message without a story is a price. An open position closes at its time or its stop; a new
-    story opens one when the name is flat, priced, cooled down and the story is new.
+
+def sleeve_actions(held: dict, rows: pd.DataFrame, rules: SleeveRules) -> list[tuple]:
+    """Actions of one name on its messages in time order; ``held`` is carried on.
+
+    Closing and opening conditions are columns over all messages; the loop jumps from one action to
+    the next. A message that closes a position may open the next one.
     """
-    out = []
-    now, price = row.event_time, row.price
-    if state["status"] == "open":
-        hit = bool(price and state["entry_price"] > 0 and stop > 0
-                   and price / state["entry_price"] - 1.0 <= -stop)
-        if now >= state["exit_by"] or hit:
-            state.update(status="closed", last_action=now)
-            out.append((now, "closed", price, None, None, "stop" if hit else "horizon"))
-    story = row.story_hash
-    cooled = state["last_action"] is None or now - state["last_action"] >= pd.Timedelta(
-        days=cooldown_days
-    )
-    if story and state["status"] != "open" and price and price > 0 and cooled \
-            and story not in state["stories"]:
-        exit_by = now + pd.Timedelta(days=hold_days)
-        state.update(status="open", entry_price=float(price), exit_by=exit_by, last_action=now)
-        state["stories"] = [*state["stories"], story]
-        out.append((now, "open", price, exit_by, story, None))
+    times = rows["event_time"].to_numpy("datetime64[us]")
+    price = np.nan_to_num(rows["price"].to_numpy(float))
+    side = np.sign(np.nan_to_num(rows["direction"].to_numpy(float))).astype(int)
+    sure = np.nan_to_num(rows["confidence"].to_numpy(float))
+    story = rows["story_hash"].fillna("").to_numpy(dtype=object)
+    tells = (story != "") & (price > 0) & (side != 0) & (sure >= rules.min_confidence)
+    out, i = [], 0
+    while i < len(times):
+        if held["status"] == "open":
+            move = held["direction"] * (price[i:] / held["entry_price"] - 1.0)
+            stopped = (price[i:] > 0) & (rules.stop > 0) & (move <= -rules.stop)
+            ends = np.flatnonzero(stopped | (times[i:] >= held["exit_by"]))
+            if not len(ends):
+                break
+            reason = "stop" if stopped[ends[0]] else "horizon"
+            i += int(ends[0])
+            out.append((times[i], "closed", held["direction"], price[i], None, None, None, reason))
+            held.update(status="closed", last_action=times[i])
+        else:
+            ready = tells[i:].copy()
+            if held["last_action"] is not None:
+                ready &= times[i:] >= held["last_action"] + _span(rules.cooldown_days)
+            at = next((k for k in np.flatnonzero(ready) if story[i + k] not in held["stories"]), None)
+            if at is None:
+                break
+            i += int(at)
+            due = times[i] + _span(rules.hold_days)
+            out.append((times[i], "open", side[i], price[i], due, story[i], sure[i], None))
+            held.update(status="open", direction=int(side[i]), entry_price=float(price[i]),
+                        exit_by=due, last_action=times[i])
+            held["stories"][story[i]] = times[i]
+            i += 1
+    if len(times):
+        oldest = times[-1] - _span(rules.remember_days)
+        held["stories"] = {s: t for s, t in held["stories"].items() if t >= oldest}
     return out
 
 
-def sleeve(messages: DataFrame, hold_days: float = 5, stop: float = 0.0, cooldown_days: float = 0):
-    """Open and close events per name from a stream of ``(entity_id, event_time, price,
-    story_hash)``; an open position also closes when event time passes its exit."""
+def sleeve(messages: DataFrame, rules: SleeveRules = SleeveRules()) -> DataFrame:
+    """Open and close events per name from a stream of ``(entity_id, event_time, price, story_hash,
+    direction, confidence)``; an open position also closes when event time passes its exit."""
+
+    def stamp(t):
+        return None if t is None else np.datetime64(pd.Timestamp(t).to_datetime64(), "us")
+
+    def plain(t):
+        return None if t is None else pd.Timestamp(t).to_pydatetime()
 
     def update(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {"status": "flat", "entry_price": 0.0, "exit_by": None, "last_action": None,
-                "stories": []}
+        held = flat_state()
         if state.exists:
-            status, entry, exit_by, last, stories = state.get
-            held.update(
-                status=status, entry_price=entry, stories=list(stories),
-                exit_by=None if exit_by is None else pd.Timestamp(exit_by),
-                last_action=None if last is None else pd.Timestamp(last),
-            )
-        found = []
+            status, side, entry, exit_by, last, stories, opened = state.get
+            seen = {s: np.datetime64(int(t), "us") for s, t in zip(stories, opened, strict=True)}
+            held.update(status=status, direction=side, entry_price=entry, exit_by=stamp(exit_by),
+                        last_action=stamp(last), stories=seen)
         if state.hasTimedOut:
+            found = []
             if held["status"] == "open":
                 at = held["exit_by"]
+                found = [(at, "closed", held["direction"], None, None, None, None, "horizon")]
                 held.update(status="closed", last_action=at)
-                found.append((at, "closed", None, None, None, "horizon"))
         else:
             rows = pd.concat(list(frames)).sort_values("event_time")
-            rows["story_hash"] = rows["story_hash"].fillna("")
-            for row in rows.itertuples():
-                found += sleeve_step(held, row, hold_days, stop, cooldown_days)
-        plain = [None if held[c] is None else held[c].to_pydatetime()
-                 for c in ("exit_by", "last_action")]
-        state.update((held["status"], held["entry_price"], plain[0], plain[1], held["stories"]))
+            found = sleeve_actions(held, rows, rules)
+        state.update((
+            held["status"], held["direction"], held["entry_price"], plain(held["exit_by"]),
+            plain(held["last_action"]), list(held["stories"]),
+            [int(t.astype("datetime64[us]").astype(np.int64)) for t in held["stories"].values()],
+        ))
         if held["status"] == "open":
-            due = int(held["exit_by"].timestamp() * 1000)
+            due = int(held["exit_by"].astype("datetime64[ms]").astype(np.int64))
             if due > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(due)
-        cols = ["event_time", "status", "price", "exit_by", "story_hash", "reason"]
+        cols = ["event_time", "status", "direction", "price", "exit_by", "story_hash", "confidence",
+                "reason"]
         yield pd.DataFrame(found, columns=cols).assign(entity_id=key[0])[
             ["entity_id", *cols]
-        ].astype({"price": "float64", "event_time": "datetime64[ns]", "exit_by": "datetime64[ns]"})
+        ].astype({"direction": "int32", "price": "float64", "confidence": "float64",
+                  "event_time": "datetime64[ns]", "exit_by": "datetime64[ns]"})
 
     marked = messages.withWatermark("event_time", "1 day")
     return marked.groupBy("entity_id").applyInPandasWithState(
@@ -331,8 +398,7 @@ def positions(fills: DataFrame) -> DataFrame:
     def update(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
         held = tuple(state.get) if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["event_time", "seq"])
-        for row in rows.itertuples():
-            held = apply_fill(held, float(row.signed_qty), float(row.price))
+        held = advance(held, rows["signed_qty"], rows["price"])
         if held is None:
             if state.exists:
                 state.remove()

@@ -103,6 +103,12 @@ def test_upsert_replaces_and_is_idempotent(spark):
     once = upsert(old, new)
     assert {tuple(r) for r in once.collect()} == {("1", 1), ("2", 3), ("3", 4)}
     assert {tuple(r) for r in upsert(once, new).collect()} == {tuple(r) for r in once.collect()}
+    for last in ((1, 2), (2, 1), (5, 9), (9, 5)):
+        copies = spark.createDataFrame(
+            [("2", v, i) for i, v in enumerate(last)], "observation_id string, v int, seq int"
+        )
+        got = {tuple(r) for r in upsert(old, copies, "seq").collect()}
+        assert got == {("1", 1), ("2", last[-1])}
     s = ingest_summary(old, new.unionByName(new)).first()
     assert (s.received, s.unique_ids, s.added) == (4, 2, 1)
 
@@ -115,6 +121,15 @@ def test_store_upsert_touches_only_its_datasets(spark, tmp_path):
     upsert_store(spark, path, spark.createDataFrame([("2", "b", "y", at, 9)], cols))
     got = {r.observation_id: r.v for r in spark.read.parquet(path).collect()}
     assert got == {"1": 1, "2": 9}
+    copies = spark.createDataFrame(
+        [("2", "b", "y", at, 7, 1), ("2", "b", "y", at, 8, 2), ("3", "b", "y", at.replace(month=5), 1, 3)],
+        cols + ", seq int",
+    )
+    upsert_store(spark, path, copies, "seq")
+    assert {r.observation_id: r.v for r in spark.read.parquet(path).collect()} == {"1": 1, "2": 8, "3": 1}
+    fresh = str(tmp_path / "fresh")
+    upsert_store(spark, fresh, copies, "seq")
+    assert spark.read.parquet(fresh).count() == 2
 
 
 def test_backfill_compares_without_case(spark):

@@ -197,19 +197,48 @@ def test_hysteresis_keeps_held_names(spark):
     assert {r.entity_id for r in one.collect()} == {"a", "c", "d"}
 
 
-def test_solvers(spark):
+def test_pairwise_covariance(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 5)) * np.array([1, 2, 3, 1, 2]) * 0.01
     rows = [("g", t, f"N{j}", float(x[t, j])) for t in range(200) for j in range(5)]
     returns = spark.createDataFrame(rows, "grp string, t int, entity_id string, ret double")
-    cov = sz.pairwise_covariance(returns)
-    m = cov.toPandas().pivot(index="a", columns="b", values="cov").to_numpy()
-    np.testing.assert_allclose(m, np.cov(x.T), rtol=1e-8)
-    out = sz.solve_books(cov).toPandas()
-    books = {k: g.sort_values("entity_id")["weight"].to_numpy() for k, g in out.groupby("method")}
-    assert all(books[k].sum() == pytest.approx(1) for k in ("min_variance", "risk_parity", "hrp"))
-    risk = books["risk_parity"] * (m @ books["risk_parity"])
-    np.testing.assert_allclose(risk, risk.mean(), rtol=1e-4)
-    assert (books["hrp"] > 0).all() and np.allclose(books["kelly"], 0)
-    with pytest.raises(ValueError):
-        sz.pairwise_covariance(returns, max_names=4)
+    for salts in (None, 3):
+        cov = sz.pairwise_covariance(returns, salts)
+        m = cov.toPandas().pivot(index="a", columns="b", values="cov").to_numpy()
+        np.testing.assert_allclose(m, np.cov(x.T), rtol=1e-8)
+
+
+def test_ranks_with_nan_infinities_and_odd_names(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 1.0), ("b", nan), ("c", inf), ("d", -inf), ("e", 0.0), ("f", inf), ("g", None), ("zz" * 50, 1e-300)]
+    df = spark.createDataFrame(rows, "name string, x double").withColumn("g", F.lit(1))
+    got = {r.name: r["rank"] for r in cs.average_rank(df, ["g"], "x").collect()}
+    assert got == {"d": 1.0, "e": 2.0, "zz" * 50: 3.0, "a": 4.0, "c": 5.5, "f": 5.5, "b": None, "g": None}
+    strict = {r.name: r["rank"] for r in cs.ordered_rank(df, ["g"], "x", "name").collect()}
+    assert strict == {"c": 1, "f": 2, "a": 3, "zz" * 50: 4, "e": 5, "d": 6}
+    z = {r.name: r.x for r in cs.zscore(df.where("name in ('a', 'b', 'e')"), ["g"], ["x"]).collect()}
+    assert z == {"a": 1.0, "e": -1.0, "b": None}
+
+
+def test_ordered_rank_of_one_large_tie(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("g"), F.lit(0.0).alias("x"), F.format_string("N%09d", "id").alias("name"))
+    odd = spark.createDataFrame([(1, 0.0, "A-name-unlike-the-others")], "g int, x double, name string")
+    out = cs.ordered_rank(df.unionByName(odd), ["g"], "x", "name")
+    bad = out.where(F.col("rank") != F.when(F.col("name") < "N", 1).otherwise(F.substring("name", 2, 9).cast("long") + 2))
+    assert bad.count() == 0 and out.count() == n + 1
+
+
+def test_bootstrap_paths_equal_summaries(spark):
+    rng = np.random.default_rng(7)
+    rows = [("s", i, float(v)) for i, v in enumerate(rng.normal(0.001, 0.02, 57))] + [("t", 0, 0.1), ("t", 1, -1.0)]
+    df = spark.createDataFrame(rows, "strategy string, event_time int, net double")
+    paths = rt.resample(df, 5, 10, seed=3)
+    per = {(r.strategy, r.sim): r for r in rt._per_path(paths, "strategy", 252).collect()}
+    flat = paths.select("strategy", "sim", F.posexplode("path").alias("event_time", "net"))
+    for sim in range(5):
+        for r in rt.summarize(flat.where(F.col("sim") == sim)).collect():
+            got = per[r.strategy, sim]
+            for c in ("n_periods", "ann_return", "ann_vol", "sharpe", "sortino", "calmar", "max_drawdown", "hit_rate"):
+                assert got[c] == pytest.approx(r[c], abs=1e-12), c
+    assert len(per) == 10 and all(len(r.path) == (57 if r.strategy == "s" else 2) for r in paths.collect())

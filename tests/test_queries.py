@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_queries import TABLES, canonical  # noqa: E402
 
 # Long jobs have tests of their own or run in tools/check_queries.py.
-SLOW = {"strategy_comparison", "forecast_book", "forecast_auc"}
+SLOW = {"strategy_comparison", "strategy_simulation", "forecast_book", "forecast_auc", "forecast_comparison"}
 
 
 @pytest.fixture(scope="module")
