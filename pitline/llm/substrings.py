@@ -234,8 +234,11 @@ class _Rows:
 
 
 def _ship(out: _Rows, n_buckets, ids, keys, h, k, doc, start, width):
-    """Cut rows into buckets by the leading bits of h; only the documents named go along."""
-    bucket = ((h >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
+    """Cut rows into buckets by h; only the documents named go along.
+
+    Anchors are the smallest hashes of their windows, so h is mixed once more for an even cut.
+    """
+    bucket = ((mixed(h * U(BASE2)) >> U(32)) * U(n_buckets) >> U(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, h, k, doc, start, width = (x[order] for x in (bucket, h, k, doc, start, width))
     for a, b in ranges(bucket):
