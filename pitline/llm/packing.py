@@ -36,7 +36,7 @@ LIMIT = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a shard of one length, about.
-SHARD = 20_000
+SHARD = 500
 #: Words whose ids a task remembers.
 REMEMBERED = 600_000
 
@@ -187,11 +187,12 @@ class Runs:
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece."""
     rows = materialize(pieces(docs, vocabulary, limit, end))
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = Runs(counts, limit)
-    shards = max(1, sum(counts.values()) // SHARD)
-    sharded = rows.withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
+    # One row per length, ``limit`` at most: small enough to collect and to broadcast.
+    sizes = materialize(rows.groupBy("length").agg(F.count(F.lit(1)).alias("of_length")))
+    runs = Runs({r["length"]: r["of_length"] for r in sizes.collect()}, limit)
+    shards = F.ceil(F.col("of_length") / F.lit(SHARD))
+    sharded = rows.join(F.broadcast(sizes), "length").withColumn(
+        "shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shards)
     )
     before = W.partitionBy("length").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     starts = (
