@@ -25,9 +25,9 @@ from pitline.session import materialize
 SCALE = 64.0
 K = 20
 CELL_BITS = 4
-LARGEST = 1 << 26
+LARGEST = 1 << 28
 #: Vectors of a block: a 64th of all within these bounds; queries of a block.
-BLOCK = (1024, 131_072)
+BLOCK = (8192, 131_072)
 QUERIES = 1024
 #: Exact vectors read between two looks at the bounds.
 READ = 64
@@ -98,7 +98,7 @@ def _unit(k: int):
         out_q, out_v, out_s = [], [], []
         if len(q_ids) and len(ids):
             file = ApproximationFile(x)
-            at_once = max(1, (1 << 22) // len(ids))
+            at_once = max(1, (1 << 21) // len(ids))
             for at in range(0, len(q_ids), at_once):
                 lower, upper = file.bounds(q[at : at + at_once])
                 for i in range(len(lower)):
