@@ -8,7 +8,7 @@ below zero the step goes against it instead of fitting it further. Labelled rows
 then only place the cut between good and bad, which is moved to ``THRESHOLD``.
 
 A document's figures use its text alone. Null or empty text: scored like any other, from figures that are all zero. A table
-without positives gives 0.5 everywhere. Repeated rows are scored once each; a null id counts as
+without positives gives the threshold everywhere. Repeated rows are scored once each; a null id counts as
 not held out.
 """
 

@@ -28,6 +28,15 @@ def query(fn):
     return fn
 
 
+SQL["op8_nearest"] = """WITH e AS (SELECT DISTINCT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
+ FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+ AS rank, vec_id, score FROM s) WHERE rank <= 20"""
+
+
 @query
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
