@@ -5,7 +5,8 @@ with an item, which every window within reach of the threshold does, get a SimHa
 shingles. The fingerprints of the items of one length are cut into ``RADIUS`` + 1 blocks with one table
 per block, so that every item within ``RADIUS`` bits of a window agrees with it in at least one block
 and is found. Candidates within the radius are verified by the weighted Jaccard similarity of the two
-multisets of shingles; a shingle weighs as much as it has distinct words.
+multisets of shingles; a shingle weighs as much as it has distinct words. A word is its 64-bit hash
+everywhere, in the benchmark or not, so nothing depends on which items share a block.
 
 The benchmark is taken in blocks of bounded text, one pass over the documents each, so that what is
 sent to the tasks doesn't grow. Words are lower-cased runs of letters and digits. Items without words
@@ -40,6 +41,13 @@ MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(S
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def word_id(word: str) -> int:
+    """A number of the word alone; 0 is kept for words not looked up yet."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) or 1
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -96,18 +104,18 @@ class Items:
             words = WORD.findall((text or "").lower())
             if not words:
                 continue
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
+            ids = [self.words.setdefault(w, word_id(w)) for w in words]
             at, size = len(self.items), min(SHINGLE, len(ids))
             self.items.append((item, len(ids), Counter(shingles_of(ids))))
             for s in set(shingles_of(ids)):
                 owners[s].add(at)
-            fp = window_fingerprints(np.array(ids, dtype=np.int64), size, len(ids))[0]
+            fp = window_fingerprints(np.array(ids, dtype=np.uint64), size, len(ids))[0]
             prints[len(ids)].append((at, int(fp)))
         self.sizes = sorted({min(SHINGLE, n) for _, n, _ in self.items}, reverse=True)
         self.lookup = {}
         for size in self.sizes:
             own = [s for s in owners if len(s) == size]
-            h = shingle_hashes(np.array(own, dtype=np.int64).reshape(-1), size)[::size]
+            h = shingle_hashes(np.array(own, dtype=np.uint64).reshape(-1), size)[::size]
             order = np.argsort(h)
             lengths = [
                 sorted({self.items[i][1] for i in owners[own[k]]}) for k in order.tolist()
@@ -139,10 +147,14 @@ class Items:
         if not words or not self.items:
             return []
         get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
         best: dict[int, tuple[float, int, int]] = {}
-        for size in self.sizes:
-            for length, starts in self._windows(ids, size).items():
+        marked = [(size, self._windows(ids, size)) for size in self.sizes]
+        if any(windows for _, windows in marked):
+            for k in np.flatnonzero(ids == 0).tolist():  # words of no item stay distinct
+                ids[k] = word_id(words[k])
+        for size, windows in marked:
+            for length, starts in windows.items():
                 self._check(ids, size, length, starts, best)
         return [(self.items[i][0], *found) for i, found in sorted(best.items())]
 

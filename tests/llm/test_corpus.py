@@ -332,6 +332,32 @@ def test_benchmark_passages(spark, sf):
     assert len(spark.read.parquet(f"{sf}/benchmark.parquet").columns) == 2
 
 
+def test_passages_with_foreign_words(spark):
+    """Words of no item count as different words, however the benchmark is cut into blocks."""
+    say = lambda k, n: [f"i{k}x{j}" for j in range(n)]
+    items = [(k, " ".join(say(k, n))) for k, n in enumerate([59, 59, 200, 200, 80, 30])]
+    rows = []
+    for d, (k, new) in enumerate([(0, 7), (1, 3), (2, 30), (3, 10), (4, 12), (5, 8), (0, 0), (3, 21)]):
+        words = say(k, len(items[k][1].split()))
+        words[len(words) - new :] = [f"foreign{d}n{j}" for j in range(new)]
+        rows.append((d, " ".join(words)))
+    passage = say(0, 59)
+    passage[-7:] = say(4, 7)  # words of another item, maybe of another block
+    rows += [(20, " ".join(passage)), (21, " ".join(["foreign"] * 90 + passage[:56] + ["foreign"] * 90))]
+    want = brute_passages(rows, items)
+    assert {d for d, _ in want} == {1, 3, 6, 7, 21}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    found = decontamination.find_passages(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == want
+    kept = {r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()}
+    assert kept == {0, 2, 4, 5, 20}
+    blocks = list(decontamination.item_blocks(benchmark, chars=100))
+    assert sum(bool(b.items) for b in blocks) > 2
+    apart = {(d, f[0]): f[1] for d, t in rows for b in blocks for f in b.search(t)}
+    assert apart == {k: pytest.approx(v.expected, abs=1e-12) for k, v in want.items()}
+
+
 def test_pipeline(spark):
     """Each stage does to its own input what the operator's plain form does."""
     from pitline.session import materialize
