@@ -254,3 +254,58 @@ def test_class_prior_and_risk():
     p = rng.normal(2, 1, 2000)
     u = np.concatenate([rng.normal(2, 1, 1400), rng.normal(-2, 1, 600)])
     assert quality.class_prior(p, u) == pytest.approx(0.7, abs=0.06)
+
+
+def test_quality_learns_from_all_documents(spark):
+    """The unlabelled side is every document, in a table as in memory."""
+    import numpy as np
+
+    random.seed(8)
+    words = "the rain came down on roofs and people stayed in their homes until noon".split()
+    rows = []
+    for i in range(46_000):
+        text = " ".join(random.choice(words) for _ in range(random.randint(4, 12))) + "."
+        rows.append((i, text if i % 4 else " ".join(text.upper().split()[:2] * 3) + " $$ 55 %"))
+    rows += [(None, "no id at all"), (7, "a second row of one id"), (46_001, None)]
+    marks = [(i, int(i % 4 > 0), 0) for i in range(0, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    x = np.array([quality.figures(t or "") for _, t in rows])
+    known = np.array([i is not None and i < 3000 and zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows])
+    y = np.array([(i or 0) % 4 > 0 for i, _ in rows], dtype=float)
+    model = quality.fit(x[known & (y == 1)], x)
+    model.cut = best_cut(model.raw(x[known]), y[known])
+    got = sorted(((r.doc_id is None, r.doc_id), r.score) for r in quality.score_quality(docs, labels).collect())
+    want = sorted(((i is None, i), s) for (i, _), s in zip(rows, model.score(x).tolist(), strict=True))
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)
+
+
+def test_negative_part_of_the_risk_stays_above_zero():
+    """The least non-negative risk, against the one of many plain steps down its gradient."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = len(quality.FIGURES)
+    good = lambda k: np.abs(rng.normal(0.3, 0.1, (k, n)))
+    p, u = good(300), np.vstack([good(600), np.abs(rng.normal(0.5, 0.1, (300, n)))])
+    model = quality.fit(p, u)
+    zp, zu = model.prepared(p) @ model.weights, model.prepared(u) @ model.weights
+    w = model.weights
+    base = quality.Model(model.centre, model.scale, w, 0.5)
+    priors = []
+    keep, quality._prior = quality._prior, lambda *a: priors.append(keep(*a)) or priors[-1]
+    try:
+        quality.fit(p, u)
+    finally:
+        quality._prior = keep
+    part = np.logaddexp(0, zu).mean() - priors[0] * np.logaddexp(0, zp).mean()
+    assert part > -1e-4
+
+    def risk(w):
+        a, b = base.prepared(p) @ w, base.prepared(u) @ w
+        negative = np.logaddexp(0, b).mean() - priors[0] * np.logaddexp(0, a).mean()
+        return priors[0] * np.logaddexp(0, -a).mean() + max(0, negative) + 0.5e-4 * w @ w
+
+    least = risk(w)
+    for _ in range(300):
+        assert risk(w + rng.normal(0, 10 ** rng.uniform(-4, 0), len(w))) > least - 1e-5
