@@ -50,6 +50,8 @@ FIGURES = (
     "words", "mean_word", "marks", "capitals", "digits", "distinct", "doubled", "top_word",
     "repeated_lines", "line_words", "stops", "long_words",
 )
+#: Words of a piece; half of "distinct" is the mean share of distinct words in pieces, by their length.
+PIECE = 200
 MARK = re.compile(r"[^\w\s.,;:'’\"()?-]")
 STOP = re.compile(r"[.?!](?:\s|$)")
 
@@ -70,7 +72,7 @@ def figures(text: str) -> list[float]:
         len(MARK.findall(text)) / chars,
         sum(map(str.isupper, words)) / n,
         sum(map(str.isdigit, words)) / n,
-        len(seen) / n if n < 200 else len(set(words[:200])) / 200 * 0.5 + len(seen) / n * 0.5,
+        (sum(len(set(words[k : k + PIECE])) for k in range(0, n, PIECE)) + len(seen)) / n / 2,
         sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
         seen.most_common(1)[0][1] / n,
         1 - len(set(lines)) / max(1, len(lines)),

@@ -309,3 +309,13 @@ def test_negative_part_of_the_risk_stays_above_zero():
     least = risk(w)
     for _ in range(300):
         assert risk(w + rng.normal(0, 10 ** rng.uniform(-4, 0), len(w))) > least - 1e-5
+
+
+def test_distinct_words_of_the_whole_text():
+    at = quality.FIGURES.index("distinct")
+    fresh = [f"w{k}" for k in range(200)]
+    share = lambda words: quality.figures(" ".join(words))[at]
+    assert share(fresh) == 1 and share(fresh[:50] * 2) == 0.5
+    assert share(fresh + ["again"] * 200) == pytest.approx((201 / 400 + 201 / 400) / 2)
+    assert share(["again"] * 200 + fresh) == share(fresh + ["again"] * 200)
+    assert share(fresh * 3 + fresh[:50]) == pytest.approx((1 + 200 / 650) / 2)
