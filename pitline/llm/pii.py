@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) follow fixed patterns and are always kept once confirmed.
 Further kinds (iban, ssn, local phone numbers, secrets) start from a score by pattern; a passed
 checksum or a context word near the span raises it, and they are kept from ``KEEP`` on unless a base
-span overlaps them.
+span overlaps them. A code that fails its checksum is no iban, whatever stands near it.
 
 The searches are linear in the text: digit patterns may only start where a run of digits starts, and
 the local part of an address is found backwards from its ``@``. Neither changes which spans match.
@@ -94,18 +94,33 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def ibans(pattern: re.Pattern, text: str):
+    """Spans with a right checksum; of a match that runs into the next words, the longest such start."""
+    m = pattern.search(text)
+    while m:
+        a, b = m.span()
+        ends = (k for k in range(b, a, -1) if k == b or text[k] == " ")
+        end = next((k for k in ends if mod97(text[a:k])), None)
+        if end:
+            yield a, end
+        m = pattern.search(text, end or a + 1)
+
+
 def extra_spans(text: str) -> list[tuple[int, str, int, float]]:
     found = []
     for kind, pattern, score, words in EXTRA:
-        for m in pattern.finditer(text):
+        if kind == "iban":
+            score += CHECKSUM_GAIN
+            spans = ibans(pattern, text)
+        else:
+            spans = (m.span() for m in pattern.finditer(text))
+        for a, b in spans:
             s = score
-            if kind == "iban" and mod97(m[0]):
-                s += CHECKSUM_GAIN
-            near = text[max(0, m.start() - WINDOW) : m.end() + WINDOW].lower()
+            near = text[max(0, a - WINDOW) : b + WINDOW].lower()
             if any(w in near for w in words):
                 s += CONTEXT_GAIN
             if s >= KEEP:
-                found.append((m.start(), kind, m.end(), s))
+                found.append((a, kind, b, s))
     return found
 
 

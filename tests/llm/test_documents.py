@@ -117,6 +117,16 @@ def test_checksums_and_context():
     assert pii.redacted("1" * 50_000 + "@" * 50_000)  # linear on hostile texts
 
 
+def test_ibans_need_their_checksum():
+    found = lambda t: [t[a:b] for a, k, b in pii.spans_of(t)[1] if k == "iban"]
+    gb, be = "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"
+    assert found("bank account AB12 3456 7890 at the desk") == []
+    assert found("iban GB82 WEST 1234 5698 7654 33, account") == []
+    assert pii.redacted("account AB12 3456 7890") == "account AB12 3456 7890"
+    assert found(f"account {be} CALL NOW") == [be] and found(f"bank {be} {gb}") == [be, gb]
+    assert found(f"CODE AB12 {gb}") == [gb] and found(f"to {be.replace(' ', '')}.") == [be.replace(" ", "")]
+
+
 def test_pii_rows(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
