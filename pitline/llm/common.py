@@ -80,3 +80,21 @@ def settled(df: DataFrame) -> DataFrame:
         return materialize(df)
     finally:
         conf.set(key, before)
+
+
+#: Keys with more than one in this many of all rows are hot; there can't be more hot keys than this.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, totals: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """Join the one row per key of ``totals`` to the ``n`` rows, whatever the share of one key.
+
+    ``size`` is the column of ``totals`` with the number of rows of a key. Totals of hot keys, at most
+    ``HOT_KEYS`` rows by their definition, are broadcast, so their rows stay where they are; the rows
+    of all other keys are shuffled, and none of those keys has more than a ``HOT_KEYS``th of them. Keys
+    are not null.
+    """
+    is_hot = F.col(size) > n / HOT_KEYS
+    hot, cold = totals.where(is_hot), totals.where(~is_hot)
+    left = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(left.join(cold, keys))
