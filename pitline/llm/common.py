@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handled at once inside a Python task, which bounds its memory besides single long texts.
@@ -62,6 +63,31 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
     return df.mapInArrow(run, schema)
 
 
+def scaled_floors(vector: str, scale: int) -> Column:
+    """floor(scale * x) / scale of every component as a double, exact for a power of two."""
+    return F.transform(
+        F.transform(vector, lambda x: x.cast("double")),
+        lambda x: F.when(  # a double from 2^52 on is an integer already
+            F.abs(x) < float(1 << 52), F.floor(x * float(scale)).cast("double") / float(scale)
+        ).otherwise(x),
+    )
+
+
+def integers(values, scale: int) -> np.ndarray:
+    """``scale`` times ``scaled_floors``: 64-bit integers below 2^40 * scale, Python's beyond."""
+    values = np.asarray(values, dtype=float)
+    if not values.size or np.abs(values).max() < 1 << 40:
+        return (values * scale).astype(np.int64)
+    exact = [int(x * scale) if abs(x) < 1e300 else int(x) * scale for x in values.ravel().tolist()]
+    return np.array(exact, dtype=object).reshape(values.shape)
+
+
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """The rows whose embedding isn't null or empty and has finite components only."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return vectors.where((F.size("embedding") > 0) & F.forall("embedding", finite))
+
+
 def flat(parts) -> list:
     return list(itertools.chain.from_iterable(parts))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitline.llm.common import join_counted, settled
+from pitline.llm.common import integers, join_counted, scaled_floors, settled, usable_vectors
 
 SCALE = 1024
 PARTS = 4
@@ -42,26 +42,12 @@ CODED = "vec_id long, label string, code string, error long"
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, label as text, v: floor(SCALE * x) / SCALE per component, exact in a double."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    whole = lambda x: F.when(  # noqa: E731  a double from 2^52 on is an integer already
-        F.abs(x) < float(1 << 52), F.floor(x * float(SCALE)).cast("double") / float(SCALE)
-    ).otherwise(x)
-    return vectors.where((F.size("embedding") > 0) & F.forall("embedding", finite)).select(
+    return usable_vectors(vectors).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
-        F.transform(e, whole).alias("v"),
+        scaled_floors("embedding", SCALE).alias("v"),
     )
 
 
-def integers(values) -> np.ndarray:
-    """SCALE times the values as integers: 64-bit where they fit easily, else Python's."""
-    values = np.asarray(values, dtype=float)
-    if not values.size or np.abs(values).max() < 1 << 40:
-        return (values * SCALE).astype(np.int64)
-    exact = [int(x * SCALE) if abs(x) < 1e300 else int(x) * SCALE for x in values.ravel().tolist()]
-    return np.array(exact, dtype=object).reshape(values.shape)
-
-
 def cuts(width: int) -> list[slice]:
     """The consecutive parts of a vector."""
     ends = [width * (i + 1) // PARTS for i in range(PARTS)]
@@ -97,7 +83,7 @@ class Block:
 
     def __init__(self, n: int, values: list, numbers: bytes):
         self.n = n
-        self.values = [integers(u) for u in values]
+        self.values = [integers(u, SCALE) for u in values]
         self.numbers = np.frombuffer(numbers, dtype=np.uint16).reshape(len(values), n)
 
     def part(self, dims: range) -> np.ndarray:
@@ -199,7 +185,7 @@ def _coded(parts: list[slice], codebooks: list):
 def learn(rows: DataFrame, blocks: DataFrame, first: list, rounds: int = ROUNDS):
     """(parts, codebooks): the entries start as the parts of the first vectors."""
     parts = cuts(len(first[0]))
-    start = integers(first).tolist()
+    start = integers(first, SCALE).tolist()
     codebooks = [[v[cut] for v in start] for cut in parts]
     for _ in range(rounds):
         codebooks = _round(blocks, parts, codebooks)
