@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Payload keys that must be finite, those that must be positive, and the dataset
@@ -47,6 +47,16 @@ def _issue(level: str, check: str, key: str | None, bad):
     return F.when(bad, what)
 
 
+def failed_check(keys) -> Column:
+    """The first of the keys' checks a row fails, such as ``positive:close``; null if none."""
+    checks = [F.lit(None).cast("string")]
+    for key in keys:
+        c = F.col(key).cast("double")
+        bad = F.isnan(c) | (F.abs(c) == float("inf"))
+        checks.append(F.when(bad, f"finite:{key}").when(c <= 0, f"positive:{key}"))
+    return F.coalesce(*checks)
+
+
 def duplicates(observations: DataFrame) -> DataFrame:
     """Every repeat of an identity after its lowest id (a warning each).
 

@@ -9,10 +9,13 @@ from pitline.operators import bitemporal as bt
 from pitline.plans.decisions import _predictions
 from pitline.plans.books import Setup
 from pitline.plans.reads import bars
-from pitline.plans.registry import query, r
+from pitline.plans.registry import query, r, shared
+from pitline.session import scratch_path
 from pitline.sources import adapters as ad
 from pitline.sources import feeds as fd
+from pitline.sources import landing as ld
 from pitline.sources import ledger as lg
+from pitline.sources.store import Store
 
 
 def _day(name="l_shipdate"):
@@ -277,3 +280,75 @@ def open_sleeve_positions(spark, sf):
     )
     states = lg.load_sleeve(lg.sleeve_facts(actions), "2000-01-01")
     return bt.open_positions(states).select("entity_id")
+
+
+# Files of one month each: the best price of a part and day. Three in eleven lines can't be used.
+LANDED = """WITH b AS (SELECT l_partkey AS p, l_shipdate::DATE AS d, max(l_extendedprice) AS close, (l_partkey +
+ day(l_shipdate)) % 11 AS code FROM lineitem GROUP BY ALL)"""
+
+
+def _deliver(spark, sf, folder, year=None):
+    """Write a delivery: all months, or the corrections of one year."""
+    lines = ad.table(spark, sf, "lineitem").groupBy("l_partkey", _day().alias("d")).agg(
+        F.max("l_extendedprice").alias("close")
+    )
+    if year:
+        lines = lines.where(F.year("d") == year).withColumn("close", F.col("close") + 1)
+    code = (F.col("l_partkey") + F.dayofmonth("d")) % 11
+    date = F.when(code == 0, "soon").otherwise(F.date_format("d", "yyyyMMdd"))
+    close = F.when(code == 1, "N/D").when(code == 2, (-F.col("close")).cast("string")).otherwise(
+        F.col("close").cast("string")
+    )
+    drop = F.date_format("d", "yyyy-MM").alias("drop")
+    rows = lines.select(drop, F.concat_ws(
+        ",", F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".US")), date, close
+    ).alias("value"))
+    heads = lines.select(drop).distinct().withColumn("value", F.lit("<TICKER>,<DATE>,<CLOSE>"))
+    rows.unionByName(heads).repartition("drop").write.partitionBy("drop").text(folder)
+
+
+def _landed(spark, sf):
+    """(counts per run, store): a run that stops after a group, the rest, nothing new, corrections."""
+
+    def build():
+        folder, store = scratch_path(spark), Store(spark, scratch_path(spark))
+        _deliver(spark, sf, f"{folder}/first")
+        runs = []
+        for name, commits in (("first", 1), ("first", None), ("again", None)):
+            runs.append((name, ld.ingest_landed(store, folder, commits=commits, group_files=40)))
+        _deliver(spark, sf, f"{folder}/second", 1995)
+        runs.append(("corrections", ld.ingest_landed(store, folder, group_files=40)))
+        counts = [(name, *run.first()) for name, run in runs]  # a row of counts per run
+        columns = "run string, " + ", ".join(f"{c} long" for c in runs[0][1].columns)
+        return spark.createDataFrame(counts, columns), store
+
+    return shared(spark, sf, "landed", build)
+
+
+@query(None, f"""{LANDED}, r AS (SELECT 'first' AS run, * FROM b UNION ALL SELECT 'corrections', * FROM b WHERE year(d) = 1995)
+ SELECT run, count(DISTINCT date_trunc('month', d)) AS files_taken, count(*) AS n_rows, count_if(code > 2)::BIGINT AS n_facts,
+ count_if(code <= 2)::BIGINT AS n_rejected, (CASE run WHEN 'first' THEN count_if(code > 2) ELSE 0 END)::BIGINT AS n_added
+ FROM r GROUP BY 1 UNION ALL SELECT 'again', 0, 0, 0, 0, 0""")
+def landed_ingest(spark, sf):
+    """What each run over the landed files took, the half-done and the resumed one together."""
+    runs, _ = _landed(spark, sf)
+    counts = ["files_taken", "n_rows", "n_facts", "n_rejected", "n_added"]
+    return runs.groupBy("run").agg(*(F.sum(c).alias(c) for c in counts))
+
+
+@query(None, f"""{LANDED} SELECT 'P' || p AS symbol, d::VARCHAR AS date, close + CASE WHEN year(d) = 1995 THEN 1 ELSE 0 END
+ AS close FROM b WHERE code > 2""")
+def landed_facts(spark, sf):
+    """The stored prices after all runs: corrections replace, other rows are there once."""
+    view = sm.typed_view(_landed(spark, sf)[1].read(), sm.PRICE)
+    return _plain_dates(
+        view.select(F.col("entity_id").alias("symbol"), F.to_date("event_time").alias("date"), "close")
+    )
+
+
+@query(None, f"""{LANDED}, r AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE year(d) = 1995) SELECT CASE code WHEN 0 THEN
+ 'unreadable date' WHEN 1 THEN 'no close' ELSE 'positive:close' END AS reason, count(*) AS n_rows FROM r WHERE code <= 2 GROUP BY 1""")
+def landed_quarantine(spark, sf):
+    return _landed(spark, sf)[1].table("quarantine").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )

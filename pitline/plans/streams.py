@@ -10,6 +10,7 @@ from pitline.plans.decisions import LEDGER
 from pitline.plans.registry import query, r
 from pitline.session import scratch_path
 from pitline.sources import adapters as ad
+from pitline.sources.store import read_store
 from pitline.streaming import jobs as sj
 
 
@@ -79,7 +80,7 @@ def stream_ingest(spark, sf):
     facts = _sales_stream(spark, sf).withColumn("arrival", ad.cents("close"))
     sj.ingest(facts, store, "arrival")
     sj.ingest(facts.withColumn("close", F.col("close") + 1), store, "arrival")
-    rows = bt.as_of(spark.read.parquet(store), "2100-01-01")
+    rows = bt.as_of(read_store(spark, store), "2100-01-01")
     return rows.select("entity_id", "ref", "revision", "knowledge_time", "close")
 
 

@@ -6,6 +6,8 @@ rows of the fact table. Malformed input gives no rows instead of an error.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +35,12 @@ def to_observations(
     ref: Column | None = None,
     revision: Column | None = None,
     metadata: dict[str, Column] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of the fact table with derived ids; null payload keys are left out of the JSON."""
+    """Rows of the fact table with derived ids; null payload keys are left out of the JSON.
+
+    ``keep`` names columns of the records that are carried along behind those of the fact table.
+    """
     kind = F.lit(entity_type) if isinstance(entity_type, str) else entity_type
     body = F.to_json(F.struct(*[c.alias(k) for k, c in value.items()]))
     extra = metadata or {}
@@ -51,9 +57,10 @@ def to_observations(
         body.alias("value_json"),
         meta.alias("metadata_json"),
         F.current_timestamp().alias("ingested_at"),
+        *keep,
     )
     names = [part.split()[0] for part in sm.OBSERVATION_DDL.split(", ")]
-    return rows.withColumn("observation_id", observation_id()).select(*names)
+    return rows.withColumn("observation_id", observation_id()).select(*names, *keep)
 
 
 def _version() -> dict[str, Column]:
@@ -85,7 +92,12 @@ def read_price_files(spark: SparkSession, path: str, symbol: str | None = None)
 
 
 def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
-    """``(file, value)`` text lines of either price layout to ``(symbol, date, open..volume)``.
+    """``(file, value)`` text lines of either price layout to ``(symbol, date, open..volume)``."""
+    return price_records(lines, symbol).where("reason is null").drop("file", "line", "reason")
+
+
+def price_records(lines: DataFrame, symbol: str | None = None) -> DataFrame:
+    """Every data line of price files: its bar and, if it can't be used, the ``reason``.
 
     The header of each file is the line that names its date column; rows are read by its names.
     """
@@ -95,7 +107,7 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
     heads = rows.where(header).groupBy("file").agg(
         F.split(F.min("line"), ",").alias("_names")
     )
-    cells = rows.where(~header).join(heads, "file").withColumn(
+    cells = rows.where(~header).join(heads, "file", "left").withColumn(
         "_row",
         F.map_from_entries(
             F.zip_with(
@@ -109,7 +121,9 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
     def cell(*names: str) -> Column:
         return F.coalesce(*[F.try_element_at("_row", F.lit(n)) for n in names])
 
-    bulk = F.array_contains("_names", "<TICKER>") | F.array_contains("_names", "<DATE>")
+    bulk = F.coalesce(
+        F.array_contains("_names", "<TICKER>") | F.array_contains("_names", "<DATE>"), F.lit(False)
+    )
     own = F.upper(F.split(F.trim(cell("<TICKER>")), r"\.")[0])
     named = symbol_from_filename("file") if symbol is None else F.lit(symbol.upper())
     raw_date = F.trim(cell("<DATE>", "Date"))
@@ -117,6 +131,7 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
         bulk, F.when(raw_date.rlike(r"^\d{8}$"), F.try_to_timestamp(raw_date, F.lit("yyyyMMdd")))
     ).otherwise(F.try_to_timestamp(raw_date, F.lit("yyyy-MM-dd")))
     bars = cells.select(
+        "file", "line", F.col("_names").isNull().alias("_headless"),
         F.when(bulk, own).otherwise(named).alias("symbol"),
         date.cast("date").alias("date"),
         *[
@@ -127,12 +142,15 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
             )
         ],
     )
-    return bars.where(
-        F.col("date").isNotNull() & F.col("close").isNotNull() & (F.col("symbol") != "")
+    reason = (
+        F.when(F.col("_headless"), "no header").when(F.col("date").isNull(), "unreadable date")
+        .when(F.col("close").isNull(), "no close")
+        .when(F.coalesce("symbol", F.lit("")) == "", "no symbol")
     )
+    return bars.withColumn("reason", reason).drop("_headless")
 
 
-def price_facts(bars: DataFrame) -> DataFrame:
+def price_facts(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Daily bars ``(symbol, date, close, ...)``; both clocks read the close of the day."""
     stamp = day_close("date")
     keys = [k for k in ("close", "open", "high", "low", "volume", "adj_close") if k in bars.columns]
@@ -140,7 +158,7 @@ def price_facts(bars: DataFrame) -> DataFrame:
         bars.where(F.col("close").isNotNull()),
         source="price", dataset=sm.PRICE, entity=F.upper("symbol"),
         event_time=stamp, knowledge_time=stamp,
-        value={k: F.col(k).cast("double") for k in keys}, metadata=_version(),
+        value={k: F.col(k).cast("double") for k in keys}, metadata=_version(), keep=keep,
     )
 
 

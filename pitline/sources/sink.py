@@ -1,4 +1,4 @@
-"""Idempotent ingestion: upsert by id, ingest summaries, resumable backfills."""
+"""Idempotent ingestion: upsert by id, ingest summaries, resumable backfills. Versions: store.py."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.scalars import observation_id
-from pitline.session import materialize
 
 
 def upsert(existing: DataFrame, batch: DataFrame, sequence: str | None = None) -> DataFrame:
@@ -53,61 +52,3 @@ def symbols_to_fetch(universe: DataFrame, covered: DataFrame) -> DataFrame:
     """Universe symbols without data yet, compared without case."""
     have = covered.select(F.upper("symbol").alias("_s")).distinct()
     return universe.join(have, F.upper(universe["symbol"]) == have["_s"], "left_anti")
-
-
-#: Rows of a task that writes facts, about.
-WRITE_ROWS = 2_000_000
-
-
-def _in_months(facts: DataFrame) -> DataFrame:
-    """Facts with their month, spread by entity and month over as many tasks as their number needs."""
-    tasks = max(1, facts.count() // WRITE_ROWS)
-    part = F.pmod(F.xxhash64("entity_id", "month"), F.lit(tasks))
-    return (
-        facts.withColumn("month", F.date_format("knowledge_time", "yyyyMM"))
-        .repartition("dataset", "month", part)
-        .sortWithinPartitions("dataset", "month", "entity_id", "knowledge_time")
-    )
-
-
-def write_facts(facts: DataFrame, path: str, mode: str = "append") -> None:
-    """Append facts to the store: a folder per dataset and month of knowledge, sorted by entity so
-    that file statistics prune."""
-    _in_months(facts).write.mode(mode).partitionBy("dataset", "month").parquet(path)
-
-
-def read_store(spark, path: str) -> DataFrame | None:
-    """The stored facts with their month; None while nothing is stored."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def upsert_store(spark, path: str, batch: DataFrame, sequence: str | None = None) -> None:
-    """Replace the months the batch touches with their merged rows; others aren't read.
-
-    A fact's id holds its dataset and knowledge time, so all copies of it are in one month. The
-    merged rows are written to a fresh folder first, since a partition that is being read cannot be
-    overwritten.
-    """
-    columns = [c for c in batch.columns if c != sequence]
-    place = F.concat_ws("|", "dataset", F.col("month").cast("string"))
-    months = batch.withColumn("month", F.date_format("knowledge_time", "yyyyMM"))
-    touched = [row[0] for row in months.select(place).distinct().collect()]
-    stored = read_store(spark, path)
-    if stored is None:
-        old = batch.select(*columns).limit(0)
-    else:
-        old = stored.where(place.isin(touched)).select(*columns)
-    merged = materialize(upsert(old, batch, sequence))
-    (
-        _in_months(merged).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset", "month")
-        .parquet(path)
-    )

@@ -6,6 +6,7 @@ result spans entities.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitline.operators.orders import advance
 from pitline.session import scratch_path
-from pitline.sources.sink import read_store, upsert_store
+from pitline.sources.store import Store
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None):
@@ -46,11 +47,16 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process what is available through ``foreachBatch`` and wait for it."""
+def run_batches(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], marks: str | None = None
+) -> StreamingQuery:
+    """Process what is available through ``foreachBatch`` and wait for it.
+
+    ``marks`` is the checkpoint folder, a fresh one by default.
+    """
     query = (
         stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", scratch_path(stream.sparkSession))
+        .option("checkpointLocation", marks or scratch_path(stream.sparkSession))
         .trigger(availableNow=True)
         .start()
     )
@@ -84,25 +90,31 @@ def final_state(stream: DataFrame, *keys: str) -> DataFrame:
 
 def ingest(
     stream: DataFrame, path: str, sequence: str | None = None, late: str | None = None,
-    delay: str = "3 days",
+    delay: str = "3 days", name: str | None = None, marks: str | None = None,
 ) -> StreamingQuery:
-    """Upsert every micro-batch into the store at ``path``, the last copy of an id wins.
+    """Upsert every micro-batch into the store at ``path`` as one version, the last copy of an id wins.
 
     ``sequence`` is a column that orders the copies inside a batch. No row is dropped for being late:
     the store takes it like any other, and with ``late`` rows that are older than the newest stored
-    fact by more than ``delay`` are listed there too. A replayed batch changes nothing in the store.
+    fact by more than ``delay`` are also written there, in a folder per batch. A version notes the last
+    batch of the stream ``name``, so a batch that is replayed after it was published is skipped, and one that
+    failed before starts again and overwrites its late rows. ``marks`` is the checkpoint of a stream
+    that is to be resumed; its name then has to stay the same too.
     """
+    name = name or uuid.uuid4().hex
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = read_store(batch.sparkSession, path) if late else None
-        if stored is not None:
-            newest = stored.agg(F.max("knowledge_time")).first()[0]
-            old = F.col("knowledge_time") < F.lit(newest) - F.expr(f"interval {delay}")
-            found = batch.where(old).withColumn("_batch", F.lit(number))
-            found.write.mode("append").parquet(late)
-        upsert_store(batch.sparkSession, path, batch, sequence)
-
-    return run_batches(stream, merge)
+        store = Store(batch.sparkSession, path)
+        base = store.snapshot()
+        if base["applied"].get(name, -1) >= number:
+            return
+        newest = store.newest(base)
+        if late and newest is not None:
+            old = F.col("knowledge_time") < F.timestamp_micros(F.lit(newest)) - F.expr(f"interval {delay}")
+            batch.where(old).write.mode("overwrite").parquet(f"{late}/batch={name}-{number:012d}")
+        store.commit(batch, sequence, (name, number))
+
+    return run_batches(stream, merge, marks)
 
 
 def news_windows(articles: DataFrame, baseline: str = "14 days", slide: str = "1 day",

@@ -14,6 +14,7 @@ from pitline.operators import universe as un
 from pitline.operators.analogs import nearest
 from pitline.sources import feeds as fd
 from pitline.sources import ledger as lg
+from pitline.sources.store import read_store
 from pitline.streaming import jobs as sj
 
 T0 = dt.datetime(2024, 1, 2, 15)
@@ -219,7 +220,7 @@ def test_ingest_keeps_the_last_copy_and_lists_late_rows(spark, tmp_path):
         spark.createDataFrame(rows, cols).coalesce(1).write.parquet(source + "/t.parquet")
         stream = spark.readStream.schema(cols).parquet(source + "/t.parquet")
         sj.ingest(stream, store, "arrival", late)
-    assert {r.observation_id: r.v for r in spark.read.parquet(store).collect()} == {"a": 5, "b": 3}
+    assert {r.observation_id: r.v for r in read_store(spark, store).collect()} == {"a": 5, "b": 3}
     assert [r.observation_id for r in spark.read.parquet(late).collect()] == ["b"]
 
 
