@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,45 +94,9 @@ def outcomes(neighbours: DataFrame) -> DataFrame:
     )
 
 
-def standardise(journal: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Journal rows as episodes: features filled with 0 and standardised, flat ones left at 0.
-
-    Adds ``key`` and ``vector`` and keeps the outcome and regime.
-    """
-    scale = _scale(journal, names)
-    z = [
-        (F.coalesce(F.col(n), F.lit(0.0)) - F.col("_s")[f"m_{n}"]) / F.col("_s")[f"s_{n}"]
-        for n in names
-    ]
-    key = F.concat("entity_id", F.lit("@"), F.date_format("as_of", "yyyy-MM-dd"))
-    return journal.withColumn("_s", scale).select(
-        key.alias("key"), F.array(*z).alias("vector"),
-        F.col("realized_return").alias("outcome"), "regime",
-    )
-
-
-def standardised_queries(journal: DataFrame, queries: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Query vectors on the journal's scale; a missing feature counts as 0."""
-    z = [
-        (F.coalesce(F.col(n), F.lit(0.0)) - F.col("_s")[f"m_{n}"]) / F.col("_s")[f"s_{n}"]
-        for n in names
-    ]
-    rest = [c for c in queries.columns if c not in names]
-    return queries.withColumn("_s", _scale(journal, names)).select(
-        *rest, F.array(*z).alias("vector")
-    )
-
-
-def _scale(journal: DataFrame, names: Sequence[str]):
-    parts = []
-    for n in names:
-        filled = F.coalesce(F.col(n), F.lit(0.0))
-        sd = F.stddev_pop(filled)
-        parts += [
-            F.avg(filled).alias(f"m_{n}"),
-            F.when(sd > 0, sd).otherwise(1.0).alias(f"s_{n}"),
-        ]
-    return journal.agg(F.struct(*parts)).scalar()
+def episode_key() -> Column:
+    """The name of a decision: entity and day."""
+    return F.concat("entity_id", F.lit("@"), F.date_format("as_of", "yyyy-MM-dd"))
 
 
 def recommend(
@@ -140,8 +104,8 @@ def recommend(
 ) -> DataFrame:
     """Top names per decision time with events, confidence and the case against each.
 
-    ``events`` is ``(as_of, entity_id, event_type)``, ``analogs`` the output of ``outcomes`` with
-    the entity as ``query``.
+    ``events`` is ``(as_of, entity_id, event_type)``, ``analogs`` the ``outcomes`` of past decisions per
+    ``as_of`` and ``entity_id``.
     """
     w = W.partitionBy("as_of").orderBy(F.col("score").desc(), "entity_id")
     best = scores.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(w))
@@ -154,9 +118,8 @@ def recommend(
     rows = best.join(listed, ["as_of", "entity_id"], "left")
     if analogs is not None:
         rows = rows.join(
-            analogs.select(F.col("query").alias("entity_id"), F.col("n").alias("analog_n"),
-                           "share_positive", "q10"),
-            "entity_id",
+            analogs.select("as_of", "entity_id", F.col("n").alias("analog_n"), "share_positive", "q10"),
+            ["as_of", "entity_id"],
             "left",
         )
     else:
@@ -171,6 +134,7 @@ def recommend(
         F.round("score", 4).alias("quant_score"),
         recommendation_confidence("score", "analog_n", "share_positive").alias("confidence"),
         F.coalesce("events", F.array().cast("array<string>")).alias("events"),
+        F.coalesce("analog_n", F.lit(0)).cast("long").alias("analog_n"),
         case_against("score", "analog_n", "share_positive", "q10", "n_events").alias(
             "case_against"
         ),

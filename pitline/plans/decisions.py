@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitline.functions import crosssection as cs
+from pitline.operators import analogs as an
 from pitline.operators import features as ft
 from pitline.operators import forecast as fc
 from pitline.operators import grading as gr
 from pitline.operators import orders as od
 from pitline.operators import panel as pn
+from pitline.operators import recall as rc
 from pitline.operators import returns as rt
 from pitline.operators import strategies as st
 from pitline.plans import jobs
@@ -425,17 +428,83 @@ def strategy_simulation(spark, sf):
     return _comparison(spark, sf)[1]
 
 
-@query(["score", "clusters", "leads"], """SELECT as_of, entity_id, rank, n_types, CASE WHEN n_types = 0 THEN
- 'no corroborating events' || CASE WHEN abs(score) < 0.5 THEN '; weak signal magnitude' ELSE '' END WHEN abs(score) < 0.5 THEN
- 'weak signal magnitude' ELSE 'no major disconfirming evidence found' END AS case_against FROM (SELECT s.as_of, s.entity_id, score, rank,
- count(DISTINCT e.event_type) AS n_types FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY score DESC, entity_id)
- AS rank FROM score) s LEFT JOIN (SELECT as_of, entity_id, 'c' AS event_type FROM clusters UNION ALL SELECT as_of, entity_id,
- 'l' FROM leads) e ON e.as_of = s.as_of AND e.entity_id = s.entity_id WHERE rank <= 5 GROUP BY 1, 2, 3, 4)""")
+# The journal: graded decisions with their regime and the rebalance at which they had resolved.
+cte("jour", ["graded", "regime", "sched"], """SELECT g.entity_id || '@' || strftime(g.as_of, '%Y-%m-%d') AS key, g.ret AS outcome,
+ CASE WHEN risk_on THEN 'risk_on' ELSE 'risk_off' END AS regime, m.k AS matured, [coalesce(mom_60, 0), coalesce(meanrev_5, 0),
+ coalesce(vol_20, 0), coalesce(insider_net_buys_90d, 0)]::DOUBLE[] AS v FROM graded g JOIN regime q ON q.as_of = g.as_of JOIN sched s
+ ON s.as_of = g.as_of JOIN (SELECT s.k AS made, min(r.k) AS k FROM sched s JOIN sched r ON r.t >= s.t + 5 GROUP BY 1) m ON m.made = s.k""")
+cte("jscale", ["jour", "sched"], """SELECT k, list(CASE WHEN n > 0 AND sd > 1e-9 THEN sd ELSE 1.0 END ORDER BY i) AS scale FROM (SELECT s.k, r.i,
+ stddev_pop(j.x) AS sd, count(j.x) AS n FROM sched s CROSS JOIN range(1, 5) r(i) LEFT JOIN (SELECT matured, unnest(v) AS x,
+ generate_subscripts(v, 1) AS i FROM jour) j ON j.matured <= s.k AND j.i = r.i GROUP BY 1, 2) GROUP BY 1""")
+cte("asked", ["score", "matrix", "regime", "jscale"], """SELECT s.as_of, s.entity_id, s.k, CASE WHEN risk_on THEN 'risk_on' ELSE
+ 'risk_off' END AS regime, scale, [coalesce(mom_60, 0), coalesce(meanrev_5, 0), coalesce(vol_20, 0),
+ coalesce(insider_net_buys_90d, 0)]::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY score DESC,
+ entity_id) AS rank FROM score) s JOIN matrix m ON m.as_of = s.as_of AND m.entity_id = s.entity_id JOIN regime q
+ ON q.as_of = s.as_of JOIN jscale c ON c.k = s.k WHERE rank <= 5""")
+cte("recalled", ["asked", "jour"], """SELECT * FROM (SELECT as_of, entity_id, key, outcome, row_number() OVER (PARTITION BY as_of,
+ entity_id ORDER BY d, key) AS rank FROM (SELECT a.as_of, a.entity_id, j.key, j.outcome, sqrt(((j.v[1] - a.v[1]) / scale[1]) ** 2 +
+ ((j.v[2] - a.v[2]) / scale[2]) ** 2 + ((j.v[3] - a.v[3]) / scale[3]) ** 2 + ((j.v[4] - a.v[4]) / scale[4]) ** 2) AS d FROM asked a
+ JOIN jour j ON j.matured <= a.k AND j.regime = a.regime)) WHERE rank <= 8""")
+cte("analog", ["recalled"], """SELECT as_of, entity_id, count(*) AS n, avg(outcome) AS mean, quantile_cont(outcome, 0.5) AS median,
+ quantile_cont(outcome, 0.1) AS q10, quantile_cont(outcome, 0.9) AS q90, avg((outcome > 0)::INT::DOUBLE) AS share
+ FROM recalled GROUP BY 1, 2""")
+
+
+def _analogs(spark, sf):
+    """Outcomes of the eight nearest resolved decisions of each name that leads at a decision time."""
+    graded, s = _graded(spark, sf)
+
+    def build():
+        regimes = ft.macro_regime(ad.macro_series(spark, sf), s.slots)
+        ready = jobs.grading_slots(s.panel, s.slots, 5)
+        entries = gr.journal(graded, regimes).join(ready, "as_of")
+        feature = lambda n: F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0))
+        journal = materialize(entries.select(
+            an.episode_key().alias("key"), F.col("realized_return").alias("outcome"), "regime",
+            F.col("matured_k").cast("long").alias("matured"), *(feature(n).alias(n) for n in NAMES),
+        ))
+        values = F.array(*(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in NAMES))
+        scales = rc.known_scales(journal, NAMES, s.slots.schedule)
+        top = cs.top_k(s.score(), ["as_of"], 5, F.desc("score"), F.col("entity_id"), out="place")
+        asked = (
+            top.select("as_of", "entity_id").join(s.matrix(), ["as_of", "entity_id"])
+            .join(regimes.select("as_of", F.col("label").alias("regime")), "as_of")
+            .join(s.slots.schedule.select("as_of", "k"), "as_of").join(scales, "k")
+            .select(an.episode_key().alias("query"), "as_of", "entity_id", values.alias("vector"),
+                    F.col("k").cast("long").alias("seen"), "scale", "regime")
+        )
+        asked = materialize(asked)
+        near = rc.matured_nearest(journal.withColumn("vector", values), asked, 8, ["regime"])
+        return materialize(
+            an.outcomes(near).join(asked.select("query", "as_of", "entity_id"), "query")
+        )
+
+    return shared(spark, sf, "analogs", build), s
+
+
+@query("analog", """SELECT as_of, entity_id, n, round(mean, 6) + 0.0 AS mean, round(median, 6) + 0.0 AS median, round(q10, 6) + 0.0 AS q10,
+ round(q90, 6) + 0.0 AS q90, round(share, 6) + 0.0 AS share_positive FROM analog""")
+def journal_analogs(spark, sf):
+    """How the nearest decisions known to have resolved turned out, per leading name and time."""
+    out, _ = _analogs(spark, sf)
+    return out.select("as_of", "entity_id", "n", *[r(c).alias(c) for c in ("mean", "median", "q10", "q90", "share_positive")])
+
+
+@query(["score", "clusters", "leads", "analog"], """SELECT as_of, entity_id, rank, n_types, coalesce(n, 0) AS analog_n,
+ round(least(1, abs(score) / 2) * CASE WHEN n IS NULL THEN 1 WHEN score > 0 THEN share ELSE 1 - share END, 3) AS confidence,
+ CASE WHEN parts = '' THEN 'no major disconfirming evidence found' ELSE parts END AS case_against FROM (SELECT *, concat_ws('; ',
+ CASE WHEN n IS NOT NULL AND ((score > 0 AND share < 0.6) OR (score < 0 AND share > 0.4)) THEN 'analogs disagree (' ||
+ floor(share * 100)::INT || '% resolved positive)' END, CASE WHEN q10 < 0 THEN 'downside tail q10=' || round(q10, 3) END,
+ CASE WHEN n_types = 0 THEN 'no corroborating events' END, CASE WHEN abs(score) < 0.5 THEN 'weak signal magnitude' END) AS parts
+ FROM (SELECT s.as_of, s.entity_id, score, rank, count(DISTINCT e.event_type) AS n_types FROM (SELECT *, row_number() OVER
+ (PARTITION BY as_of ORDER BY score DESC, entity_id) AS rank FROM score) s LEFT JOIN (SELECT as_of, entity_id, 'c' AS event_type
+ FROM clusters UNION ALL SELECT as_of, entity_id, 'l' FROM leads) e ON e.as_of = s.as_of AND e.entity_id = s.entity_id
+ WHERE rank <= 5 GROUP BY 1, 2, 3, 4) LEFT JOIN analog USING (as_of, entity_id))""")
 def recommendations(spark, sf):
-    from pitline.operators import analogs as an
     from pitline.operators import events as ev
 
-    s = Setup(spark, sf)
+    analogs, s = _analogs(spark, sf)
     events = ev.detect_events(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), s.slots)
-    out = an.recommend(s.score(), events)
-    return out.select("as_of", "entity_id", "rank", F.size("events").cast("long").alias("n_types"), "case_against")
+    out = an.recommend(s.score(), events, analogs)
+    return out.select("as_of", "entity_id", "rank", F.size("events").cast("long").alias("n_types"),
+                      "analog_n", "confidence", "case_against")
