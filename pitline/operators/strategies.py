@@ -6,15 +6,15 @@ feature columns) and, for some, a score table ``(as_of, entity_id, score)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.crosssection import ordered_rank, top_fraction, top_k, zscore
 from pitline.operators.scoring import tilt_weights
 from pitline.operators.sizing import RiskLimits, apply_risk_limits, selection_weights, size_book
+from pitline.session import materialize
 
 
 def at_decisions(panel: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -203,15 +203,51 @@ def hysteresis_step(
     return best.select("as_of", "entity_id", "rank", "held")
 
 
+#: Decision times of a segment that is walked on its own.
+SEGMENT = 64
+
+
 def hysteresis_path(
     scores: DataFrame, fraction: float = 0.3, exit_multiple: float = 1.5, cap: int | None = 20,
-    by: str = "strategy",
+    by: str = "strategy", segment: int = SEGMENT,
 ) -> DataFrame:
     """Selections over a whole history, where each step holds what the last one picked.
 
-    Only rows inside the wider exit band can ever be held, so the ranks are cut to that band in
-    Spark first; the sequential part then walks one small band per decision time and strategy.
+    Only rows inside the wider exit band can ever be held, so the ranks are cut to that band first.
+    Without a cap a name is held if it came above the entry rank since it last entered the band: a window
+    per name. With a cap, which couples the names, segments of decision times are walked apart
+    from the state the uncapped path suggests; segments whose start differs from the end of the one
+    before are walked again until none does. That is exact, since the first segment starts from
+    nothing and each round settles one more at least, and mostly ends after a few rounds. A task
+    holds the band of one segment.
     """
+    inside = materialize(_bands(scores, fraction, exit_multiple, cap, by))
+    free = _uncapped(inside, by)
+    out = [by, "as_of", "entity_id", "rank"]
+    if cap is None:
+        return free.select(*out)
+    seg = F.floor(F.col("k") / segment).cast("long")
+    rows = materialize(inside.withColumn("seg", seg))
+    guess = top_k(free, [by, "k"], cap, F.col("rank"), out="_pick")
+    starts = _starts(guess, by, segment)
+    solved = materialize(_walk(rows, starts, cap, by))
+    while True:
+        now = _starts(solved, by, segment)
+        was = starts.withColumnRenamed("start", "_was")
+        moved = materialize(
+            now.join(was, [by, "seg"], "full").where(~F.col("start").eqNullSafe(F.col("_was")))
+            .select(by, "seg", "start")
+        )
+        if not moved.limit(1).count():
+            return solved.select(*out)
+        key = moved.select(by, "seg")
+        redone = _walk(rows.join(key, [by, "seg"], "left_semi"), moved, cap, by)
+        solved = materialize(solved.join(key, [by, "seg"], "left_anti").unionByName(redone))
+        starts = materialize(now)
+
+
+def _bands(scores: DataFrame, fraction, exit_multiple, cap, by: str) -> DataFrame:
+    """(by, as_of, k, entity_id, rank, enter_k) inside the exit band; k numbers the decision times."""
     ranked = ordered_rank(scores, [by, "as_of"], "score", "entity_id")
     base = F.greatest(F.lit(1), F.floor(F.col("rank_of") * F.lit(fraction)))
     enter = F.least(base, F.lit(cap)) if cap is not None else base
@@ -222,40 +258,46 @@ def hysteresis_path(
             F.greatest(F.col("enter_k"), F.bround(F.col("enter_k") * exit_multiple)),
         ).cast("int"),
     )
-    inside = banded.where(F.col("rank") <= F.col("exit_k")).select(
-        by, "as_of", "entity_id", F.col("rank").cast("int").alias("rank"), "enter_k"
+    inside = materialize(banded.where(F.col("rank") <= F.col("exit_k")))
+    times = inside.select(by, "as_of").distinct().withColumn(
+        "k", F.row_number().over(W.partitionBy(by).orderBy("as_of")) - 1
+    )
+    return inside.join(times, [by, "as_of"]).select(
+        by, "as_of", F.col("k").cast("long").alias("k"), "entity_id", F.col("rank").cast("int").alias("rank"), "enter_k"
     )
 
-    def pick(day: pd.DataFrame, held: set[str]) -> pd.DataFrame:
-        stay = day["entity_id"].isin(held)
-        chosen = [*day.index[stay], *day.index[~stay & (day["rank"] <= day["enter_k"])]]
-        return day.loc[chosen if cap is None else chosen[:cap]]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows arrive by strategy, time and rank. What was picked last is all that is carried on,
-        # besides the last day of a batch, which the next batch may complete.
-        name, held, rest = None, set(), None
-
-        def days(rows):
-            nonlocal name, held
-            for (key, _), day in rows.groupby([by, "as_of"], sort=False):
-                if key != name:
-                    name, held = key, set()
-                picked = pick(day, held)
-                held = set(picked["entity_id"])
-                yield picked[[by, "as_of", "entity_id", "rank"]]
-
-        for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if rows.empty:
-                continue
-            last = (rows[by] == rows[by].iloc[-1]) & (rows["as_of"] == rows["as_of"].iloc[-1])
-            rest = rows[last]
-            yield from days(rows[~last])
-        if rest is not None:
-            yield from days(rest)
-
-    order = [by, "as_of", "rank"]
-    return inside.repartition(by).sortWithinPartitions(*order).mapInPandas(
-        walk, f"{by} string, as_of timestamp, entity_id string, rank int"
+
+def _uncapped(inside: DataFrame, by: str) -> DataFrame:
+    name = W.partitionBy(by, "entity_id").orderBy("k")
+    run = W.partitionBy(by, "entity_id", "_run").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    entered = F.max((F.col("rank") <= F.col("enter_k")).cast("int")).over(run)
+    runs = inside.withColumn("_run", F.col("k") - F.row_number().over(name))
+    return runs.withColumn("_in", entered).where("_in = 1").drop("_run", "_in")
+
+
+def _starts(picks: DataFrame, by: str, segment: int) -> DataFrame:
+    """(by, seg, start): what the segment before ends with, at most ``cap`` names."""
+    last = picks.where(F.col("k") % segment == segment - 1)
+    return last.groupBy(by, (F.floor(F.col("k") / segment) + 1).cast("long").alias("seg")).agg(
+        F.array_sort(F.collect_list("entity_id")).alias("start")
+    )
+
+
+def _walk(rows: DataFrame, starts: DataFrame, cap: int, by: str) -> DataFrame:
+    """Picks of each segment from its start."""
+
+    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "rank"])
+        start = pdf["start"].iloc[0]
+        held = set() if start is None else set(start)
+        picked = []
+        for _, day in pdf.groupby("k", sort=True):
+            stay = day["entity_id"].isin(held)
+            chosen = [*day.index[stay], *day.index[~stay & (day["rank"] <= day["enter_k"])]][:cap]
+            held = set(day.loc[chosen, "entity_id"])
+            picked.append(day.loc[chosen])
+        return pd.concat(picked)[[by, "as_of", "k", "seg", "entity_id", "rank"]]
+
+    return rows.join(starts, [by, "seg"], "left").groupBy(by, "seg").applyInPandas(
+        segment, f"{by} string, as_of timestamp, k long, seg long, entity_id string, rank int"
     )

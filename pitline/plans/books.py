@@ -10,7 +10,7 @@ from pitline.operators import returns as rt
 from pitline.operators import scoring as sc
 from pitline.operators import sizing as sz
 from pitline.operators import strategies as st
-from pitline.plans.oracle import NAMES, zsql
+from pitline.plans.oracle import NAMES, cte, zsql
 from pitline.plans.reads import bars, supplier_panel, weekly_slots
 from pitline.plans.registry import query, r, shared
 from pitline.session import materialize
@@ -360,7 +360,37 @@ def bootstrap_interval(spark, sf):
     return out.select("strategy", r("low", 5).alias("low"), r("high", 5).alias("high"))
 
 
-@query()
+# Two strategies' ranks inside the exit band, by numbered decision times.
+cte("hband", ["score", "matrix"], """SELECT *, least(n, greatest(enter_k, round_even(enter_k * 1.5, 0)::BIGINT)) AS exit_k FROM (SELECT *,
+ greatest(1, floor(n * 0.2)::BIGINT) AS enter_k FROM (SELECT strategy, as_of, entity_id, dense_rank() OVER (PARTITION BY
+ strategy ORDER BY as_of) - 1 AS k, row_number() OVER (PARTITION BY strategy, as_of ORDER BY x DESC, entity_id) AS rank, count(*) OVER
+ (PARTITION BY strategy, as_of) AS n FROM (SELECT 'held' AS strategy, as_of, entity_id, score AS x FROM score UNION ALL SELECT
+ 'momentum', as_of, entity_id, mom_60 FROM matrix) WHERE x IS NOT NULL))""")
+cte("hcapped", ["hband"], """SELECT strategy, as_of, k, list({'e': entity_id, 'r': rank, 'in': rank <= least(enter_k, 10)} ORDER BY rank)
+ AS b FROM (SELECT * EXCLUDE (exit_k), least(n, greatest(least(enter_k, 10), round_even(least(enter_k, 10) * 1.5, 0)::BIGINT))
+ AS exit_k FROM hband) WHERE rank <= exit_k GROUP BY ALL""")
+
+
+def _held_scores(spark, sf):
+    s = Setup(spark, sf)
+    return s.score().select("as_of", "entity_id", "score", F.lit("held").alias("strategy")).unionByName(
+        s.matrix().select("as_of", "entity_id", F.col("mom_60").alias("score"), F.lit("momentum").alias("strategy"))
+    )
+
+
+@query("hcapped", """, walk AS (SELECT strategy, as_of, k, list_filter(b, lambda x: x['in'])[1:10] AS p FROM hcapped WHERE k = 0
+ UNION ALL SELECT h.strategy, h.as_of, h.k, (list_filter(h.b, lambda x: list_contains(list_transform(w.p, lambda y: y.e), x.e)) ||
+ list_filter(h.b, lambda x: x['in'] AND NOT list_contains(list_transform(w.p, lambda y: y.e), x.e)))[1:10] FROM walk w JOIN hcapped h
+ ON h.strategy = w.strategy AND h.k = w.k + 1) SELECT strategy, as_of, p.e AS entity_id, CAST(p.r AS INTEGER) AS rank FROM
+ (SELECT strategy, as_of, unnest(p) AS p FROM walk)""")
 def hysteresis_selection(spark, sf):
-    scores = Setup(spark, sf).score().withColumn("strategy", F.lit("held"))
-    return st.hysteresis_path(scores, 0.2, 1.5, 10)
+    """At most ten names; segments are short here, so that they have to be stitched."""
+    return st.hysteresis_path(_held_scores(spark, sf), 0.2, 1.5, 10, segment=4)
+
+
+@query("hband", """SELECT strategy, as_of, entity_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, max(CASE WHEN rank <= enter_k THEN 1 ELSE 0
+ END) OVER (PARTITION BY strategy, entity_id, run ORDER BY k) AS held FROM (SELECT *, k - row_number() OVER (PARTITION BY
+ strategy, entity_id ORDER BY k) AS run FROM hband WHERE rank <= exit_k)) WHERE held = 1""")
+def hysteresis_bands(spark, sf):
+    """The same bands without a cap."""
+    return st.hysteresis_path(_held_scores(spark, sf), 0.2, 1.5, None)

@@ -14,7 +14,10 @@ def cte(name: str, needs: list[str], sql: str) -> None:
 
 
 def with_ctes(names: list[str] | str, body: str) -> str:
-    """``body`` preceded by the named expressions and everything they need."""
+    """``body`` preceded by the named expressions and everything they need.
+
+    A body that starts with a comma goes on with expressions of its own, which may be recursive.
+    """
     ordered: list[str] = []
 
     def add(name: str) -> None:
@@ -25,7 +28,7 @@ def with_ctes(names: list[str] | str, body: str) -> str:
 
     for name in [names] if isinstance(names, str) else names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + body
+    return ("WITH RECURSIVE " if body.startswith(",") else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + body
 
 
 _BAR = f"""date_trunc('week', l_shipdate) AS event_time,

@@ -197,6 +197,34 @@ def test_hysteresis_keeps_held_names(spark):
     assert {r.entity_id for r in one.collect()} == {"a", "c", "d"}
 
 
+@pytest.mark.parametrize("cap, segment", [(3, 1), (3, 4), (5, 64), (None, 4)])
+def test_hysteresis_equals_a_walk_over_all_days(spark, cap, segment):
+    """Segments that have to be stitched, days without a strategy, ties and names that come and go."""
+    rng = np.random.default_rng(7)
+    rows, level = [], rng.normal(size=30)
+    for d in range(40):
+        level = level * 0.9 + rng.normal(size=30) * 0.5
+        for s in ("s", "t"):
+            if s == "t" and d % 7 == 3:
+                continue
+            there = rng.random(30) < 0.9
+            rows += [(s, T0 + dt.timedelta(days=d), f"n{i:02}", float(round(level[i], 1))) for i in range(30) if there[i]]
+    schema = "strategy string, as_of timestamp, entity_id string, score double"
+    got = st.hysteresis_path(spark.createDataFrame(rows, schema), 0.2, 1.8, cap, segment=segment)
+    want = []
+    for s in ("s", "t"):
+        held = set()
+        for d in sorted({r[1] for r in rows if r[0] == s}):
+            ranked = [n for _, n in sorted((-r[3], r[2]) for r in rows if r[0] == s and r[1] == d)]
+            enter = max(1, int(len(ranked) * 0.2))
+            enter = enter if cap is None else min(enter, cap)
+            leave = min(len(ranked), max(enter, round(enter * 1.8)))
+            band = ranked[:leave]
+            held = [*[n for n in band if n in held], *[n for n in band[:enter] if n not in held]][:cap]
+            want += [(s, d, n, ranked.index(n) + 1) for n in held]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_pairwise_covariance(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 5)) * np.array([1, 2, 3, 1, 2]) * 0.01
