@@ -72,6 +72,25 @@ def detect_events(
     return clusters.unionByName(led, allowMissingColumns=True)
 
 
+def event_entities(
+    filings: DataFrame, trades: DataFrame, slots: Slots, threshold: int = 3, window_days: int = 30
+) -> DataFrame:
+    """The distinct names with events at each scan: ``(as_of, entity_id, event_types, n_events)``.
+
+    Leadership trades are counted by where they appear and disappear, not repeated at every scan.
+    """
+    clusters = insider_clusters(filings, slots, threshold, window_days).select(
+        "as_of", "entity_id", "event_type", F.lit(1).alias("n")
+    )
+    spans = slots.spans(leadership_trades(trades), "knowledge_time", "known_until")
+    led = slots.with_as_of(slots.rolling_sums(spans, ["entity_id"], {})).select(
+        "as_of", "entity_id", F.lit(LEADERSHIP).alias("event_type"), F.col("n_visible").alias("n")
+    )
+    return clusters.unionByName(led).groupBy("as_of", "entity_id").agg(
+        F.sort_array(F.collect_set("event_type")).alias("event_types"), F.sum("n").alias("n_events")
+    )
+
+
 def anchors(
     filings: DataFrame, trades: DataFrame, slots: Slots, threshold: int = 3, window_days: int = 30
 ) -> DataFrame:

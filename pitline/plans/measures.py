@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from pitline.functions import scalars as fs
@@ -18,8 +20,9 @@ from pitline.plans.books import Setup
 from pitline.plans.oracle import cte
 from pitline.plans.reads import bars, supplier_panel, weekly_schedule, weekly_slots
 from pitline.plans.registry import query, r, shared
-from pitline.session import materialize
+from pitline.session import materialize, scratch_path
 from pitline.sources import adapters as ad
+from pitline.sources import ledger as lg
 
 
 def daily_slots(spark, sf):
@@ -206,17 +209,55 @@ def signal_ic(spark, sf):
                       r("hit_rate").alias("hit_rate"))
 
 
-# Two-sided p of |t| >= bar; the bar for 3 trials at 5% is 2.3939797998185104.
-@query("icsum", """SELECT signal, abs(t_stat) >= 2.3939797998185104 AS bonferroni, round(t_stat, 5) + 0.0 AS t_stat
- FROM icsum""")
+# The two-sided p-value under the normal distribution, by the series of the error function. The bar of
+# |t| for 3 trials at 5% is 2.3939797998185104.
+cte("icp", ["icsum"], """SELECT *, CASE WHEN abs(t_stat) > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum([CASE WHEN n % 2 = 0 THEN 1 ELSE -1
+ END * pow(abs(t_stat) / sqrt(2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)) FOR n IN range(0, 90)]) END AS p_value FROM icsum""")
+cte("icfam", ["icp"], """SELECT *, abs(t_stat) >= 2.3939797998185104 AS bonferroni, rk <= coalesce(max(CASE WHEN p_value <= rk / m * 0.05
+ THEN rk END) OVER (), 0) AS fdr FROM (SELECT *, row_number() OVER (ORDER BY p_value, signal) AS rk, count(*) OVER () AS m FROM icp)""")
+VERDICT = """CASE WHEN bonferroni THEN '[PASS family-wise (Bonferroni+FDR)]' WHEN fdr THEN '[pass FDR only]' WHEN abs(t_stat) >= 2 THEN
+ '[raw |t|>=2 ONLY — fails correction]' ELSE '[n.s.]' END"""
+
+
+@query("icfam", f"""SELECT signal, round(t_stat, 5) + 0.0 AS t_stat, round(p_value, 6) + 0.0 AS p_value, bonferroni, fdr,
+ {VERDICT} AS verdict FROM icfam""")
 def family_correction(spark, sf):
     out = si.correct_family(si.summarize_ics(_ics(spark, sf)))
-    return out.select("signal", "bonferroni", r("t_stat", 5).alias("t_stat"))
+    return out.select("signal", r("t_stat", 5).alias("t_stat"), r("p_value").alias("p_value"), "bonferroni",
+                      "fdr", "verdict")
 
 
-@query()
+@query("icfam", f"""SELECT signal, n_dates, n_obs, round(mean_ic, 6) + 0.0 AS mean_ic, round(ic_std, 6) + 0.0 AS ic_std, round(hit_rate, 6) + 0.0
+ AS hit_rate, round(t_stat, 5) + 0.0 AS t_stat, round(p_value, 6) + 0.0 AS p_value, bonferroni, fdr, 2.39398 AS bonferroni_t,
+ {VERDICT} AS verdict FROM icfam""")
 def signal_report(spark, sf):
-    return si.correct_family(si.summarize_ics(_ics(spark, sf)))
+    """Everything measured of each signal, with the verdict after correction for the family."""
+    out = si.correct_family(si.summarize_ics(_ics(spark, sf)))
+    return out.withColumns(
+        {c: r(c) for c in ("mean_ic", "ic_std", "hit_rate", "p_value")} | {c: r(c, 5) for c in ("t_stat", "bonferroni_t")}
+    )
+
+
+@query(["ics", "scal"], """SELECT attempt, signal, n_dates, round(mean_ic, 6) + 0.0 AS mean_ic, round(t, 5) + 0.0 AS t_stat, abs(t) >= 2 AS passed,
+ attempt = 2 OR (attempt = 3 AND signal <> 'vol_20') AS is_repeat FROM (SELECT signal, count(*) AS n_dates, avg(ic) AS mean_ic, avg(ic) /
+ (stddev_samp(ic) / sqrt(count(*))) AS t FROM ics WHERE as_of >= (SELECT event_time FROM scal WHERE t = least(floor(n_dates * 0.8),
+ n_dates - 1)) GROUP BY 1) CROSS JOIN (SELECT unnest([1, 2, 3]) AS attempt) WHERE attempt = 3 OR signal <> 'vol_20'""")
+def sealed_holdout(spark, sf):
+    """Three callers: two ask for the same signals, the third for one more. Each is measured once."""
+    start = si.holdout_start(bars(spark, sf).select("event_time"), 0.2).first()["holdout_start"]
+    sealed = _ics(spark, sf).where(F.col("as_of") >= F.lit(start))
+    ledger = lg.SealedLooks(spark, scratch_path(spark))
+
+    def measure(signals):
+        found = si.summarize_ics(sealed.where(F.col("signal").isin(signals)))
+        return found.select("signal", "n_dates", "mean_ic", "t_stat", (F.abs("t_stat") >= 2).alias("passed"))
+
+    every = sorted(IC_NAMES)
+    asked = [(1, every[:2]), (2, every[:2]), (3, every)]
+    looks = [ledger.look(names, measure, dt.datetime(2024, 1, n)).withColumn("attempt", F.lit(n)) for n, names in asked]
+    out = looks[0].unionByName(looks[1]).unionByName(looks[2])
+    return out.select("attempt", "signal", "n_dates", r("mean_ic").alias("mean_ic"), r("t_stat", 5).alias("t_stat"),
+                      "passed", "is_repeat")
 
 
 @query("scal", """SELECT event_time AS holdout_start FROM scal WHERE t = least(floor(n_dates * 0.8), n_dates - 1)""")
@@ -256,6 +297,18 @@ def detect_events(spark, sf):
     return events.groupBy("as_of", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(["clusters", "leads"], """SELECT as_of, count(*) AS n_entities, sum(n)::BIGINT AS n_events, count_if(types = 2)::BIGINT AS n_both FROM
+ (SELECT as_of, entity_id, count(*) AS n, count(DISTINCT event_type) AS types FROM (SELECT as_of, entity_id, 'c' AS event_type FROM clusters
+ UNION ALL SELECT as_of, entity_id, 'l' FROM leads) GROUP BY 1, 2) GROUP BY 1""")
+def event_entities(spark, sf):
+    """How many different names have events at each scan, and how many have both kinds."""
+    seen = ev.event_entities(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    return seen.groupBy("as_of").agg(
+        F.count(F.lit(1)).alias("n_entities"), F.sum("n_events").alias("n_events"),
+        F.count(F.when(F.size("event_types") == 2, 1)).alias("n_both"),
+    )
+
+
 @query(["clusters", "leads"], """SELECT level, message, count(*) AS n FROM (SELECT 'high' AS level, n_buys ||
  ' insiders bought ' || entity_id AS message FROM clusters UNION ALL SELECT 'medium', 'leadership ' || transaction_type
  || ' in ' || entity_id FROM leads) GROUP BY 1, 2""")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import json
+from collections.abc import Callable
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitline import schema as sm
 from pitline.functions.scalars import iso_utc
 from pitline.operators.bitemporal import as_of
 from pitline.sources.feeds import to_observations
+from pitline.sources.store import Files
 
 
 def prediction_facts(log: DataFrame) -> DataFrame:
@@ -59,6 +65,47 @@ def load_looks(facts: DataFrame, knowledge_time) -> DataFrame:
     )
 
 
+class SealedLooks:
+    """The write-once ledger of looks at the sealed holdout: a file per signal that is created once.
+
+    Whoever creates a signal's file has had the one look; everybody else, also one who measured at the
+    same time, gets that look back. Signals are a family of tests, so their rows fit the driver.
+    """
+
+    LOOK = "signal string, n_dates long, mean_ic double, t_stat double, passed boolean, decided_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+
+    def look(
+        self, signals: list[str], measure: Callable[[list[str]], DataFrame], decided_at: dt.datetime
+    ) -> DataFrame:
+        """The look that counts of each signal, and whether it is an earlier one (``is_repeat``).
+
+        ``measure`` is asked for signals nobody has looked at only; it returns the columns of ``LOOK``
+        up to ``passed``.
+        """
+        taken = set(self.files.names(self.path))
+        fresh = [s for s in signals if quote(s, safe="") not in taken]
+        mine = set()
+        for row in measure(fresh).collect() if fresh else []:
+            look = row.asDict() | {"decided_at": decided_at.isoformat()}
+            if self.files.create_once(f"{self.path}/{quote(row['signal'], safe='')}", json.dumps(look)):
+                mine.add(row["signal"])
+        return self.spark.createDataFrame(
+            [(*self._read(s), s not in mine) for s in signals if self._known(s)],
+            self.LOOK + ", is_repeat boolean",
+        )
+
+    def _known(self, signal: str) -> bool:
+        return quote(signal, safe="") in self.files.names(self.path)
+
+    def _read(self, signal: str) -> tuple:
+        look = json.loads(self.files.read(f"{self.path}/{quote(signal, safe='')}"))
+        look["decided_at"] = dt.datetime.fromisoformat(look["decided_at"])
+        return tuple(look[c.split()[0]] for c in self.LOOK.split(", "))
+
+
 def sleeve_facts(actions: DataFrame, dataset: str = sm.NEWS_SLEEVE) -> DataFrame:
     """Sleeve openings and closings ``(as_of, entity_id, status, entry_price, exit_by, reason,
     story_hash or n_buys)`` as facts. The reference tells openings from closings."""
