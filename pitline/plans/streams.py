@@ -10,8 +10,10 @@ from pitline.plans.decisions import LEDGER
 from pitline.plans.registry import query, r
 from pitline.session import scratch_path
 from pitline.sources import adapters as ad
+from pitline import schema as sm
 from pitline.sources.store import read_store
 from pitline.streaming import jobs as sj
+from pitline.streaming import passes as sp
 
 
 def _news(spark, sf):
@@ -136,6 +138,76 @@ def stream_sleeve(spark, sf):
     return sj.run_to_table(sj.sleeve(messages, rules))
 
 
+@query(None, """WITH b AS (SELECT event_type AS entity_id, floor(epoch(ts) / 3600)::BIGINT AS s, arg_max(value, (ts, event_id)) AS p FROM events
+ GROUP BY 1, 2), l AS (SELECT *, lag(s) OVER w AS ps, p / lag(p) OVER w - 1 AS r FROM b WINDOW w AS (PARTITION BY entity_id ORDER BY s)),
+ f AS (SELECT b.entity_id, b.s, any_value(b.p) AS p, arg_max(x.p, x.s) FILTER (x.s <= b.s - 24) AS m, arg_max(x.p, x.s) FILTER
+ (x.s <= b.s - 5) AS v, coalesce(sum(x.r) FILTER (x.s > b.s - 24 AND x.ps > b.s - 180), 0) AS sr, coalesce(sum(x.r * x.r) FILTER
+ (x.s > b.s - 24 AND x.ps > b.s - 180), 0) AS sq, least(24, b.s - min(x.s)) AS n FROM b JOIN l x ON x.entity_id = b.entity_id AND
+ x.s <= b.s AND x.s > b.s - 180 GROUP BY 1, 2)
+ SELECT entity_id, make_timestamp(s * 3600000000) AS event_time, p AS close, round(p / m - 1, 6) + 0.0 AS momentum, round(1 - p / v, 6)
+ + 0.0 AS mean_reversion, CASE WHEN n > 0 THEN round(sqrt(greatest(0, sq / n - (sr / n) * (sr / n))), 5) + 0.0 END AS volatility FROM f""")
+def stream_minute_features(spark, sf):
+    """Features of hourly bars per event type from a buffer of 180 hours."""
+    ticks = _news(spark, sf).select(
+        F.col("source").alias("entity_id"), "event_time", F.col("event_id").alias("seq"), F.col("value").alias("price")
+    )
+    rules = sp.Intraday(step=3600, span=180, momentum=24, mean_reversion=5, volatility=24)
+    last = sj.final_state(sp.minute_features(ticks, rules), "entity_id", "event_time")
+    return last.select("entity_id", "event_time", "close", r("momentum").alias("momentum"),
+                       r("mean_reversion").alias("mean_reversion"), r("volatility", 5).alias("volatility"))
+
+
+PASSES = 6
+
+
+@query(None, f"""WITH RECURSIVE e AS (SELECT 'U' || user_id AS e, ts, value AS price, CASE WHEN event_type = 'purchase' THEN md5(event_id::VARCHAR)
+ END AS story, event_id % 3 - 1 AS dir, (CAST(round(value * 100) AS BIGINT) % 101) / 100.0::DOUBLE AS conf, least({PASSES - 1},
+ date_diff('day', TIMESTAMP '2024-01-01', ts) // 6) AS i FROM events),
+ q AS (SELECT i, list({{'e': e, 'p': p}}) AS quotes FROM (SELECT i, e, arg_max(price, (ts, price)) AS p FROM e WHERE price > 0 GROUP BY 1, 2)
+ GROUP BY 1), n AS (SELECT i, max(ts) AS now FROM e GROUP BY 1),
+ c AS (SELECT i, list({{'e': e, 'p': p, 'story': b.story}} ORDER BY b.conf DESC, e) AS cands FROM (SELECT i, e, max({{'conf': conf, 't': -epoch_us(ts),
+ 'story': story}}) AS b FROM e WHERE story IS NOT NULL AND dir > 0 AND conf >= 0.2 GROUP BY 1, 2) JOIN (SELECT i, unnest(quotes,
+ recursive := true) FROM q) USING (i, e) GROUP BY 1),
+ g AS (SELECT row_number() OVER (ORDER BY i) AS i, now, quotes, coalesce(cands, []) AS cands FROM n JOIN q USING (i) LEFT JOIN c USING (i)),
+ walk AS (SELECT 0::BIGINT AS i, NULL::TIMESTAMP AS now, []::STRUCT(e VARCHAR, p DOUBLE, story VARCHAR, due TIMESTAMP)[] AS held,
+ []::VARCHAR[] AS used, MAP {{}}::MAP(VARCHAR, TIMESTAMP) AS acted, []::STRUCT(e VARCHAR, p DOUBLE, status VARCHAR, reason VARCHAR)[] AS actions
+ UNION ALL SELECT i, now, live || opens, used || list_transform(opens, lambda o: o.story),
+ map_from_entries(list_concat(list_filter(map_entries(acted), lambda a: NOT list_contains(moved, a.key)),
+ list_transform(moved, lambda m: {{'key': m, 'value': now}}))),
+ list_transform(closed, lambda o: {{'e': o.e, 'p': o.q, 'status': 'closed', 'reason': CASE WHEN o.q / o.p - 1 <= -0.5 THEN 'stop' ELSE 'horizon'
+ END}}) || list_transform(opens, lambda o: {{'e': o.e, 'p': o.p, 'status': 'open', 'reason': NULL::VARCHAR}}) FROM (SELECT *,
+ list_distinct(list_transform(closed, lambda o: o.e) || list_transform(opens, lambda o: o.e)) AS moved FROM (SELECT *,
+ list_transform(list_filter(cands, lambda x: NOT list_contains(used, x.story) AND NOT list_contains(list_transform(live, lambda o: o.e), x.e)
+ AND (acted[x.e] IS NULL OR now - acted[x.e] >= INTERVAL 1 DAY))[1:greatest(0, 12 - len(live))],
+ lambda x: {{'e': x.e, 'p': x.p, 'story': x.story, 'due': now + INTERVAL 8 DAY}}) AS opens FROM (SELECT *,
+ list_transform(list_filter(priced, lambda o: NOT o.gone), lambda o: {{'e': o.e, 'p': o.p, 'story': o.story, 'due': o.due}}) AS live,
+ list_filter(priced, lambda o: o.gone) AS closed FROM (SELECT *, list_transform(quoted, lambda o: {{'e': o.e, 'p': o.p, 'story': o.story,
+ 'due': o.due, 'q': o.q, 'gone': now >= o.due OR coalesce(o.q / o.p - 1 <= -0.5, false)}}) AS priced FROM (SELECT g.i, g.now, g.quotes,
+ g.cands, w.used, w.acted, list_transform(w.held, lambda o: {{'e': o.e, 'p': o.p, 'story': o.story, 'due': o.due, 'q':
+ list_filter(g.quotes, lambda x: x.e = o.e)[1].p}}) AS quoted FROM walk w JOIN g ON g.i = w.i + 1))))))
+ SELECT now AS as_of, a.e AS entity_id, a.status AS status, a.p AS price, a.reason AS reason FROM (SELECT now, unnest(actions) AS a FROM walk)""")
+def stream_capped_sleeve(spark, sf):
+    """A sleeve of at most twelve names over six deliveries of events, resumed for each of them."""
+    folder, marks, path = scratch_path(spark), scratch_path(spark), scratch_path(spark)
+    events = ad.table(spark, sf, "events")
+    days = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    part = F.least(F.lit(PASSES - 1), F.floor(days / 6))
+    for i in range(PASSES):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        new = spark.readStream.schema(events.schema).parquet(folder)
+        messages = new.select(
+            F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("entity_id"),
+            F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("price"),
+            F.when(F.col("event_type") == "purchase", F.md5(F.col("event_id").cast("string"))).alias("story_hash"),
+            (F.col("event_id") % 3 - 1).cast("int").alias("direction"),
+            (ad.cents("value") % 101 / 100.0).alias("confidence"),
+        )
+        rules = sj.SleeveRules(hold_days=8, stop=0.5, cooldown_days=1, min_confidence=0.2)
+        sp.capped_sleeve(messages, path, rules, 12, "sleeve", marks)
+    log = sm.typed_view(read_store(spark, path), sm.NEWS_SLEEVE)
+    return log.select(F.col("event_time").alias("as_of"), "entity_id", "status", F.col("entry_price").alias("price"), "reason")
+
+
 @query(None, LEDGER)
 def stream_positions(spark, sf):
     lines = sj.table_stream(spark, sf, "lineitem")
