@@ -359,69 +359,100 @@ def selection_weights(selected: DataFrame, mode: str = "equal") -> DataFrame:
     )
 
 
-# --- covariance of small groups ---------------------------------------------------------------
+# --- covariance by tiles ------------------------------------------------------------------------
+
+#: Names of a block, about; a tile holds the pairs of two blocks.
+TILE = 512
+MOMENTS = "grp string, a string, b string, n double, sx double, sy double, sxy double"
+
+
+class _Tile:
+    """Counts and sums of the pairs of two blocks of names, grown as names appear."""
+
+    def __init__(self):
+        self.index = ({}, {})
+        self.sums = np.zeros((4, 8, 8))
+
+    def add(self, left, right) -> None:
+        at = []
+        for side, (names, _) in enumerate((left, right)):
+            index = self.index[side]
+            at.append(np.array([index.setdefault(n, len(index)) for n in names]))
+            while len(index) > self.sums.shape[side + 1]:
+                grow = [(0, 0), (0, 0), (0, 0)]
+                grow[side + 1] = (0, self.sums.shape[side + 1])
+                self.sums = np.pad(self.sums, grow)
+        x, y = (np.asarray(side[1], dtype=float) for side in (left, right))
+        cells = np.ix_(*at)
+        for part, value in zip(self.sums, (1.0, x[:, None], y[None, :], np.outer(x, y))):
+            part[cells] += value
+
+    def frame(self, grp: str) -> pd.DataFrame:
+        a, b = (np.array(list(index)) for index in self.index)
+        i, j = np.indices((len(a), len(b)))
+        n, sx, sy, sxy = (part[: len(a), : len(b)].ravel() for part in self.sums)
+        out = pd.DataFrame({"grp": grp, "a": a[i.ravel()], "b": b[j.ravel()], "n": n, "sx": sx, "sy": sy, "sxy": sxy})
+        return out[out["n"] > 0]
 
 
 def _moment_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairwise counts and sums of a group's names, accumulated over the dates of a partition."""
-    key, index, sums = None, {}, None
-
-    def flush():
-        names = np.array(list(index))
-        n = len(names)
-        i, j = np.indices((n, n))
-        count, sx, sxy = (m[:n, :n] for m in sums)
-        frame = {"grp": key, "a": names[i.ravel()], "b": names[j.ravel()],
-                 "n": count.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(), "sxy": sxy.ravel()}
-        out = pd.DataFrame(frame)
-        return out[out["n"] > 0]
-
+    """Moments of each tile, accumulated over the dates of a partition; rows come tile by tile."""
+    key, tile = None, None
     for batch in batches:
-        for grp, names, rets in zip(batch["grp"], batch["names"], batch["rets"], strict=True):
-            if grp != key:
+        for row in batch.itertuples(index=False):
+            if (row.grp, row.i, row.j) != key:
                 if key is not None:
-                    yield flush()
-                key, index, sums = grp, {}, [np.zeros((8, 8)) for _ in range(3)]
-            at = np.array([index.setdefault(n, len(index)) for n in names])
-            while len(index) > len(sums[0]):
-                sums = [np.pad(m, (0, len(m))) for m in sums]
-            cells, x = np.ix_(at, at), np.asarray(rets, dtype=float)
-            sums[0][cells] += 1.0
-            sums[1][cells] += x[:, None]
-            sums[2][cells] += np.outer(x, x)
+                    yield tile.frame(key[0])
+                key, tile = (row.grp, row.i, row.j), _Tile()
+            tile.add((row.names, row.rets), (row.names2, row.rets2))
     if key is not None:
-        yield flush()
+        yield tile.frame(key[0])
 
 
-def pairwise_covariance(returns: DataFrame, salts: int | None = None) -> DataFrame:
+def pairwise_covariance(returns: DataFrame, salts: int | None = None, tile: int = TILE) -> DataFrame:
     """Sample covariance of the names of each group, ``(grp, a, b, cov)``.
 
-    ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. The result has
-    a row per pair, so groups should be small ones such as sectors. Each task adds up one matrix per
-    group over its dates (outer products in numpy) and emits it once; Spark sums the parts.
+    ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. The names of a group
+    are cut into blocks of about ``tile``, and each pair of blocks is a tile: tasks add up the moments of a
+    tile over their dates (outer products in numpy) and emit it once, and Spark sums the parts. So a
+    task holds one tile, however many names a group has, and a group's tiles are spread over tasks.
     """
     if salts is None:
         salts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dates = returns.groupBy("grp", "t").agg(
+    returns = materialize(returns.select("grp", "t", "entity_id", "ret"))
+    blocks = returns.groupBy("grp").agg(
+        F.ceil(F.approx_count_distinct("entity_id") / tile).cast("int").alias("_nb")
+    )
+    block = F.pmod(F.xxhash64("entity_id"), F.greatest(F.col("_nb"), F.lit(1))).cast("int")
+    rows = returns.join(blocks, "grp").withColumn("_b", block).groupBy("grp", "t", "_b").agg(
         F.array_sort(F.collect_list(F.struct("entity_id", "ret"))).alias("_v")
-    ).select(
-        "grp",
-        F.pmod(F.xxhash64("t"), F.lit(salts)).alias("_salt"),
-        F.transform("_v", lambda v: v["entity_id"]).alias("names"),
+    )
+    rows = materialize(rows.select(
+        "grp", "t", F.col("_b").alias("i"), F.transform("_v", lambda v: v["entity_id"]).alias("names"),
         F.transform("_v", lambda v: v["ret"]).alias("rets"),
+    ))
+    other = rows.select(
+        "grp", "t", F.col("i").alias("j"), F.col("names").alias("names2"), F.col("rets").alias("rets2")
+    )
+    tiles = rows.join(other, ["grp", "t"]).where(F.col("i") <= F.col("j")).withColumn(
+        "_salt", F.pmod(F.xxhash64("t"), F.lit(salts))
     )
     parts = (
-        dates.repartition("grp", "_salt")
-        .sortWithinPartitions("grp")
-        .select("grp", "names", "rets")
-        .mapInPandas(
-            _moment_parts,
-            "grp string, a string, b string, n double, sx double, sy double, sxy double",
-        )
+        tiles.repartition("grp", "i", "j", "_salt")
+        .sortWithinPartitions("grp", "i", "j")
+        .select("grp", "i", "j", "names", "rets", "names2", "rets2")
+        .mapInPandas(_moment_parts, MOMENTS)
     )
     total = parts.groupBy("grp", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
     cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
-    return total.where(F.col("n") > 1).select("grp", "a", "b", cov.alias("cov"))
+    half = total.where(F.col("n") > 1).select("grp", "a", "b", cov.alias("cov"))
+    if not blocks.where(F.col("_nb") > 1).limit(1).count():
+        return half  # a group's only tile has each pair both ways
+    # Tiles of two blocks have each pair one way.
+    of = blocks.withColumnRenamed("_nb", "_n")
+    at = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.col("_n"), F.lit(1)))
+    crossed = half.join(of, "grp").where(at("a") != at("b"))
+    return half.unionByName(crossed.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 
 def top_names(scores: DataFrame, k: int, descending: bool = True) -> DataFrame:

@@ -230,12 +230,26 @@ def test_pairwise_covariance(spark):
     x = rng.normal(size=(200, 5)) * np.array([1, 2, 3, 1, 2]) * 0.01
     rows = [("g", t, f"N{j}", float(x[t, j])) for t in range(200) for j in range(5)]
     returns = spark.createDataFrame(rows, "grp string, t int, entity_id string, ret double")
-    for salts in (None, 3):
-        cov = sz.pairwise_covariance(returns, salts)
+    for salts, tile in ((None, 512), (3, 2), (2, 1)):
+        cov = sz.pairwise_covariance(returns, salts, tile)
+        assert cov.count() == 25
         m = cov.toPandas().pivot(index="a", columns="b", values="cov").to_numpy()
         np.testing.assert_allclose(m, np.cov(x.T), rtol=1e-8)
 
 
+def test_covariance_of_a_group_of_thousands(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6, 1200))
+    names = [f"n{j:04}" for j in range(1200)]
+    rows = [("big", t, names[j], float(x[t, j])) for t in range(6) for j in range(1200)]
+    frame = pd.DataFrame(rows, columns=["grp", "t", "entity_id", "ret"])
+    cov = sz.pairwise_covariance(spark.createDataFrame(frame), 2, 256)
+    assert cov.count() == 1200 * 1200
+    want = np.cov(x.T)
+    for r in cov.where("a in ('n0003', 'n1100') and b > 'n1190'").collect():
+        assert r["cov"] == pytest.approx(want[names.index(r.a), names.index(r.b)], abs=1e-9)
+
+
 def test_ranks_with_nan_infinities_and_odd_names(spark):
     inf, nan = float("inf"), float("nan")
     rows = [("a", 1.0), ("b", nan), ("c", inf), ("d", -inf), ("e", 0.0), ("f", inf), ("g", None), ("zz" * 50, 1e-300)]
