@@ -251,7 +251,10 @@ def described(docs: DataFrame) -> DataFrame:
 def train(figures: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Fit on a bounded sample of the labelled rows of the training folds and all of ``described``."""
     known = labelled_sample(labels, "quality", fold(FOLDS) != 0, labelled_rows)
-    got = figures.join(F.broadcast(known), "doc_id").select("y", "x").toPandas()
+    # Rows that repeat an id count once, with the smallest figures, so the bound on ids bounds the rows.
+    got = figures.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(
+        F.min("x").alias("x")
+    ).select("y", "x").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FIGURES))
     y = got["y"].to_numpy()
     model = fit(x[y == 1], Table(figures))

@@ -559,7 +559,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = keyed.where("doc_id is not null").select("doc_id", "row_key", "text")
     data = (
         intervals(known, n_buckets).groupBy("doc_id", "row_key")
-        .agg(F.collect_list("data").alias("data"))
+        .agg(F.collect_set("data").alias("data"))  # rows that repeat id and text have the same
     )
     return (
         keyed.join(data, ["doc_id", "row_key"], "left").select("doc_id", "text", "data")

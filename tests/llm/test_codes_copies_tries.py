@@ -10,7 +10,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitline.llm import conversation_trie, exact_dedup, vector_codes, vector_search
+from pitline.llm import (
+    conversation_trie,
+    exact_dedup,
+    quality,
+    substrings,
+    toxicity,
+    vector_codes,
+    vector_search,
+)
 
 
 # --- op11 -------------------------------------------------------------------------------------
@@ -301,3 +309,31 @@ def test_nearest_of_large_components(spark, scale):
         want += [(q, k + 1, i, -s if abs(s) < 1 << 63 else None) for k, (s, i) in enumerate(scored)]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(got) == sorted(want)
+
+
+# --- rows that repeat an id ---------------------------------------------------------------------
+
+
+def test_repeated_labelled_rows_count_once(spark, monkeypatch):
+    """One row per labelled id reaches the driver, however often it is there."""
+    rows = [(7, f"good words number {i % 3}", "x") for i in range(3000)] + [(i, f"bad {i}", "x") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, int(i == 7), int(i % 2)) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "best_cut", lambda raw, y: seen.append(len(raw)) or 0.0)
+    quality.train(quality.described(docs), labels)
+    assert 0 < seen[0] <= 21
+    learned = []
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda sample: learned.append(sample.count()) or toxicity.Lexicon([], [], []))
+    toxicity.train(docs.select("doc_id", "text"), labels)
+    assert 0 < learned[0] <= 21
+
+
+def test_repeated_rows_of_long_repeats(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text)] + [(2, "a head " + text + " a tail")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.remove_repeats(docs).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans, r["count"]) for r in got) == [
+        (1, 0, 0, 1), (2, len(text), 1, 300),
+    ]
