@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.crosssection import average_rank, zscore
+from pitline.functions.timeline import Slots
 
 AT = ["as_of"]
 
@@ -165,3 +167,58 @@ def tilt_weights(scores: DataFrame, strength: float) -> DataFrame:
     return raw.join(total, AT).select(
         "as_of", "entity_id", (F.col("_raw") / F.col("_total")).alias("weight")
     )
+
+
+# --- a scorer that changes as evidence grows ------------------------------------------------------
+
+# What a signal's measured IC amounts to.
+COLD, MEASURED, PRUNED = "cold", "measured", "pruned"
+
+
+def evidence(history: DataFrame, names: Sequence[str], rebalances: DataFrame, min_abs: float = 0.02) -> DataFrame:
+    """``(k, signal, ic, state)`` for every rebalance ``k`` and signal.
+
+    ``history`` is ``(k, signal, ic)`` as measured by then. A signal without an IC is cold, one below
+    ``min_abs`` pruned.
+    """
+    every = rebalances.select("k").withColumn("signal", F.explode(F.array(*[F.lit(n) for n in names])))
+    state = (
+        F.when(F.col("ic").isNull() | F.isnan("ic"), COLD).when(F.abs("ic") >= min_abs, MEASURED)
+        .otherwise(PRUNED)
+    )
+    return every.join(history.select("k", "signal", "ic"), ["k", "signal"], "left").withColumn("state", state)
+
+
+def evidence_intervals(states: DataFrame) -> DataFrame:
+    """``(signal, state, k_from, k_to)``: from which rebalance up to before which a state holds.
+
+    The last interval of a signal has no end.
+    """
+    path = W.partitionBy("signal").orderBy("k")
+    moved = ~F.col("state").eqNullSafe(F.lag("state").over(path))
+    runs = states.withColumn("_run", F.sum(moved.cast("int")).over(path.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("signal", "_run").agg(F.first("state").alias("state"), F.min("k").alias("k_from"))
+    following = F.lead("k_from").over(W.partitionBy("signal").orderBy("_run"))
+    return spans.select("signal", "state", "k_from", following.alias("k_to"))
+
+
+def evidence_at(intervals: DataFrame, slots: Slots, times: DataFrame, at: str) -> DataFrame:
+    """Rows of ``times`` with each signal's state at time ``at``, as of the last rebalance by then.
+
+    A time maps to its rebalance by an equi-join, and a handful of intervals per signal meet it there.
+    """
+    placed = slots.assign(times, at, "k", after=True).withColumn("k", F.col("k") - 1)
+    every = slots.schedule.select("k").join(
+        intervals, (F.col("k_from") <= F.col("k")) & (F.col("k_to").isNull() | (F.col("k") < F.col("k_to")))
+    ).select("k", "signal", "state")
+    return placed.join(every, "k")
+
+
+def scorer_weights(states: DataFrame, cap: float = 0.5) -> DataFrame:
+    """``(k, signal, weight)`` of the scorer in force at each rebalance.
+
+    Measured signals share the weight by their IC, pruned and cold ones have none; as long as none is
+    measured all have the same.
+    """
+    usable = states.withColumn("ic", F.when(F.col("state") == MEASURED, F.col("ic")).otherwise(0.0))
+    return ic_weights(usable.select("k", "signal", "ic"), ["k"], cap)

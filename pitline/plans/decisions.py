@@ -13,6 +13,7 @@ from pitline.operators import orders as od
 from pitline.operators import panel as pn
 from pitline.operators import recall as rc
 from pitline.operators import returns as rt
+from pitline.operators import scoring as sc
 from pitline.operators import strategies as st
 from pitline.plans import jobs
 from pitline.plans.books import Setup
@@ -129,6 +130,57 @@ def expanding_ic(spark, sf):
     return out.where(F.col("n") > 0).select(F.col("k").cast("long"), "signal", "n", r("ic", 5).alias("ic"))
 
 
+# Every signal at every rebalance: what had been measured of it, and its weight.
+cte("xic", ["graded", "sched"], """SELECT r.k, signal, corr(x, ret) AS ic FROM sched r JOIN (SELECT g.*, s.t + 5 AS ready FROM
+ graded g JOIN sched s ON s.as_of = g.as_of) UNPIVOT (x FOR signal IN (mom_60, meanrev_5, vol_20, insider_net_buys_90d)) u
+ ON u.ready <= r.t GROUP BY 1, 2""")
+cte("evid", ["xic", "sched"], """SELECT s.k, s.as_of, n.signal, ic, CASE WHEN ic IS NULL OR isnan(ic) THEN 'cold' WHEN abs(ic) >= 0.05 THEN
+ 'measured' ELSE 'pruned' END AS state FROM sched s CROSS JOIN (SELECT unnest(['mom_60', 'meanrev_5', 'vol_20',
+ 'insider_net_buys_90d']) AS signal) n LEFT JOIN xic x ON x.k = s.k AND x.signal = n.signal""")
+cte("wic", ["evid"], """SELECT k, as_of, signal, state, CASE WHEN tot = 0 THEN 0.25 ELSE greatest(-0.5, least(0.5, u / tot)) END AS weight FROM
+ (SELECT *, sum(abs(u)) OVER (PARTITION BY k) AS tot FROM (SELECT *, CASE WHEN state = 'measured' THEN ic ELSE 0.0 END AS u FROM evid))""")
+
+
+def _evidence(spark, sf):
+    def build():
+        graded, s = _graded(spark, sf)
+        ready = jobs.grading_slots(s.panel, s.slots, 5)
+        history = gr.expanding_ic(graded.join(ready, "as_of"), "matured_k", s.slots.schedule)
+        return materialize(sc.evidence(history.where("n > 0"), NAMES, s.slots.schedule, 0.05))
+
+    return shared(spark, sf, "evidence", build)
+
+
+@query("wic", "SELECT k, signal, state, round(weight, 5) + 0.0 AS weight FROM wic")
+def scorer_weights(spark, sf):
+    """The weights of the scorer at each rebalance: even while cold, then by what was measured."""
+    states = _evidence(spark, sf)
+    out = sc.scorer_weights(states).join(states.select("k", "signal", "state"), ["k", "signal"])
+    return out.select(F.col("k").cast("long").alias("k"), "signal", "state", r("weight", 5).alias("weight"))
+
+
+@query(["evid", "scal"], """SELECT c.event_time AS day, signal, state FROM (SELECT event_time, (SELECT max(k) FROM sched WHERE as_of <= event_time)
+ AS k FROM scal) c JOIN evid USING (k)""")
+def scorer_states(spark, sf):
+    """What each signal counted as on every day, by validity intervals of its state."""
+    s = Setup(spark, sf)
+    intervals = materialize(sc.evidence_intervals(_evidence(spark, sf)))
+    days = s.panel.select(F.col("event_time").alias("day")).distinct()
+    return sc.evidence_at(intervals, s.slots, days, "day").select("day", "signal", "state")
+
+
+@query(["wic", "zm"], """SELECT z.as_of, z.entity_id, round((coalesce(z_mom_60, 0) * a + coalesce(z_meanrev_5, 0) * b + coalesce(z_vol_20, 0)
+ * c + coalesce(z_insider_net_buys_90d, 0) * d) / nullif(abs(a) + abs(b) + abs(c) + abs(d), 0), 5) + 0.0 AS score FROM zm z JOIN (SELECT
+ as_of, max(weight) FILTER (signal = 'mom_60') AS a, max(weight) FILTER (signal = 'meanrev_5') AS b, max(weight) FILTER (signal =
+ 'vol_20') AS c, max(weight) FILTER (signal = 'insider_net_buys_90d') AS d FROM wic GROUP BY 1) w ON w.as_of = z.as_of""")
+def learned_scores(spark, sf):
+    """Scores of the replay: each decision time with the weights that were known by then."""
+    s = Setup(spark, sf)
+    weights = s.slots.with_as_of(sc.scorer_weights(_evidence(spark, sf)))
+    out = sc.composite(s.matrix(), NAMES, materialize(weights.select("as_of", "signal", "weight")))
+    return out.select("as_of", "entity_id", r("score", 5).alias("score"))
+
+
 VIEWS_SQL = """SELECT date_trunc('day', ts)::TIMESTAMP AS as_of, 'U' || user_id AS entity_id, CASE WHEN event_type = 'error' THEN
  'risk' ELSE event_type END AS role, avg((CAST(round(value * 100) AS BIGINT) % 201 - 100)) / 100.0 AS score,
  avg(CAST(round(value * 100) AS BIGINT) % 101) / 100.0 AS confidence FROM events GROUP BY 1, 2, 3"""
