@@ -54,13 +54,17 @@ def bar_features(steps: np.ndarray, closes: np.ndarray, rules: Intraday) -> dict
 
     before = np.concatenate([[np.nan], closes[:-1]])
     moves = np.nan_to_num(closes / np.where(before == 0, np.nan, before) - 1.0)
-    sums, squares = (np.concatenate([[0.0], np.cumsum(m)]) for m in (moves, moves * moves))
     start = np.maximum(np.searchsorted(steps, steps - rules.volatility, side="right"), oldest + 1)
     start = np.minimum(start, n + 1)
     known = np.minimum(rules.volatility, steps - steps[oldest])
+
+    def total(x: np.ndarray) -> np.ndarray:  # of x[start : n + 1], without cancellation
+        ends = np.stack([start, n + 1], axis=1).ravel()
+        return np.where(start <= n, np.add.reduceat(np.append(x, 0.0), ends)[::2], 0.0) if len(x) else x
+
     with np.errstate(invalid="ignore", divide="ignore"):
-        mean = (sums[n + 1] - sums[start]) / known
-        spread = (squares[n + 1] - squares[start]) / known - mean * mean
+        mean = total(moves) / known
+        spread = total(moves * moves) / known - mean * mean
     return {
         "momentum": change(rules.momentum), "mean_reversion": -change(rules.mean_reversion),
         "volatility": np.where(known > 0, np.sqrt(np.maximum(spread, 0.0)), np.nan),
