@@ -3,11 +3,12 @@
 A page is cut at its block tags into a flat list of text blocks. Each has its number of words, its
 link density and those of the blocks before and after it, and marks of the elements around it. A
 decision tree, grown on the small labelled table in ``html_labels``, says which blocks belong to the
-article. These are joined in page order.
+article: of blocks outside an article or main element by their words and link density and those of
+their neighbours. These are joined in page order.
 
 Null, empty or text-free html: an empty text. Broken markup is read as far as it goes: an unclosed
 element ends with its parent, an unknown character reference stays as written. Repeated rows are
-extracted once each.
+extracted once each, other columns are ignored; a page of any length is read whole, in one task.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from pitline.llm.common import map_columns
 
+#: A quote opens a value only right after an equals sign; elsewhere it is a letter like any other.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^=>])*+)>"
+    r"|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^>]*\Z",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -39,20 +42,28 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Fixed marks of what surrounds an article.
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+#: Fixed marks of what surrounds an article. What is inside of the first two kinds stays outside of
+#: the article whatever it is; an article within an element that only has a telling name, or within a
+#: form around a whole page, is an article again.
+ASIDE_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
 ASIDE_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
+    "navigation banner contentinfo complementary search dialog alert menu menubar".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus replies".split())
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav "
-    "navbar navigation newsletter notice notification pager pagination popup promo promotion "
-    "recommended related share sharing sidebar signup social sponsor sponsored subscribe toolbar "
-    "widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie "
+    "cookies copyright disclaimer footer login masthead menu modal nav navbar navigation newsletter "
+    "notice notification pager pagination popup promo promotion recommended related share sharing "
+    "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_NAMES = frozenset("article content entry main post story body".split())
-NAME_PART = re.compile(r"[A-Za-z]+")
+#: Parts that say where or how something is shown, not what it is; and that it merely has something.
+PLACE_PARTS = frozenset(
+    "area bar block bottom box col column container group inner item items left link links list "
+    "outer panel right row section site top wrap wrapper".split()
+)
+STATE_PARTS = frozenset("has is no not with without js".split())
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FIGURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "in_main",
@@ -61,6 +72,30 @@ FIGURES = (
 WORDS_AT_MOST = 60
 
 
+def named(value: str) -> set[str]:
+    """What a class or id says an element is: "aside", "comments", "main" or "header".
+
+    Each name counts as a whole: its last part says what it is (``site-footer`` is a footer,
+    ``menu-page`` a page), after parts that only say where (``sidebar-left``); ``has-sidebar`` says
+    nothing of the element itself.
+    """
+    out = set()
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if not parts or parts[0] in STATE_PARTS:
+            continue
+        what = [p for p in parts if p not in PLACE_PARTS] or parts
+        if COMMENT_NAMES & set(what):
+            out.add("comments")
+        elif what[-1] in MAIN_NAMES:
+            out.add("main")
+        elif what[-1] == "header":
+            out.add("main" if what[0] in MAIN_NAMES else "header")
+        elif what[-1] in ASIDE_NAMES:
+            out.add("aside")
+    return out
+
+
 class _Element:
     __slots__ = ("tag", "hidden", "main", "aside", "header")
 
@@ -68,9 +103,7 @@ class _Element:
         a = {}
         for name, x, y, z in ATTRIBUTE.findall(attributes):
             a.setdefault(name.lower(), x or y or z)
-        named = {
-            p.lower() for k in ("class", "id") for p in NAME_PART.findall(a.get(k) or "")
-        }
+        names = named(" ".join(a.get(k) or "" for k in ("class", "id")))
         role = (a.get("role") or "").lower()
         style = (a.get("style") or "").replace(" ", "").lower()
         self.tag = tag
@@ -81,18 +114,23 @@ class _Element:
             or "display:none" in style
             or "visibility:hidden" in style
         )
-        is_main = tag in ("article", "main") or role in ("main", "article")
         body = tag in ("html", "body")
+        is_main = tag in ("article", "main") or role in ("main", "article")
+        told = set() if body else names
         self.main = (parent is not None and parent.main) or is_main or (
-            tag in ("div", "section") and bool(named & MAIN_NAMES) and not named & ASIDE_NAMES
-        )
-        self.aside = (parent is not None and parent.aside) or (
-            tag in ASIDE_TAGS
-            or role in ASIDE_ROLES
-            or (not body and not is_main and bool(named & ASIDE_NAMES))
+            tag in ("div", "section") and "main" in told and not told & {"aside", "comments"}
         )
+        # 0 outside, 1 by a name or a form, 2 by a tag, a role or as readers' comments
+        inherited = parent.aside if parent is not None else 0
+        if tag in ASIDE_TAGS or role in ASIDE_ROLES or "comments" in told:
+            own = 2
+        else:
+            own = int(tag == "form" or role == "form" or ("aside" in told and not is_main))
+        self.aside = max(own, 0 if is_main and inherited < 2 else inherited)
         # A header inside an article holds its title, one beside it the site's.
-        self.header = (parent is not None and parent.header) or (tag == "header" and not self.main)
+        self.header = (parent is not None and parent.header) or (
+            (tag == "header" or "header" in told) and not self.main
+        )
 
 
 def blocks(page: str) -> list[tuple]:
@@ -184,7 +222,7 @@ def figures(found: list[tuple]) -> np.ndarray:
 class Tree:
     """A binary decision tree grown by Gini impurity on a small table."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, leaf: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 16, leaf: int = 1):
         self.answer = float(y.mean())
         self.column = None
         if depth == 0 or self.answer in (0.0, 1.0):

@@ -60,6 +60,40 @@ def test_html_blocks_and_classes(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_uses_links_of_block_and_neighbours():
+    tree, used = html_text.grown(), set()
+
+    def walk(t):
+        if t.column is not None:
+            used.add(html_text.FIGURES[t.column])
+            walk(t.below)
+            walk(t.above)
+
+    walk(tree)
+    assert {"words", "links", "links_before", "links_after"} <= used
+    text = "Running text that goes on for quite a while, with many words and not one link in all of it."
+    menu = "<div><a href=/1>Start</a> <a href=/2>All the news</a> <a href=/3>About us</a></div>"
+    article = f"<article><p>{text}</p><p>Go.</p></article>"
+    pages = {
+        f"<div class='layout has-sidebar'>{article}</div>": f"{text} Go.",
+        f"<div id='menu-page'><main><p>{text}</p><p>Go.</p></main></div>": f"{text} Go.",
+        f"<form action=x>{article}</form>": f"{text} Go.",
+        f"<div class='widget-content'><p>{text}</p></div>": text,
+        f"<article><div class='post-header'><h1>Title</h1></div><p>{text}</p></article>": f"Title {text}",
+        f"<div>{text}</div><div><a href='/m'>Menu</a></div>": text,
+        f"<article><p title=it's>{text}</p></article>": text,
+        f"<div class='siteFooter'>{text}</div>{article}<div class='cookie-box'>{text}</div>": f"{text} Go.",
+        f"{article}<div class='comment-list'><article class='comment'>{text}</article></div>": f"{text} Go.",
+        f"<nav>{article}</nav><header><p>{text}</p></header><p>{text}</p>": text,
+        f"{menu}<div>Lines of this site</div>{menu}<h1>Head line</h1><div>{text}</div>{menu}": f"Head line {text}",
+        f"<article>{menu}<p>Two</p>{menu}</article>": "Start All the news About us Two Start All the news About us",
+    }
+    for page, want in pages.items():
+        assert html_text.extracted([page], tree) == [want], page
+    long = f"<div>{text}</div>" * 20_000
+    assert len(html_text.extracted([long], tree)[0]) == 20_000 * (len(text) + 1) - 1
+
+
 def test_html_of_the_given_pages(spark, sf):
     import html as entities
 
