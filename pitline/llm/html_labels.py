@@ -143,4 +143,9 @@ PAGES = (
         f"<p>And there it ends for all of us.</p><div>{_MENU}{_SAME}</div>",
         "0" + "1111111" + "0",
     ),
+    # Articles of nothing but short lines and links.
+    ("<article><p>One two three four</p><p>End</p></article>", "11"),
+    ("<main><p>It is so</p><p>No</p><p><a href='/q'>Linked</a></p><p>Go</p></main>", "1111"),
+    ("<article><p>Plain</p><p>No</p><p><a href='/r'>More of it</a></p><p>The end</p></article>", "1111"),
+    (f"<article><p><a href='/s'>See</a></p><p>{_MENU}</p><p>So</p><p><a href='/t'>This</a></p></article>", "1111"),
 )

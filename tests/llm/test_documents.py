@@ -1,6 +1,7 @@
 """Per-document operators against plain Python: main text, personal data, tokens, scores."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -90,6 +91,14 @@ def test_html_tree_uses_links_of_block_and_neighbours():
     }
     for page, want in pages.items():
         assert html_text.extracted([page], tree) == [want], page
+    lines = ["Yes", "No it is", "<a href=/a>Link</a>", "<a href=/b>Some more links</a>", text]
+    for two in lines:  # whatever its lines and their neighbours, an article is taken whole
+        for three in itertools.product(lines, repeat=2):
+            inside = "".join(f"<p>{x}</p>" for x in (three[0], two, three[1]))
+            want = re.sub(r"<[^>]*>", " ", inside).split()
+            assert html_text.extracted([f"<article>{inside}</article>"], tree)[0].split() == want, inside
+            around = f"{menu}<main>{inside}</main>{menu}"
+            assert html_text.extracted([around], tree)[0].split() == want, inside
     long = f"<div>{text}</div>" * 20_000
     assert len(html_text.extracted([long], tree)[0]) == 20_000 * (len(text) + 1) - 1
 
