@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitline.session import materialize
 
-#: Nodes that may be hubs at most; the same at every size of the table.
+#: Keys that may be hot at most; the same at every size of the table.
 HUBS = 1000
 
 
@@ -17,9 +17,8 @@ def connected(links: DataFrame) -> DataFrame:
     Each round lets every node point its larger neighbours at the smallest node it knows (large
     star), then its smaller ones (small star), until the links are stars around the smallest node of
     each component; that takes a number of rounds that grows with the logarithm of the longest path.
-    A node's neighbours are never collected: the smallest is an aggregate that is joined back. Nodes
-    with more than a ``HUBS``-th of all link ends, fewer than ``HUBS``, are joined by broadcast, so
-    the links of a hub stay spread over the tasks that hold them.
+    A node's neighbours are never collected: the smallest is an aggregate that is joined back, and
+    the links of a hub stay spread over the tasks that hold them (``join_spread``).
     Each round is written to the shared folder, so lost executors cost one round at most. Links of a
     node with itself and repeated links change nothing; no links give no rows.
     """
@@ -39,36 +38,33 @@ def connected(links: DataFrame) -> DataFrame:
         edges = materialize(_small_star(_large_star(edges, now[0]), now[0]))
 
 
-def _least_neighbour(edges: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
-    """(w, m) for hubs and for the other nodes u; m is the smallest v linked with w."""
-    least = materialize(
-        edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    )
-    hub = F.col("n") > 2 * links / HUBS
-    return least.where(hub).select("w", "m"), least.where(~hub).select("w", "m")
+def join_spread(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of ``by_key`` of each key; ``n`` is its number of rows.
+
+    Of ``total`` rows fewer than ``HUBS`` keys can hold more than a ``HUBS``-th; these are broadcast,
+    so that their rows stay where they are. All other rows are shuffled by key.
+    """
+    hot = F.col("n") > total / HUBS
+    hubs, others = by_key.where(hot).drop("n"), by_key.where(~hot).drop("n")
+    rest = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hubs), key).unionByName(rest.join(others, key))
 
 
-def _with_least(edges: DataFrame, hubs: DataFrame, others: DataFrame) -> DataFrame:
-    """(u, v, m): the smallest neighbour of u beside every link; ends of hubs aren't shuffled."""
-    on = F.col("u") == F.col("w")
-    spread = edges.join(F.broadcast(hubs), on).drop("w")
-    rest = edges.join(F.broadcast(hubs), on, "left_anti").join(others, on).drop("w")
-    return spread.unionByName(rest)
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the smallest neighbour of u and the number of its links."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
 
 
 def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hubs, others = (
-        d.select("w", F.least("w", "m").alias("m")) for d in _least_neighbour(both, links)
-    )
-    found = _with_least(both.where("v > u"), hubs, others)
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    found = join_spread(both.where("v > u"), least, "u", 2 * links)
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame, links: int) -> DataFrame:
-    """Links point from the larger node u to the smaller v."""
+    """Links point from the larger node u to the smaller v; there are at most ``links``."""
     edges = materialize(edges)
-    hubs, others = _least_neighbour(edges, links)
-    moved = _with_least(edges, hubs, others).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = hubs.unionByName(others).select(F.col("w").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").unionByName(own).distinct()
+    least = _least(edges)
+    moved = join_spread(edges, least, "u", links).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()

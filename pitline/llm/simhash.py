@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.llm.common import id_and_text, map_columns
-from pitline.llm.components import connected
+from pitline.llm.components import connected, join_spread
 from pitline.session import materialize
 
 WORDS = 4
@@ -226,15 +226,22 @@ def links(distinct: DataFrame, n: int, piece: int = PIECE) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row per document."""
     rows = materialize(fingerprints(docs))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = materialize(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    )
     found = links(distinct.select("fp"), distinct.count())
     stars = connected(found)
     labelled = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
+        "fp", "first", "n", F.coalesce("component", "fp").alias("component")
+    )
+    sizes = labelled.groupBy("component").agg(
+        F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")
+    )
+    labelled = materialize(labelled.withColumnRenamed("n", "rows"))
+    of = join_spread(labelled, materialize(sizes), "component", labelled.count())
+    return join_spread(
+        rows, materialize(of.select("fp", "component_id", F.col("rows").alias("n"))), "fp", rows.count()
     )
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = labelled.join(least, "component").select("fp", "component_id")
-    return rows.join(of, "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

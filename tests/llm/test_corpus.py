@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pitline.llm import decontamination, packing, simhash, substrings, vector_search
+from pitline.llm import components, decontamination, packing, simhash, substrings, vector_search
 from pitline.llm.common import arrow_schema
 from pitline.llm.components import connected
 
@@ -124,7 +124,9 @@ def test_walk_equals_all_pairs():
     assert got == want and len(x) == len(got)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [3, 1000])
+def test_components(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components, "HUBS", hubs)
     random.seed(6)
     chain = [(i, i + 1) for i in range(0, 40)]
     links = [*chain, *[(100, 100 + i) for i in range(1, 30)], (7, 7), (200, 201), (201, 200)]
@@ -135,6 +137,12 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_a_hub_stay_spread(spark):
+    star = spark.range(1, 200_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = connected(star.unionByName(spark.createDataFrame([(-5, 77)], "a long, b long")))
+    assert got.agg(F.count("node"), F.min("component"), F.max("component")).first()[:] == (200_002, -5, -5)
+
+
 def test_keep_one_of_each_group(spark, texts):
     kept = simhash.keep_one(frame(spark, texts)).collect()
     roots = brute_components([brute_fingerprint(t or "") for _, t in texts])
