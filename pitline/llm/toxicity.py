@@ -37,13 +37,13 @@ from pitline.session import materialize
 
 THRESHOLD = 0.7
 FOLDS = 3
-#: Lexicon: terms at most, and what a term needs: lift of the toxic documents over the others, and
-#: evidence, the log-likelihood ratio of its counts.
-TERMS, LIFT, EVIDENCE = 500, 10.0, 12.0
+#: Lexicon: what a term needs: lift of the toxic documents over the others, and evidence, the
+#: log-likelihood ratio of its counts. Only the number of labelled rows bounds how many get there.
+LIFT, EVIDENCE = 10.0, 12.0
 #: Stems: lengths, words that start with one, evidence over all of them.
 STEMS, STEM_WORDS, STEM_EVIDENCE = (5, 8), 4, 20.0
-#: Terms shorter than this are matched exactly, longer ones within one edit.
-FUZZY_LENGTH = 5
+#: Terms are matched within one edit from so many letters on, and within two edits.
+FUZZY_LENGTHS = (4, 8)
 CONTEXT_WORDS = 8
 WORD = re.compile(r"[^\W_]+")
 QUOTES = frozenset("\"“”„«»‹›‘’`")
@@ -54,19 +54,23 @@ ADDRESS = frozenset("you your youre u ur du dich dein tu toi te vous tú usted e
 FIGURES = ("exact", "stem", "fuzzy", "terms", "density", "direct", "quoted", "words")
 
 
+def allowed_edits(term: str) -> int:
+    return sum(len(term) >= n for n in FUZZY_LENGTHS)
+
+
 class Automaton:
-    """Words within one edit of a lexicon term, as a lazily determinised product.
+    """Words within the allowed edits of a lexicon term, as a lazily determinised product.
 
-    A state is the set of (trie node, edits so far) pairs after the letters read; a swap of two
-    neighbouring letters counts as one edit.
+    A state is the set of (trie node, edits so far, letter owed) triples after the letters read; a
+    swap of two neighbouring letters counts as one edit, and owes its second letter in between.
     """
 
     def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.budget: list[int] = [0]  # edits the longest term below a node allows
+        self.budget: list[int] = [0]  # the most edits that a term below a node allows
         for t in sorted(terms):
-            node, allowed = 0, int(len(t) >= FUZZY_LENGTH)
+            node, allowed = 0, allowed_edits(t)
             self.budget[0] = max(self.budget[0], allowed)
             for ch in t:
                 if ch not in self.children[node]:
@@ -83,12 +87,16 @@ class Automaton:
         self.accepts: list[tuple[str, int] | None] = []
         self.start = self._add(self._closure({(0, 0, "")}))
 
-    def _closure(self, pairs):
-        """Add the pairs reached by skipping one letter of a term."""
-        out = set(pairs)
-        for node, edits, owed in pairs:
-            if not owed and edits < self.budget[node]:
-                out |= {(c, 1, "") for c in self.children[node].values() if self.budget[c]}
+    def _closure(self, triples):
+        """Add the triples reached by skipping letters of a term."""
+        out, new = set(triples), list(triples)
+        while new:
+            node, edits, owed = new.pop()
+            for c in self.children[node].values() if not owed else ():
+                to = (c, edits + 1, "")
+                if edits < self.budget[c] and to not in out:
+                    out.add(to)
+                    new.append(to)
         return frozenset(out)
 
     def _add(self, state: frozenset) -> int:
@@ -99,7 +107,7 @@ class Automaton:
             ends = [
                 (e, self.term[n])
                 for n, e, owed in state
-                if not owed and self.term[n] and e <= int(len(self.term[n]) >= FUZZY_LENGTH)
+                if not owed and self.term[n] and e <= allowed_edits(self.term[n])
             ]
             self.accepts.append((min(ends)[1], min(ends)[0]) if ends else None)
         return self.number[state]
@@ -109,19 +117,19 @@ class Automaton:
         for node, edits, owed in self.states[at]:
             if owed:  # second letter of a swap
                 if ch == owed:
-                    out.add((node, 1, ""))
+                    out.add((node, edits, ""))
                 continue
             nxt = self.children[node].get(ch)
-            if nxt is not None:
+            if nxt is not None and edits <= self.budget[nxt]:
                 out.add((nxt, edits, ""))
-            if edits == 0 and self.budget[node]:
-                out.add((node, 1, ""))  # a letter too many
+            if edits < self.budget[node]:
+                out.add((node, edits + 1, ""))  # a letter too many
                 for first, c in self.children[node].items():
-                    if self.budget[c]:
-                        out.add((c, 1, ""))  # a wrong letter
+                    if edits < self.budget[c]:
+                        out.add((c, edits + 1, ""))  # a wrong letter
                         after = self.children[c].get(ch)
-                        if after is not None and self.budget[after]:
-                            out.add((after, 1, first))  # two letters swapped
+                        if after is not None and edits < self.budget[after]:
+                            out.add((after, edits + 1, first))  # two letters swapped
         to = self._add(self._closure(out)) if out else -1
         if len(self.moves[at]) < 4096:
             self.moves[at][ch] = to
@@ -211,13 +219,14 @@ class Model:
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Terms of the labelled texts (doc_id, text, y), and near misses of terms that are harmless.
 
-    Exact copies count once. The words stay in Spark; only the terms come back, ``TERMS`` at most,
-    as many stems, and of the other words only those the automaton takes for a misspelling.
+    Exact copies count once. The words stay in Spark; only the terms and stems with enough evidence
+    come back, and of the other words only those the automaton takes for a misspelling. All of them
+    are words of the labelled sample, so its bound bounds them too.
     """
     once = sample.dropDuplicates(["text"])
     words = once.select(
         "y", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
-    ).where(F.length("word").between(3, 40))
+    ).where(F.length("word") >= 3)
     totals = once.agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(totals["toxic"] or 0), int(totals["n"] - (totals["toxic"] or 0))
     if not toxic or not clean:
@@ -239,8 +248,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
     def best(df: DataFrame, evidence: float) -> dict[str, float]:
         rows = df.where((F.col("lift") >= LIFT) & (F.col("evidence") >= evidence))
-        top = rows.orderBy(F.desc("evidence"), "word").limit(TERMS).collect()
-        return {r["word"]: float(np.log(r["lift"])) for r in top}
+        return {r["word"]: float(np.log(r["lift"])) for r in rows.select("word", "lift").collect()}
 
     alone = judged(counts)
     terms = best(alone, EVIDENCE)
@@ -267,8 +275,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     usual = alone.where((F.col("every") - F.col("bad") >= 2) & (F.col("lift") < LIFT)).where(
         near_miss("word")
     )
-    top = usual.orderBy(F.desc("every"), "word").limit(20 * TERMS).collect()
-    return Lexicon(terms, stem_terms, [r["word"] for r in top])
+    return Lexicon(terms, stem_terms, [r["word"] for r in usual.select("word").collect()])
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
