@@ -61,7 +61,7 @@ def detect_events(
     """All events visible at each scan time.
 
     Leadership trades have no window, so each is repeated at every later scan: use ``anchors``
-    when only first sightings matter.
+    when only first sightings matter, and ``event_counts`` when equal events may be counted.
     """
     clusters = insider_clusters(filings, slots, threshold, window_days)
     spans = slots.spans(leadership_trades(trades), "knowledge_time", "known_until")
@@ -72,6 +72,25 @@ def detect_events(
     return clusters.unionByName(led, allowMissingColumns=True)
 
 
+def event_counts(
+    filings: DataFrame, trades: DataFrame, slots: Slots, threshold: int = 3, window_days: int = 30
+) -> DataFrame:
+    """Equal events of a scan as one row with their number ``n``.
+
+    Events are equal by type, name and, of leadership trades, transaction type. Trades are counted
+    by where they appear and disappear, so a name with many trades gives no more rows than one.
+    """
+    clusters = insider_clusters(filings, slots, threshold, window_days).select(
+        "as_of", "event_type", "entity_id", "n_buys", F.lit(1).cast("long").alias("n")
+    )
+    spans = slots.spans(leadership_trades(trades), "knowledge_time", "known_until")
+    led = slots.with_as_of(slots.rolling_sums(spans, ["entity_id", "transaction_type"], {})).select(
+        "as_of", F.lit(LEADERSHIP).alias("event_type"), "entity_id", "transaction_type",
+        F.col("n_visible").cast("long").alias("n"),
+    )
+    return clusters.unionByName(led, allowMissingColumns=True)
+
+
 def event_entities(
     filings: DataFrame, trades: DataFrame, slots: Slots, threshold: int = 3, window_days: int = 30
 ) -> DataFrame:
@@ -196,7 +215,7 @@ def news_surges(
 
 
 def alerts(events: DataFrame) -> DataFrame:
-    """Events as alerts with a level and a message."""
+    """Events as alerts with a level and a message; ``n`` of counted events is kept."""
     cluster = F.col("event_type") == CLUSTER
     return events.where(F.col("event_type").isin(CLUSTER, LEADERSHIP)).select(
         "as_of",
@@ -210,4 +229,5 @@ def alerts(events: DataFrame) -> DataFrame:
             F.format_string("leadership %s in %s", F.col("transaction_type"), F.col("entity_id"))
         )
         .alias("message"),
+        *[c for c in events.columns if c == "n"],
     )

@@ -292,9 +292,8 @@ def event_clusters(spark, sf):
 @query(["clusters", "leads"], """SELECT as_of, event_type, count(*) AS n FROM (SELECT as_of, 'insider_cluster_buy'
  AS event_type FROM clusters UNION ALL SELECT as_of, 'leadership_congress_trade' FROM leads) GROUP BY 1, 2""")
 def detect_events(spark, sf):
-    events = ev.detect_events(ad.disclosures(spark, sf), ad.congress_trades(spark, sf),
-                              weekly_slots(spark, sf))
-    return events.groupBy("as_of", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    events = ev.event_counts(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    return events.groupBy("as_of", "event_type").agg(F.sum("n").alias("n"))
 
 
 @query(["clusters", "leads"], """SELECT as_of, count(*) AS n_entities, sum(n)::BIGINT AS n_events, count_if(types = 2)::BIGINT AS n_both FROM
@@ -313,9 +312,8 @@ def event_entities(spark, sf):
  ' insiders bought ' || entity_id AS message FROM clusters UNION ALL SELECT 'medium', 'leadership ' || transaction_type
  || ' in ' || entity_id FROM leads) GROUP BY 1, 2""")
 def alerts(spark, sf):
-    events = ev.detect_events(ad.disclosures(spark, sf), ad.congress_trades(spark, sf),
-                              weekly_slots(spark, sf))
-    return ev.alerts(events).groupBy("level", "message").agg(F.count(F.lit(1)).alias("n"))
+    events = ev.event_counts(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    return ev.alerts(events).groupBy("level", "message").agg(F.sum("n").alias("n"))
 
 
 def _anchors(spark, sf, slots):

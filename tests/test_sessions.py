@@ -3,9 +3,13 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
 
 from pitline.functions import calendar as cl
+from pitline.operators import events as ev
 from pitline.operators import orders as od
+from pitline.plans.measures import weekly_slots
+from pitline.sources import adapters as ad
 from pitline.sources.ledger import SealedLooks
 
 
@@ -87,3 +91,11 @@ def test_account_totals(spark):
     prices = spark.createDataFrame([("x", 11.0), ("y", 6.0)], "entity_id string, price double")
     got = {r.account: (r.market_value, r.deployed, r.unrealized_pnl) for r in od.account_totals(held, prices).collect()}
     assert got == {"A": (16.0, 28.0, 1.0), "B": (3.0, 3.0, 0.0)}
+
+
+def test_counted_events_equal_repeated_ones(spark, sf):
+    inputs = ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf)
+    by = ["as_of", "event_type", "entity_id", "transaction_type", "n_buys"]
+    repeated = ev.detect_events(*inputs).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counted = ev.event_counts(*inputs).select(*by, "n")
+    assert counted.count() and sorted(map(str, counted.collect())) == sorted(map(str, repeated.collect()))
