@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -362,97 +363,121 @@ def selection_weights(selected: DataFrame, mode: str = "equal") -> DataFrame:
 # --- covariance by tiles ------------------------------------------------------------------------
 
 #: Names of a block, about; a tile holds the pairs of two blocks.
-TILE = 512
-MOMENTS = "grp string, a string, b string, n double, sx double, sy double, sxy double"
+TILE = 1024
+#: Dates of a piece of a name's returns, about.
+DATES = 512
+#: Names of the left block whose pairs are handed on together.
+EMITTED = 64
+COVARIANCES = pa.schema(
+    [("grp", pa.string()), ("a", pa.string()), ("b", pa.string()), ("cov", pa.float64())]
+)
 
 
 class _Tile:
-    """Counts and sums of the pairs of two blocks of names, grown as names appear."""
+    """Counts and sums of the pairs of two blocks of names, added up over pieces of the dates."""
 
-    def __init__(self):
+    def __init__(self, grp: str, diagonal: bool):
+        self.grp, self.diagonal = grp, diagonal
         self.index = ({}, {})
-        self.sums = np.zeros((4, 8, 8))
-
-    def add(self, left, right) -> None:
-        at = []
-        for side, (names, _) in enumerate((left, right)):
-            index = self.index[side]
-            at.append(np.array([index.setdefault(n, len(index)) for n in names]))
-            while len(index) > self.sums.shape[side + 1]:
-                grow = [(0, 0), (0, 0), (0, 0)]
-                grow[side + 1] = (0, self.sums.shape[side + 1])
-                self.sums = np.pad(self.sums, grow)
-        x, y = (np.asarray(side[1], dtype=float) for side in (left, right))
-        cells = np.ix_(*at)
-        for part, value in zip(self.sums, (1.0, x[:, None], y[None, :], np.outer(x, y))):
-            part[cells] += value
-
-    def frame(self, grp: str) -> pd.DataFrame:
-        a, b = (np.array(list(index)) for index in self.index)
-        i, j = np.indices((len(a), len(b)))
-        n, sx, sy, sxy = (part[: len(a), : len(b)].ravel() for part in self.sums)
-        out = pd.DataFrame({"grp": grp, "a": a[i.ravel()], "b": b[j.ravel()], "n": n, "sx": sx, "sy": sy, "sxy": sxy})
-        return out[out["n"] > 0]
-
-
-def _moment_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of each tile, accumulated over the dates of a partition; rows come tile by tile."""
-    key, tile = None, None
+        self.sums = np.zeros((5, 0, 0))
+
+    def add(self, rows: list) -> None:
+        """Adds the ``(side, name, dates, returns)`` of one piece of the dates."""
+        dates = np.unique(np.concatenate([r[2] for r in rows]))
+        sides = []
+        for side, index in enumerate(self.index):
+            mine = rows if self.diagonal else [r for r in rows if r[0] == side]
+            at = np.array([index.setdefault(r[1], len(index)) for r in mine], dtype=int)
+            x, seen = np.zeros((2, len(mine), len(dates)))
+            for i, (_, _, t, ret) in enumerate(mine):
+                col = np.searchsorted(dates, t)
+                x[i, col], seen[i, col] = ret, 1.0
+            odd = ~np.isfinite(x)
+            sides.append((at, np.where(odd, 0.0, x), seen, odd.astype(float)))
+        shape = [len(index) for index in self.index]
+        grown = [(0, 0), *((0, n - old) for n, old in zip(shape, self.sums.shape[1:]))]
+        self.sums = np.pad(self.sums, grown)
+        (at, x, seen, odd), (at2, y, seen2, odd2) = sides
+        cells = np.ix_(at, at2)
+        parts = (seen @ seen2.T, x @ seen2.T, seen @ y.T, x @ y.T, odd @ seen2.T + seen @ odd2.T)
+        for total, part in zip(self.sums, parts):
+            total[cells] += part
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The covariances of the tile, each pair both ways."""
+        names, names2 = (pa.array(list(index), pa.string()) for index in self.index)
+        for at in range(0, len(names), EMITTED):
+            n, sx, sy, sxy, odd = self.sums[:, at : at + EMITTED]
+            i, j = np.nonzero(n > 1)
+            n, sx, sy, sxy, odd = (m[i, j] for m in (n, sx, sy, sxy, odd))
+            cov = pa.array(np.where(odd > 0, np.nan, (sxy - sx * sy / n) / (n - 1)))
+            left, right, grp = names.take(pa.array(i + at)), names2.take(pa.array(j)), pa.array([self.grp] * len(i), pa.string())
+            yield pa.RecordBatch.from_arrays([grp, left, right, cov], schema=COVARIANCES)
+            if not self.diagonal:
+                yield pa.RecordBatch.from_arrays([grp, right, left, cov], schema=COVARIANCES)
+
+
+def _tile_covariances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covariances of each tile; rows come tile by tile and piece by piece of the dates."""
+    key, tile, rows = None, None, []
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if (row.grp, row.i, row.j) != key:
-                if key is not None:
-                    yield tile.frame(key[0])
-                key, tile = (row.grp, row.i, row.j), _Tile()
-            tile.add((row.names, row.rets), (row.names2, row.rets2))
-    if key is not None:
-        yield tile.frame(key[0])
-
-
-def pairwise_covariance(returns: DataFrame, salts: int | None = None, tile: int = TILE) -> DataFrame:
+        cols = {n: batch.column(n).to_pylist() for n in ("grp", "i", "j", "piece", "side", "entity_id")}
+        series = []
+        for c in ("ts", "rets"):
+            lists = batch.column(c)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            series.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+        for *found, side, name, t, ret in zip(*cols.values(), *series):
+            if found != key:
+                if rows:
+                    tile.add(rows)
+                    rows = []
+                if key is None or found[:3] != key[:3]:
+                    if tile is not None:
+                        yield from tile.batches()
+                    tile = _Tile(found[0], found[1] == found[2])
+                key = found
+            rows.append((side, name, t, ret))
+    if rows:
+        tile.add(rows)
+        yield from tile.batches()
+
+
+def pairwise_covariance(returns: DataFrame, tasks: int | None = None, tile: int = TILE) -> DataFrame:
     """Sample covariance of the names of each group, ``(grp, a, b, cov)``.
 
     ``returns`` is ``(grp, t, entity_id, ret)``; pairs use the dates both names have. The names of a group
-    are cut into blocks of about ``tile``, and each pair of blocks is a tile: tasks add up the moments of a
-    tile over their dates (outer products in numpy) and emit it once, and Spark sums the parts. So a
-    task holds one tile, however many names a group has, and a group's tiles are spread over tasks.
+    are cut into blocks of about ``tile``, and each pair of blocks is a tile. Names travel to the tiles of
+    their block as arrays; one task takes all dates of a tile, piece by piece, as products of matrices and
+    emits its covariances. So a task holds one tile, however many names a group has, a group's tiles
+    are spread over ``tasks``, and no pair is ever shuffled or written on the way.
     """
-    if salts is None:
-        salts = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    returns = materialize(returns.select("grp", "t", "entity_id", "ret"))
+    if tasks is None:
+        tasks = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    returns = returns.where(F.col("ret").isNotNull()).select("grp", "t", "entity_id", F.col("ret").cast("double"))
+    returns = materialize(returns)
     blocks = returns.groupBy("grp").agg(
-        F.ceil(F.approx_count_distinct("entity_id") / tile).cast("int").alias("_nb")
+        F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("entity_id") / tile)).cast("int").alias("_nb"),
+        F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("t") / DATES)).cast("int").alias("_nd"),
+    )
+    by_date = F.array_sort(F.collect_list(F.struct("t", "ret")))
+    series = (
+        returns.join(blocks, "grp")
+        .withColumn("piece", F.pmod(F.xxhash64("t"), F.col("_nd")).cast("int"))
+        .groupBy("grp", "entity_id", "piece", "_nb").agg(by_date.alias("_v"))
+        .withColumn("_b", F.pmod(F.xxhash64("entity_id"), F.col("_nb")).cast("int"))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    )
+    tiles = series.select(
+        "grp", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "piece",
+        (F.col("_b") > F.col("_o")).cast("int").alias("side"), "entity_id",
+        F.transform("_v", lambda v: v["t"]).alias("ts"), F.transform("_v", lambda v: v["ret"]).alias("rets"),
     )
-    block = F.pmod(F.xxhash64("entity_id"), F.greatest(F.col("_nb"), F.lit(1))).cast("int")
-    rows = returns.join(blocks, "grp").withColumn("_b", block).groupBy("grp", "t", "_b").agg(
-        F.array_sort(F.collect_list(F.struct("entity_id", "ret"))).alias("_v")
-    )
-    rows = materialize(rows.select(
-        "grp", "t", F.col("_b").alias("i"), F.transform("_v", lambda v: v["entity_id"]).alias("names"),
-        F.transform("_v", lambda v: v["ret"]).alias("rets"),
-    ))
-    other = rows.select(
-        "grp", "t", F.col("i").alias("j"), F.col("names").alias("names2"), F.col("rets").alias("rets2")
-    )
-    tiles = rows.join(other, ["grp", "t"]).where(F.col("i") <= F.col("j")).withColumn(
-        "_salt", F.pmod(F.xxhash64("t"), F.lit(salts))
-    )
-    parts = (
-        tiles.repartition("grp", "i", "j", "_salt")
-        .sortWithinPartitions("grp", "i", "j")
-        .select("grp", "i", "j", "names", "rets", "names2", "rets2")
-        .mapInPandas(_moment_parts, MOMENTS)
+    return (
+        tiles.repartition(tasks, "grp", "i", "j")
+        .sortWithinPartitions("grp", "i", "j", "piece")
+        .mapInArrow(_tile_covariances, "grp string, a string, b string, cov double")
     )
-    total = parts.groupBy("grp", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
-    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
-    half = total.where(F.col("n") > 1).select("grp", "a", "b", cov.alias("cov"))
-    if not blocks.where(F.col("_nb") > 1).limit(1).count():
-        return half  # a group's only tile has each pair both ways
-    # Tiles of two blocks have each pair one way.
-    of = blocks.withColumnRenamed("_nb", "_n")
-    at = lambda c: F.pmod(F.xxhash64(c), F.greatest(F.col("_n"), F.lit(1)))
-    crossed = half.join(of, "grp").where(at("a") != at("b"))
-    return half.unionByName(crossed.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 
 def top_names(scores: DataFrame, k: int, descending: bool = True) -> DataFrame:
