@@ -12,6 +12,9 @@ from pitline.operators.panel import market_return
 from pitline.operators.returns import draw
 from pitline.session import materialize
 
+#: Anchors of a name that share one copy of its CARs.
+ANCHORS_PER_PART = 2000
+
 
 def abnormal_returns(
     panel: DataFrame,
@@ -123,22 +126,33 @@ def placebo(
     if hi <= lo:
         means = None
     else:
-        name = F.concat_ws("|", "entity_id", F.date_format("anchor", "yyyy-MM-dd HH:mm:ss"))
-        # Few rows become n_permutations times as many: spread them first.
+        # Few rows become n_permutations times as many: spread them by name. A name's CARs travel
+        # once per part of its anchors, not with every anchor.
         tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = (
-            anchors.select(by, "entity_id", name.alias("_name"))
-            .join(_car_arrays(cars), "entity_id")
-            .repartition(tasks, "_name")
+        parts = anchors.groupBy("entity_id").agg(
+            F.ceil(F.count(F.lit(1)) / ANCHORS_PER_PART).cast("int").alias("_parts")
+        )
+        placed = anchors.select(by, "entity_id", "anchor").join(parts, "entity_id").withColumn(
+            "_part", F.pmod(F.xxhash64("anchor"), F.col("_parts")).cast("int")
         )
+        paths = _car_arrays(cars).join(parts, "entity_id").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+        )
+        on = ["entity_id", "_part"]
+        spread = placed.drop("_parts").repartition(tasks, *on).join(
+            paths.drop("_parts").repartition(tasks, *on), on
+        )
+        name = F.concat_ws("|", "entity_id", F.date_format("anchor", "yyyy-MM-dd HH:mm:ss"))
         at = draw(F.lit(hi - lo + 1), seed, F.col("perm").cast("string"), F.col("_name")) + lo + 1
-        # The draws are looked up in the name's array and averaged before anything is shuffled.
+        # The draws are looked up in the name's array and averaged before anything is shuffled. A draw
+        # without a CAR is null, which the mean leaves out; a filter would draw a second time.
         means = (
-            spread.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
+            spread.select(by, name.alias("_name"), "_first", "_cars")
+            .withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_permutations))))
             .select(by, "perm", F.get("_cars", (at - F.col("_first")).cast("int")).alias("car"))
-            .where(F.col("car").isNotNull())
             .groupBy(by, "perm")
             .agg(F.avg("car").alias("_mean"))
+            .where(F.col("_mean").isNotNull())
         )
     seen = observed.select(by, F.col("n").alias("n_events"), F.col("mean_car").alias("_obs"))
     if means is None:
