@@ -87,3 +87,22 @@ def test_sortino_without_a_loss_is_undefined(spark):
     out = {r.strategy: r.sortino for r in rt.summarize(returns, no_loss=None).collect()}
     assert out["up"] is None and out["single"] == 0.0
     assert out["mixed"] == pytest.approx((0.04 / 3) / 0.01 * 252**0.5)
+
+
+def test_versions_of_single_keys_are_not_shuffled(spark):
+    """Facts whose key occurs once stay where they are; versions are found over chunks and null keys."""
+    import hashlib
+
+    from pitline.operators.bitemporal import with_validity
+
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=int(i))
+    key = ["entity_id", "event_time", "ref"]
+    rows = [(f"E{i}", f"r{i}", day(i % 900), day(i % 900), 0, hashlib.sha256(b"%d" % i).hexdigest()) for i in range(20_000)]
+    rows += [("A", None, day(0), day(n), 0, f"a{n}") for n in (1, 40, 400)] + [(None, "x", day(0), day(5), 0, "none")]
+    schema = "entity_id string, ref string, event_time timestamp, knowledge_time timestamp, revision int, observation_id string"
+    facts = spark.createDataFrame(rows, schema)
+    found = {}
+    moved = shuffled(spark, lambda: found.update({r.observation_id: r.known_until for r in with_validity(facts, key).collect()}))
+    assert moved < 700_000
+    assert len(found) == 20_004
+    assert {k: v for k, v in found.items() if v} == {"a1": day(40), "a40": day(400)}
