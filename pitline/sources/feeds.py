@@ -20,6 +20,7 @@ from pitline.functions.scalars import (
     observation_id,
     utc_timestamp,
 )
+from pitline.session import materialize
 
 
 def to_observations(
@@ -96,34 +97,38 @@ def parse_price_lines(lines: DataFrame, symbol: str | None = None) -> DataFrame:
     return price_records(lines, symbol).where("reason is null").drop("file", "line", "reason")
 
 
+#: The names a price file may give its columns.
+PRICE_COLUMNS = [
+    "<TICKER>", "<DATE>", "Date",
+    *(n for c in ("Open", "High", "Low", "Close") for n in (f"<{c.upper()}>", c)), "<VOL>", "Volume",
+]
+
+
 def price_records(lines: DataFrame, symbol: str | None = None) -> DataFrame:
     """Every data line of price files: its bar and, if it can't be used, the ``reason``.
 
     The header of each file is the line that names its date column; rows are read by its names.
+    The headers are written first, so that Spark knows they are few and sends them to the rows: a
+    join by file would put all rows of a file into one task.
     """
     text = F.trim(F.regexp_replace("value", "\r$", ""))
     rows = lines.select("file", text.alias("line")).where(text != "")
     header = F.col("line").rlike(r"(?i)(^|,)(<DATE>|Date)(,|$)")
-    heads = rows.where(header).groupBy("file").agg(
-        F.split(F.min("line"), ",").alias("_names")
-    )
-    cells = rows.where(~header).join(heads, "file", "left").withColumn(
-        "_row",
-        F.map_from_entries(
-            F.zip_with(
-                "_names",
-                F.slice(F.split("line", ","), F.lit(1), F.size("_names")),
-                lambda name, cell: F.struct(name, cell),
-            )
-        ),
+    names = F.split(F.min("line"), ",")
+    places = {n: F.array_position("_names", n) - 1 for n in PRICE_COLUMNS}
+    heads = materialize(
+        rows.where(header).groupBy("file").agg(names.alias("_names")).select(
+            "file",
+            (F.array_contains("_names", "<TICKER>") | F.array_contains("_names", "<DATE>")).alias("_bulk"),
+            *[place.cast("int").alias(f"_at_{n}") for n, place in places.items()],
+        )
     )
+    cells = rows.where(~header).join(heads, "file", "left").withColumn("_cells", F.split("line", ","))
 
     def cell(*names: str) -> Column:
-        return F.coalesce(*[F.try_element_at("_row", F.lit(n)) for n in names])
+        return F.coalesce(*[F.get("_cells", F.col(f"_at_{n}")) for n in names])
 
-    bulk = F.coalesce(
-        F.array_contains("_names", "<TICKER>") | F.array_contains("_names", "<DATE>"), F.lit(False)
-    )
+    bulk = F.coalesce(F.col("_bulk"), F.lit(False))
     own = F.upper(F.split(F.trim(cell("<TICKER>")), r"\.")[0])
     named = symbol_from_filename("file") if symbol is None else F.lit(symbol.upper())
     raw_date = F.trim(cell("<DATE>", "Date"))
@@ -131,7 +136,7 @@ def price_records(lines: DataFrame, symbol: str | None = None) -> DataFrame:
         bulk, F.when(raw_date.rlike(r"^\d{8}$"), F.try_to_timestamp(raw_date, F.lit("yyyyMMdd")))
     ).otherwise(F.try_to_timestamp(raw_date, F.lit("yyyy-MM-dd")))
     bars = cells.select(
-        "file", "line", F.col("_names").isNull().alias("_headless"),
+        "file", "line", F.col("_bulk").isNull().alias("_headless"),
         F.when(bulk, own).otherwise(named).alias("symbol"),
         date.cast("date").alias("date"),
         *[

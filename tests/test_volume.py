@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pitline.operators import returns as rt
 from pitline.operators import sizing as sz
@@ -106,3 +107,17 @@ def test_versions_of_single_keys_are_not_shuffled(spark):
     assert moved < 700_000
     assert len(found) == 20_004
     assert {k: v for k, v in found.items() if v} == {"a1": day(40), "a40": day(400)}
+
+
+def test_lines_of_one_file_stay_spread(spark):
+    """Headers go to the lines, so a large file is not read by one task."""
+    from pitline.sources import feeds
+
+    lines = spark.range(0, 40_000, 1, 8).select(
+        F.lit("all").alias("file"),
+        F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".US,20240102,1.5")).alias("value"),
+    )
+    head = spark.createDataFrame([("all", "<TICKER>,<DATE>,<CLOSE>")], "file string, value string")
+    bars = feeds.price_records(lines.unionByName(head))
+    sizes = bars.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in sizes) == 40_000 and max(r.n for r in sizes) <= 10_000
