@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,6 +56,10 @@ def uuid5(name, namespace: str = ID_NAMESPACE) -> Column:
     )
 
 
+#: What an id is derived from, in the order of its text; the reference, which may be missing, ends it.
+COORDINATES = ("source", "dataset", "entity_id", "event_time", "knowledge_time", "revision", "ref")
+
+
 def observation_id() -> Column:
     """Id of a fact from its coordinates (not its payload): same fact, same id."""
     return uuid5(
@@ -70,6 +76,13 @@ def observation_id() -> Column:
     )
 
 
+def coordinates_are_plain() -> Column:
+    """Whether no other coordinates spell the same id text: none missing, no separator before the reference."""
+    texts = [F.col(c) for c in COORDINATES[:3]]
+    present = [F.col(c).isNotNull() for c in COORDINATES[:-1]]
+    return reduce(and_, present + [~F.contains(t, F.lit("|")) for t in texts])
+
+
 def whole_days(later, earlier) -> Column:
     """Whole days between two timestamps, rounded down."""
     gap = F.unix_micros(_c(later)) - F.unix_micros(_c(earlier))

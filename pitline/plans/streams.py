@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitline.functions.scalars import observation_id
 from pitline.operators import bitemporal as bt
 from pitline.plans.decisions import LEDGER
 from pitline.plans.registry import query, r
@@ -60,7 +59,7 @@ def stream_freshness(spark, sf):
 
 def _sales_stream(spark, sf):
     lines = sj.table_stream(spark, sf, "lineitem")
-    facts = lines.select(
+    return lines.select(
         F.lit("warehouse").alias("source"), F.lit("filing.sale").alias("dataset"),
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("entity_id"),
         F.col("l_linenumber").cast("string").alias("ref"),
@@ -69,7 +68,6 @@ def _sales_stream(spark, sf):
         (F.col("l_partkey") % 4).cast("int").alias("revision"),
         F.col("l_extendedprice").alias("close"),
     )
-    return facts.withColumn("observation_id", observation_id())
 
 
 @query(None, """SELECT entity_id, ref, revision, knowledge_time, close FROM (SELECT 'O' || l_orderkey AS entity_id,
@@ -77,7 +75,7 @@ def _sales_stream(spark, sf):
  max(l_extendedprice) + 1 AS close FROM lineitem GROUP BY 1, 2, 3, 4)
  QUALIFY row_number() OVER (PARTITION BY entity_id, ref ORDER BY knowledge_time DESC, revision DESC) = 1""")
 def stream_ingest(spark, sf):
-    """Facts streamed into the store twice with different payloads; the last copy of each id stays."""
+    """Facts without ids streamed into the store twice with different payloads; of each the last copy stays."""
     store = scratch_path(spark)
     facts = _sales_stream(spark, sf).withColumn("arrival", ad.cents("close"))
     sj.ingest(facts, store, "arrival")

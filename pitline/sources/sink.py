@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.functions.scalars import observation_id
 
 
-def upsert(existing: DataFrame, batch: DataFrame, sequence: str | None = None) -> DataFrame:
-    """Insert-or-replace by ``observation_id``: a row of the batch replaces the stored one.
+def upsert(
+    existing: DataFrame, batch: DataFrame, sequence: str | None = None,
+    key: Sequence[str | Column] = ("observation_id",), spread: Sequence[str | Column] = (),
+) -> DataFrame:
+    """Insert-or-replace by ``observation_id`` (or ``key``): a row of the batch replaces the stored one.
 
-    One grouped pass instead of a join; the rank limit drops surplus copies before the shuffle.
+    One grouped pass instead of a join; the rank limit drops surplus copies before the shuffle. With
+    ``spread``, part of the key, rows are dealt by it instead, so that a writer need not deal them again.
     ``sequence`` is a column of the batch that says in which order its rows arrived: of several
     copies of one id the last is kept. It is not stored. Copies that tie in it (or all, without it)
     are ordered by a hash of their content, so that the choice can be repeated.
@@ -21,10 +27,13 @@ def upsert(existing: DataFrame, batch: DataFrame, sequence: str | None = None) -
     columns = existing.columns
     old = existing.withColumns({"_new": F.lit(0), "_at": F.lit(0).cast("long")})
     new = batch.withColumns({"_new": F.lit(1), "_at": at}).select(*columns, "_new", "_at")
-    newest = W.partitionBy("observation_id").orderBy(
+    newest = W.partitionBy(*key).orderBy(
         F.col("_new").desc(), F.col("_at").desc(), F.xxhash64(*columns)
     )
-    ranked = old.unionByName(new).withColumn("_rn", F.row_number().over(newest))
+    both = old.unionByName(new)
+    if spread:
+        both = both.repartition(*spread)
+    ranked = both.withColumn("_rn", F.row_number().over(newest))
     return ranked.where(F.col("_rn") == 1).drop("_rn", "_new", "_at")
 
 

@@ -10,6 +10,9 @@ name, as HDFS does.
 A version also names the folders of other tables that were written with it (landed files, quarantined
 rows) and the last batch applied of each stream, so a replayed batch changes nothing. What a version
 names is bounded by datasets times months.
+
+Facts may come without ids. Theirs are derived from their coordinates, so none is moved or stored: copies are
+found by the coordinates, and the id is worked out where it is read.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitline.functions.scalars import COORDINATES, coordinates_are_plain, observation_id
 from pitline.session import materialize
 from pitline.sources.sink import upsert
 
 #: Rows of a task that writes facts, about.
 WRITE_ROWS = 2_000_000
+#: Rows per distinct fact of a batch from which its copies are dropped before rows are dealt to writers.
+COPIES = 1.25
 #: Folders of an appended table before they are merged into one.
 FOLDERS = 64
 EMPTY = {"version": 0, "schema": None, "partitions": [], "tables": {}, "applied": {}}
@@ -115,12 +121,19 @@ class Store:
         commits = sorted({p["commit"] for p in parts})
         schema = T.StructType.fromJson(json.loads(snapshot["schema"]))
         live = ["|".join((p["commit"], p["dataset"], p["month"])) for p in parts]
-        return (
+        rows = (
             self.spark.read.schema(schema.add("commit", "string"))
             .option("basePath", f"{self.path}/data")
             .parquet(*(f"{self.path}/data/commit={c}" for c in commits))
-            .where(F.concat_ws("|", "commit", "dataset", "month").isin(live)).drop("commit")
+            .where(F.concat_ws("|", "commit", "dataset", "month").isin(live))
         )
+        derived = sorted({p["commit"] for p in parts if p.get("derived")})
+        if derived:
+            given = F.lit(False) if derived == commits else ~F.col("commit").isin(derived)
+            rows = rows.withColumn(
+                "observation_id", F.when(given, F.col("observation_id")).otherwise(observation_id())
+            )
+        return rows.drop("commit")
 
     def table(self, name: str, version: int | None = None) -> DataFrame | None:
         """An appended table of a version; None while it has no rows."""
@@ -146,7 +159,8 @@ class Store:
     ) -> dict:
         """Publish the next version: facts of ``batch`` upserted, rows of ``tables`` appended.
 
-        ``sequence`` says in which order copies of a fact arrived, the last wins. ``applied`` is the name
+        A batch without ``observation_id`` holds facts whose ids are derived. ``sequence`` says in which
+        order copies of a fact arrived, the last wins. ``applied`` is the name
         of a stream and the number of the batch; one that was applied before changes nothing.
         Returns the version's content with ``added``, the facts it has more than the one before.
         """
@@ -185,30 +199,48 @@ class Store:
 
     def _merged(self, base: dict, batch: DataFrame, sequence: str | None, commit: str) -> dict:
         """Partitions and schema after the months the batch touches were merged into new folders."""
-        counts = batch.groupBy("dataset", "month").agg(F.count(F.lit(1)).alias("n")).collect()
+        seen = {"n": F.count(F.lit(1))}
+        derived = "observation_id" not in batch.columns
+        if derived:
+            seen["plain"] = F.min(coordinates_are_plain())
+            seen["facts"] = F.approx_count_distinct(F.xxhash64(*COORDINATES))
+        counts = batch.groupBy("dataset", "month").agg(*[v.alias(c) for c, v in seen.items()]).collect()
         touched = {(r["dataset"], r["month"]) for r in counts}
         if not touched:
             return {}
+        parts = [p for p in base["partitions"] if (p["dataset"], p["month"]) in touched]
+        if derived and not (all(r["plain"] for r in counts) and all(p.get("derived") for p in parts)):
+            batch, derived = batch.withColumn("observation_id", observation_id()), False
         columns = [c for c in batch.columns if c != sequence]
         stored = self._facts(base, touched)
         old = batch.select(*columns).limit(0) if stored is None else stored.select(*columns)
-        parts = [p for p in base["partitions"] if (p["dataset"], p["month"]) in touched]
         tasks = max(1, (sum(r["n"] for r in counts) + sum(p["rows"] for p in parts)) // WRITE_ROWS)
-        part = F.pmod(F.xxhash64("entity_id", "month"), F.lit(tasks))
+        cell = ["dataset", "month", F.pmod(F.xxhash64("entity_id", "month"), F.lit(tasks))]
+        order = ["dataset", "month", "entity_id", "knowledge_time"]
         out = f"{self.path}/data/commit={commit}"
+        if derived:
+            # One shuffle for both: copies of a fact lie in one cell.
+            rest = [c for c in COORDINATES[:-1] if c not in order]
+            key = [*order, *rest, F.coalesce("ref", F.lit("")), cell[-1]]
+            few = all(r["n"] <= COPIES * r["facts"] for r in counts)
+            rows = upsert(old, batch, sequence, key, cell if few else ())
+            rows = rows if few else rows.repartition(*cell)
+        else:
+            rows = upsert(old, batch, sequence).repartition(*cell)
         (
-            upsert(old, batch, sequence).repartition("dataset", "month", part)
-            .sortWithinPartitions("dataset", "month", "entity_id", "knowledge_time")
+            rows.sortWithinPartitions(*order)
             .write.mode("errorifexists").partitionBy("dataset", "month").parquet(out)
         )
         schema = T.StructType(
-            [f for f in batch.select(*columns).schema if f.name not in ("dataset", "month")]
+            ([T.StructField("observation_id", T.StringType())] if derived else [])
+            + [f for f in batch.select(*columns).schema if f.name not in ("dataset", "month")]
             + [T.StructField("dataset", T.StringType()), T.StructField("month", T.StringType())]
         )
         written = self.spark.read.schema(schema).parquet(out).groupBy("dataset", "month").agg(
             F.count(F.lit(1)).alias("rows"), F.max(F.unix_micros("knowledge_time")).alias("newest")
         )
-        fresh = [{**r.asDict(), "commit": commit} for r in written.collect()]
+        mark = {"commit": commit} | ({"derived": True} if derived else {})
+        fresh = [{**r.asDict(), **mark} for r in written.collect()]
         kept = [p for p in base["partitions"] if (p["dataset"], p["month"]) not in touched]
         return {"schema": schema.json(), "partitions": kept + fresh}
 

@@ -71,6 +71,32 @@ def test_the_second_of_two_writers_merges_again(spark, tmp_path, monkeypatch):
     assert held(store) == {"1": 1, "2": 2, "3": 3} and store.versions() == [1, 2, 3]
 
 
+def test_facts_without_ids(spark, tmp_path):
+    """Derived ids are neither moved nor stored, and the store reads as if they had been."""
+    from pitline.functions.scalars import observation_id
+
+    cols = ("source string, dataset string, entity_id string, ref string, event_time timestamp, "
+            "knowledge_time timestamp, revision int, v int, seq long")
+    row = lambda e, v, seq=0, ref=None, day=2, source="s": (
+        source, "d", e, ref, AT, AT.replace(day=day), 0, v, seq)
+    batches = [
+        [row("a", 1), row("a", 2, 5), row("a", 3, 4), row("a", 4, ref="r"), row("b", 5), row("b", 6, day=3)],
+        [row("a", 7, ref=""), row("b", 8, day=3), *(row("c", i, i) for i in range(20))],  # mostly copies
+        [row("b|x", 9), row("x", 10, source="s|d"), row("b", 11), row("x", 12, source=None)],  # ids are needed
+        [row("c", 13), row("b|x", 14)],
+    ]
+    plain, given = (Store(spark, str(tmp_path / n)) for n in ("plain", "given"))
+    values = lambda s: sorted((r.observation_id, r.v) for r in s.read().collect())
+    for i, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, cols)
+        added = [plain.commit(batch, "seq")["added"],
+                 given.commit(batch.withColumn("observation_id", observation_id()), "seq")["added"]]
+        assert values(plain) == values(given) and added[0] == added[1]
+        if i == 1:
+            assert "observation_id" not in spark.read.parquet(f"{plain.path}/data").columns
+    assert {v for _, v in values(plain)} == {4, 7, 8, 10, 11, 12, 13, 14}
+
+
 def test_names_are_created_once(spark, tmp_path):
     files = Store(spark, str(tmp_path)).files
     assert files.create_once(f"{tmp_path}/x/look", "first")
