@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitline.functions.scalars import news_confidence, story_key, whole_days
 from pitline.functions.timeline import Slots
-from pitline.operators.bitemporal import with_validity
+from pitline.operators.bitemporal import versions, with_validity
 from pitline.operators.features import days
 
 # The event vocabulary.
@@ -25,7 +25,7 @@ def insider_clusters(
     filings: DataFrame, slots: Slots, threshold: int = 3, window_days: int = 30
 ) -> DataFrame:
     """Names with at least ``threshold`` purchases known within the window, per scan time."""
-    buys = with_validity(filings).where(F.col("is_purchase"))
+    buys = versions(filings).where(F.col("is_purchase"))
     expiry = F.least(F.col("knowledge_time") + days(window_days), F.col("known_until"))
     spans = slots.spans(buys, "knowledge_time", expiry)
     seen = slots.rolling_agg(
@@ -50,7 +50,7 @@ def insider_clusters(
 
 def leadership_trades(trades: DataFrame) -> DataFrame:
     """Trades by high-signal office holders, with the time until which each version is visible."""
-    return with_validity(trades).where(F.col("high_signal_role")).withColumn(
+    return versions(trades).where(F.col("high_signal_role")).withColumn(
         "event_type", F.lit(LEADERSHIP)
     )
 

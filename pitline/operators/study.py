@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitline.functions.crosssection import quantiles
 from pitline.functions.timeline import Slots
@@ -27,46 +32,82 @@ def abnormal_returns(
     """CAR for every (entity, bar): ``(entity_id, t, car, alpha, beta)``, full windows only.
 
     The market model is fitted on ``estimation`` bars ending ``gap`` bars before the bar. All
-    positions are computed in one pass over each entity's bars, so anchors and placebo draws are
-    look-ups. ``market`` is ``(event_time, market_ret)``, by default the mean of all entities.
+    positions are computed in one pass over each entity's bars, in order, a batch and one entity at a
+    time, so anchors and placebo draws are look-ups. ``market`` is ``(event_time, market_ret)``, by
+    default the mean of all entities.
     """
     moved = panel.where((F.col("t") > 0) & F.col("ret").isNotNull())
     market = market_return(moved) if market is None else market
     rows = moved.join(market, "event_time").where(F.col("market_ret").isNotNull())
-    path = W.partitionBy("entity_id").orderBy("t")
-    upto = path.rowsBetween(W.unboundedPreceding, 0)
-    # Running moments: a window's sums are a difference of two of them, whatever its length. They
-    # are taken of deviations from the entity's means, which keeps the digits of long histories.
-    whole = W.partitionBy("entity_id")
-    rows = rows.withColumns({"_cx": F.avg("market_ret").over(whole), "_cy": F.avg("ret").over(whole)})
-    x, y = F.col("market_ret") - F.col("_cx"), F.col("ret") - F.col("_cy")
-    moments = {"_x": x, "_y": y, "_xx": x * x, "_xy": x * y}
-    run = rows.withColumns({n: F.sum(v).over(upto) for n, v in moments.items()}).withColumn(
-        "_pos", F.row_number().over(path) - 1
-    )
-
-    def at(name: str, offset: int):
-        moved = F.lag(name, -offset) if offset < 0 else F.lead(name, offset)
-        return F.coalesce(moved.over(path), F.lit(0.0)) if offset < 0 else moved.over(path)
-
-    fit = {
-        f"{n}_fit": at(n, -(gap + 1)) - at(n, -(gap + estimation + 1)) for n in moments
-    }
-    k = pre + post + 1
-    window = {f"{n}_win": at(n, post) - at(n, -(pre + 1)) for n in ("_x", "_y")}
-    full = run.withColumns({**fit, **window}).where(
-        (F.col("_pos") >= gap + estimation) & F.col("_x_win").isNotNull()
-    )
-    n = float(estimation)
-    mx, my = F.col("_x_fit") / n, F.col("_y_fit") / n
-    var = F.col("_xx_fit") / n - mx * mx
-    beta = F.when(var > 1e-18, (F.col("_xy_fit") / n - mx * my) / var)
-    fitted = full.withColumn("beta", beta).withColumn("alpha", my - F.col("beta") * mx)
-    car = F.col("_y_win") - k * F.col("alpha") - F.col("beta") * F.col("_x_win")
-    intercept = F.col("alpha") + F.col("_cy") - F.col("beta") * F.col("_cx")
-    return fitted.select("entity_id", "t", car.alias("car"), intercept.alias("alpha"), "beta").where(
-        F.col("car").isNotNull() & ~F.isnan("car")
+    rows = rows.select("entity_id", "t", "market_ret", "ret")
+    schema = T.StructType(
+        [*rows.schema[:2], *(T.StructField(c, T.DoubleType()) for c in ("car", "alpha", "beta"))]
     )
+    paths = rows.repartition("entity_id").sortWithinPartitions("entity_id", "t")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # bars of the entity that the next batch may go on with
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            *whole, last = _runs(table["entity_id"])
+            yield from _measured(table, whole, estimation, gap, pre, post)
+            rest = table.slice(last[0]).combine_chunks().to_batches()[0]
+        if rest is not None:
+            yield from _measured(pa.Table.from_batches([rest]), [(0, rest.num_rows)], estimation, gap, pre, post)
+
+    return paths.mapInArrow(measured, schema)
+
+
+def _runs(names: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal names."""
+    ends = pc.run_end_encode(names.combine_chunks()).run_ends.to_pylist()
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _measured(
+    table: pa.Table, runs: Sequence[tuple[int, int]], estimation: int, gap: int, pre: int, post: int
+) -> Iterator[pa.RecordBatch]:
+    """The abnormal returns of whole entities, whose bars are the ``runs`` of rows."""
+    market, own = (table[c].to_numpy() for c in ("market_ret", "ret"))
+    found = [window_returns(market[a:b], own[a:b], estimation, gap, pre, post) for a, b in runs]
+    if not found:
+        return
+    at = np.concatenate([a + f[0] for (a, _), f in zip(runs, found, strict=True)])
+    values = [np.concatenate([f[i] for f in found]) for i in (1, 2, 3)]
+    kept = table.select(["entity_id", "t"]).take(pa.array(at))
+    for name, column in zip(("car", "alpha", "beta"), values, strict=True):
+        kept = kept.append_column(name, pa.array(column))
+    yield from kept.to_batches()
+
+
+def window_returns(market, own, estimation: int, gap: int, pre: int, post: int):
+    """``(position, car, alpha, beta)`` of one entity's bars, in order, that have full windows.
+
+    A window's sums are a difference of two running totals, whatever its length. These are taken of
+    deviations from the entity's means, which keeps the digits of long histories.
+    """
+    at = np.arange(gap + estimation, len(own) - post)
+    if not len(at):
+        return at, *(np.empty(0) for _ in range(3))
+    with np.errstate(all="ignore"):
+        cx, cy = market.mean(), own.mean()
+        x, y = market - cx, own - cy
+
+        def between(values, start, end):
+            total = np.concatenate([[0.0], np.cumsum(values)])
+            return total[end] - total[np.maximum(start, 0)]
+
+        fit = at - gap - estimation, at - gap
+        window = at - pre, at + post + 1
+        mx, my, mxx, mxy = (between(v, *fit) / estimation for v in (x, y, x * x, x * y))
+        var = mxx - mx * mx
+        beta = np.where(var > 1e-18, (mxy - mx * my) / var, np.nan)
+        alpha = my - beta * mx
+        car = between(y, *window) - (pre + post + 1) * alpha - beta * between(x, *window)
+        kept = ~np.isnan(car)
+        return at[kept], car[kept], (alpha + cy - beta * cx)[kept], beta[kept]
 
 
 def at_anchors(anchors: DataFrame, cars: DataFrame, dates: Slots) -> DataFrame:

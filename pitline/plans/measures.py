@@ -18,7 +18,7 @@ from pitline.operators import study as sd
 from pitline.operators import universe as un
 from pitline.plans.books import Setup
 from pitline.plans.oracle import cte
-from pitline.plans.reads import bars, supplier_panel, weekly_schedule, weekly_slots
+from pitline.plans.reads import bars, filings, office_trades, supplier_panel, weekly_schedule, weekly_slots
 from pitline.plans.registry import query, r, shared
 from pitline.session import materialize, scratch_path
 from pitline.sources import adapters as ad
@@ -37,7 +37,7 @@ def daily_slots(spark, sf):
 
 @query("netbuys", "SELECT as_of, entity_id, net::DOUBLE AS net FROM netbuys")
 def insider_net_buys(spark, sf):
-    out = ft.insider_net_buys(ad.disclosures(spark, sf), weekly_slots(spark, sf), 90)
+    out = ft.insider_net_buys(filings(spark, sf), weekly_slots(spark, sf), 90)
     return out.select("as_of", "entity_id", F.col("insider_net_buys_90d").cast("double").alias("net"))
 
 
@@ -285,14 +285,14 @@ cte("anchors", ["clusters", "leads"], """SELECT 'insider_cluster_buy' AS event_t
 
 @query("clusters", "SELECT as_of, entity_id, event_time, knowledge_time, n_buys FROM clusters")
 def event_clusters(spark, sf):
-    out = ev.insider_clusters(ad.disclosures(spark, sf), weekly_slots(spark, sf))
+    out = ev.insider_clusters(filings(spark, sf), weekly_slots(spark, sf))
     return out.select("as_of", "entity_id", "event_time", "knowledge_time", "n_buys")
 
 
 @query(["clusters", "leads"], """SELECT as_of, event_type, count(*) AS n FROM (SELECT as_of, 'insider_cluster_buy'
  AS event_type FROM clusters UNION ALL SELECT as_of, 'leadership_congress_trade' FROM leads) GROUP BY 1, 2""")
 def detect_events(spark, sf):
-    events = ev.event_counts(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    events = ev.event_counts(filings(spark, sf), office_trades(spark, sf), weekly_slots(spark, sf))
     return events.groupBy("as_of", "event_type").agg(F.sum("n").alias("n"))
 
 
@@ -301,7 +301,7 @@ def detect_events(spark, sf):
  UNION ALL SELECT as_of, entity_id, 'l' FROM leads) GROUP BY 1, 2) GROUP BY 1""")
 def event_entities(spark, sf):
     """How many different names have events at each scan, and how many have both kinds."""
-    seen = ev.event_entities(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    seen = ev.event_entities(filings(spark, sf), office_trades(spark, sf), weekly_slots(spark, sf))
     return seen.groupBy("as_of").agg(
         F.count(F.lit(1)).alias("n_entities"), F.sum("n_events").alias("n_events"),
         F.count(F.when(F.size("event_types") == 2, 1)).alias("n_both"),
@@ -312,12 +312,12 @@ def event_entities(spark, sf):
  ' insiders bought ' || entity_id AS message FROM clusters UNION ALL SELECT 'medium', 'leadership ' || transaction_type
  || ' in ' || entity_id FROM leads) GROUP BY 1, 2""")
 def alerts(spark, sf):
-    events = ev.event_counts(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), weekly_slots(spark, sf))
+    events = ev.event_counts(filings(spark, sf), office_trades(spark, sf), weekly_slots(spark, sf))
     return ev.alerts(events).groupBy("level", "message").agg(F.sum("n").alias("n"))
 
 
 def _anchors(spark, sf, slots):
-    return ev.anchors(ad.disclosures(spark, sf), ad.congress_trades(spark, sf), slots)
+    return ev.anchors(filings(spark, sf), office_trades(spark, sf), slots)
 
 
 @query("anchors", "SELECT event_type, entity_id, anchor, as_of FROM anchors")
@@ -367,7 +367,7 @@ def _study(spark, sf, n_permutations=0):
     def inputs():
         dates = Slots(make_schedule(bars(spark, sf).select("event_time")))
         anchors = materialize(_anchors(spark, sf, weekly_slots(spark, sf)))
-        return anchors, materialize(sd.abnormal_returns(supplier_panel(spark, sf))), dates
+        return anchors, materialize(sd.abnormal_returns(Setup(spark, sf).panel)), dates
 
     anchors, cars, dates = shared(spark, sf, "study_inputs", inputs)
     return shared(
@@ -407,7 +407,7 @@ def placebo(spark, sf):
 def cluster_entries(spark, sf):
     """Entries if the cluster type had passed the gate."""
     gate = spark.createDataFrame([(ev.CLUSTER, 0.01)], "event_type string, mean_car double")
-    clusters = ev.insider_clusters(ad.disclosures(spark, sf), weekly_slots(spark, sf))
+    clusters = ev.insider_clusters(filings(spark, sf), weekly_slots(spark, sf))
     out = ev.cluster_entries(clusters, gate)
     return out.select("as_of", "entity_id", "knowledge_time", "exit_by", "n_buys")
 
@@ -433,7 +433,7 @@ def gate_types(spark, sf):
 def gated_entries(spark, sf):
     """Entries of the cluster type if it passes the gate on these data."""
     _, nulls = _study(spark, sf, 100)
-    clusters = ev.insider_clusters(ad.disclosures(spark, sf), weekly_slots(spark, sf))
+    clusters = ev.insider_clusters(filings(spark, sf), weekly_slots(spark, sf))
     out = ev.cluster_entries(clusters, sd.gate(nulls))
     return out.select("as_of", "entity_id", "knowledge_time", "exit_by")
 

@@ -126,3 +126,36 @@ def test_lines_of_one_file_stay_spread(spark):
 
     assert shuffled(spark, run) < 100_000
     assert sum(r[1] for r in sizes) == 600_000 and max(r[1] for r in sizes) <= 150_000
+
+
+def test_scans_read_lines_and_orders_once(spark, sf):
+    """Clusters, leadership trades and anchors read the joined disclosures back."""
+    from pitline.plans import measures, reads
+
+    found = measures._anchors(spark, sf, reads.weekly_slots(spark, sf))
+    assert not [f for f in found.inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_abnormal_returns_of_entities_cut_by_batches(spark):
+    """An entity's bars go over batches; every bar with full windows is measured once."""
+    rng = np.random.default_rng(5)
+    rets = {f"E{i}": rng.normal(0, 0.02, n) for i, n in enumerate((90, 10, 71, 150, 72, 300))}
+    start = dt.datetime(2020, 1, 1)
+    rows = [(e, t, start + dt.timedelta(days=t), float(r)) for e, v in rets.items() for t, r in enumerate(v, 1)]
+    rows += [("E0", 0, start, 0.5), ("gap", 1, start, None)]
+    panel = spark.createDataFrame(rows, "entity_id string, t int, event_time timestamp, ret double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "37")
+    try:
+        found = {(r.entity_id, r.t): r for r in sd.abnormal_returns(panel).collect()}
+    finally:
+        spark.conf.set(size, before)
+    mean = pd.DataFrame({e: pd.Series(v) for e, v in rets.items()}).mean(axis=1).to_numpy()
+    want = {}
+    for e, own in rets.items():
+        for p in range(65, len(own) - 5):
+            beta, alpha = np.polyfit(mean[p - 65:p - 5], own[p - 65:p - 5], 1)
+            want[e, p + 1] = (own[p:p + 6] - alpha - beta * mean[p:p + 6]).sum()
+    assert found.keys() == want.keys()
+    assert all(found[k].car == pytest.approx(v, abs=1e-9) for k, v in want.items())
