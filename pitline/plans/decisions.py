@@ -377,16 +377,15 @@ cte("accts", ["fills", "sched"], """SELECT account, as_of, CASE WHEN account = '
  FROM (SELECT DISTINCT account FROM fills) CROSS JOIN sched""")
 
 
-def _positions(spark, sf, slots):
+def _positions(fills, slots):
     never = F.lit(None).cast("timestamp")
-    placed = slots.spans(_fills(spark, sf).withColumn("_never", never), "event_time", "_never")
+    placed = slots.spans(fills.withColumn("_never", never), "event_time", "_never")
     sums = slots.rolling_sums(placed, ["account", "entity_id"], {"qty": F.col("signed_qty")})
     return slots.with_as_of(sums).select("account", "as_of", "entity_id", "qty")
 
 
-def _open_orders(spark, sf, slots):
-    rows = _fills(spark, sf)
-    shifted = rows.withColumn("_from", F.col("event_time") - F.expr("interval 7 days"))
+def _open_orders(fills, slots):
+    shifted = fills.withColumn("_from", F.col("event_time") - F.expr("interval 7 days"))
     placed = slots.spans(shifted, "_from", "event_time")
     out = slots.with_as_of(
         placed.withColumn("k", F.explode(F.sequence(F.col("k_from"), F.col("k_to") - 1)))
@@ -416,10 +415,16 @@ def _accounts(spark, sf, slots):
  WHERE NOT (cur <> 0 AND target <> 0 AND abs(delta) < 0.1 * abs(target)) AND floor(abs(delta)) * px >= 1""")
 def order_plan(spark, sf):
     s = Setup(spark, sf)
-    targets = s.books().where(F.col("strategy") == "stacked")
+    targets = materialize(st.top_scores(s.at, s.score(), 10))
+    # What is held of other names plays no part, so fills are reduced to the book's before they are summed.
+    names = targets.select("entity_id").distinct()
+    fills = materialize(
+        _fills(spark, sf).select("account", "entity_id", "event_time", "signed_qty")
+        .join(names, "entity_id", "left_semi")
+    )
     prices = s.at.select("as_of", "entity_id", F.col("ff").alias("price"))
     plan = od.order_plan(
-        targets, prices, _positions(spark, sf, s.slots), _open_orders(spark, sf, s.slots),
+        targets, prices, _positions(fills, s.slots), _open_orders(fills, s.slots),
         _accounts(spark, sf, s.slots), od.PlanRules(capital_ceiling=500_000.0, rebalance_band=0.1),
     )
     return plan.where(F.col("problem").isNull()).select("account", "as_of", "entity_id", "side", "qty")
@@ -433,7 +438,7 @@ def order_plan(spark, sf):
  AND h.entity_id = p.entity_id WHERE p.qty > 0) WHERE reason IS NOT NULL""")
 def exit_rules(spark, sf):
     s = Setup(spark, sf)
-    held = _positions(spark, sf, s.slots).withColumns(
+    held = _positions(_fills(spark, sf), s.slots).withColumns(
         {"avg_price": F.lit(115.0), "sentiment": F.col("qty") % 5 - 2}
     )
     high = st.at_decisions(s.panel.withColumn("peak", pn.trailing_high(60)), s.slots.schedule)
@@ -445,7 +450,7 @@ def exit_rules(spark, sf):
 @query("pos", """SELECT account, as_of, entity_id, CASE WHEN qty > 0 THEN 'sell' ELSE 'buy' END AS side, abs(qty) AS qty
  FROM pos WHERE qty <> 0""")
 def flatten_plan(spark, sf):
-    out = od.flatten_plan(_positions(spark, sf, weekly_slots(spark, sf)))
+    out = od.flatten_plan(_positions(_fills(spark, sf), weekly_slots(spark, sf)))
     return out.select("account", "as_of", "entity_id", "side", "qty")
 
 

@@ -103,9 +103,9 @@ cte("totals", ["pos", "feat"], """SELECT account, as_of, sum(qty * px) AS market
  round(unrealized_pnl, 4) + 0.0 AS unrealized_pnl FROM totals""")
 def account_totals(spark, sf):
     """Value, deployed capital and open profit of every account at every decision time."""
-    from pitline.plans.decisions import _positions
+    from pitline.plans.decisions import _fills, _positions
 
-    held = _positions(spark, sf, weekly_slots(spark, sf)).where("qty <> 0").withColumn("avg_price", F.lit(115.0))
+    held = _positions(_fills(spark, sf), weekly_slots(spark, sf)).where("qty <> 0").withColumn("avg_price", F.lit(115.0))
     prices = Setup(spark, sf).at.select("as_of", "entity_id", F.col("ff").alias("price"))
     out = od.account_totals(held, prices, ["as_of"])
     return out.select("account", "as_of", *[r(c, 4).alias(c) for c in ("market_value", "deployed", "unrealized_pnl")])

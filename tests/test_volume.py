@@ -159,3 +159,19 @@ def test_abnormal_returns_of_entities_cut_by_batches(spark):
             want[e, p + 1] = (own[p:p + 6] - alpha - beta * mean[p:p + 6]).sum()
     assert found.keys() == want.keys()
     assert all(found[k].car == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_order_plan_sums_the_fills_of_its_book_only(spark, sf, monkeypatch):
+    from pitline.plans import decisions
+
+    seen, plan = {}, decisions.od.order_plan
+
+    def spy(targets, prices, positions, open_orders, accounts, rules):
+        seen.update(book=targets, held=positions, pending=open_orders)
+        return plan(targets, prices, positions, open_orders, accounts, rules)
+
+    monkeypatch.setattr(decisions.od, "order_plan", spy)
+    assert decisions.order_plan(spark, sf).count()
+    book, held, pending = ({r.entity_id for r in seen[n].select("entity_id").distinct().collect()}
+                           for n in ("book", "held", "pending"))
+    assert held and held <= book and pending <= book
