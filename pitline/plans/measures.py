@@ -49,10 +49,8 @@ cte("routine", ["discv", "sched"], """SELECT DISTINCT as_of, insider_name FROM (
 
 @query("routine", "SELECT as_of, count(*) AS n_routine FROM routine GROUP BY 1")
 def routine_traders(spark, sf):
-    from pitline.operators.bitemporal import with_validity
-
     slots = weekly_slots(spark, sf)
-    spells = ft.routine_spells(with_validity(ad.disclosures(spark, sf)))
+    spells = ft.routine_spells(filings(spark, sf))
     spans = slots.spans(spells, "from", "until")
     counted = slots.with_as_of(slots.rolling_sums(spans, ["insider_name"], {}))
     return counted.groupBy("as_of").agg(F.count(F.lit(1)).alias("n_routine"))
@@ -63,7 +61,7 @@ def routine_traders(spark, sf):
  INTERVAL 90 DAY AND (known_until IS NULL OR known_until > s.as_of)) v WHERE NOT EXISTS (SELECT 1 FROM routine q
  WHERE q.as_of = v.as_of AND q.insider_name = v.insider_name) GROUP BY 1, 2""")
 def opportunistic_net_buys(spark, sf):
-    out = ft.insider_net_buys(ad.disclosures(spark, sf), weekly_slots(spark, sf), 90, True)
+    out = ft.insider_net_buys(filings(spark, sf), weekly_slots(spark, sf), 90, True)
     return out.select(
         "as_of", "entity_id", F.col("insider_net_buys_90d_opp").cast("double").alias("net")
     )
