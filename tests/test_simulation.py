@@ -172,3 +172,21 @@ def test_opportunistic_buys_equal_brute_force(spark):
                     at = t, r["entity_id"]
                     want[at] = want.get(at, 0) + (1 if r["is_purchase"] else -1)
         assert got == want and len(want) > 30
+
+
+def test_lines_that_occur_again_are_known_from_the_join(spark, sf):
+    """The flag of the joined lines finds the versions that counting the keys finds."""
+    from pitline.operators.bitemporal import with_validity
+    from pitline.sources import adapters as ad
+
+    lines = ad.disclosure_lines(spark, sf)
+    twice = lines.where("l_orderkey % 50 = 0").withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 9 days"))
+    lines = lines.unionByName(twice).withColumn("again", F.col("again") | (F.col("l_orderkey") % 50 == 0))
+    marked = with_validity(ad.disclosures(spark, sf, lines), repeated="again")
+    counted = with_validity(ad.disclosures(spark, sf, lines).drop("again"))
+    assert marked.columns == counted.columns
+    assert marked.exceptAll(counted).count() == 0 and counted.exceptAll(marked).count() == 0
+    assert marked.where("known_until IS NOT NULL").count() >= twice.count() > 0
+    few = ad.disclosure_lines(spark, "/root/testdata/sf0.01")
+    key = ["l_orderkey", "l_linenumber", "l_suppkey", "o_orderdate"]
+    assert few.where("again").count() == few.join(few.groupBy(key).count().where("count > 1"), key).count() > 0
